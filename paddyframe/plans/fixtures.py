@@ -26,7 +26,7 @@ DAILY_VARS = ["precipitation_sum", "temperature_2m_mean", "temperature_2m_max",
               "temperature_2m_min", "wind_gusts_10m_max", "soil_moisture_0_to_100cm_mean"]
 MONTHLY_VARS = DAILY_VARS + ["extreme_rain_days", "extreme_heat_days"]
 TRAIN_END_YEAR = 1999      # fixture temporal split: train <= 1999, test >= 2000
-PANEL_START_YEAR = 1995
+PANEL_START_YEAR = 1996
 
 
 class Fixtures:

@@ -55,7 +55,26 @@ CTE = {
   WHERE w.year >= 1994)""",
 }
 
+W8 = ["precipitation_sum", "temperature_2m_mean", "temperature_2m_max", "temperature_2m_min",
+      "wind_gusts_10m_max", "soil_moisture_0_to_100cm_mean", "extreme_rain_days", "extreme_heat_days"]
+
+
+def _gs(v):
+    fn = "sum" if ("sum" in v or "days" in v or "et0" in v) else "avg"
+    return (f"CASE WHEN count({v}) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) = 4 THEN "
+            f"CAST({fn}({v}) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS DOUBLE) END AS {v}_gs")
+
+
+CTE["panel0"] = ("panel0 AS (SELECT *, " + ", ".join(f"LAG({v}, {k}) OVER w AS {v}_lag{k}" for v in W8 for k in range(1, 5))
+                 + ", " + ", ".join(_gs(v) for v in W8)
+                 + " FROM combined WINDOW w AS (PARTITION BY entity_id ORDER BY year, month))")
+CTE["panel"] = """panel AS (SELECT *, CAST(month IN (6, 7, 8, 9, 10, 11) AS INTEGER) AS is_wet,
+  precipitation_sum_gs * CAST(month IN (6, 7, 8, 9, 10, 11) AS INTEGER) AS precipitation_sum_gs_wet,
+  soil_moisture_0_to_100cm_mean_gs * CAST(month IN (6, 7, 8, 9, 10, 11) AS INTEGER) AS soil_moisture_0_to_100cm_mean_gs_wet
+  FROM panel0)"""
+
 DEPS = {
+    "panel0": ["combined"], "panel": ["panel0"],
     "dim": [], "ship": [], "daily": ["ship"], "weather": ["daily"], "production": ["ship"],
     "prices": [], "summary": ["production", "dim", "prices"], "features": ["summary"],
     "combined": ["weather", "dim", "features"],

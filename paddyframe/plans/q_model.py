@@ -1 +1,286 @@
-"""Catalogue entries (filled in below)."""
+"""Catalogue entries for modelling and scoring (survey 2.H, 2.I)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import linear, score
+from ..operators import features as feat
+from .catalog import query
+from .fixtures import DAILY_VARS, MONTHLY_VARS, PANEL_START_YEAR, TRAIN_END_YEAR
+from .oracle import oracle
+
+W6, W8 = DAILY_VARS, MONTHLY_VARS
+NATIONS = [f"NATION_{i}" for i in range(25)]
+TEST_START_YEAR = TRAIN_END_YEAR + 1
+LAGS = list(feat.MARKET_LAGS)
+TARGET_COL = {"yield": "target_yield", "price": "target_price", "production": "target_production"}
+
+# double columns of the training matrix (for the oracle's normalisation)
+_TM_DBL = (W6 + ["target_yield", "target_price", "target_production"] + LAGS + ["month_sin", "month_cos"]
+           + [f"{v}_lag{k}" for v in W6 for k in range(1, 5)] + [f"{v}_gs" for v in W8]
+           + ["precipitation_sum_gs_wet", "soil_moisture_0_to_100cm_mean_gs_wet"] + [f'"prov_{n}"' for n in NATIONS])
+_PANEL_COLS = (["entity_id", "year", "month"] + W8 + ["entity_name", "group_name", "target_yield", "target_price",
+               "target_production"] + LAGS + ["month_sin", "month_cos"]
+               + [f"{v}_lag{k}" for v in W8 for k in range(1, 5)] + [f"{v}_gs" for v in W8]
+               + ["is_wet", "precipitation_sum_gs_wet", "soil_moisture_0_to_100cm_mean_gs_wet"])
+_TM_SQL_BODY = ("SELECT * EXCLUDE (entity_name), " + ", ".join(f"CAST(entity_name = '{n}' AS DOUBLE) AS \"prov_{n}\"" for n in NATIONS)
+                + f" FROM panel WHERE year >= {PANEL_START_YEAR} AND "
+                + " AND ".join(f"{c} IS NOT NULL" for c in _PANEL_COLS))
+_TM_CTE = f"tm AS ({_TM_SQL_BODY})"
+
+
+def _categories(fx):
+    # one-hot categories from the entity dimension (bounded, sorted like get_dummies)
+    return sorted(r[0] for r in fx.dim().select("entity_name").distinct().collect())
+
+
+def _tm(fx):
+    return linear.train_matrix(fx.panel(), "entity_name", _categories(fx), PANEL_START_YEAR)
+
+
+@query("train_matrix", "H1 D5 B8 B10", oracle(["panel"], _TM_SQL_BODY, _TM_DBL))
+def q_train_matrix(fx):
+    return _tm(fx)
+
+
+@query("complete_cases", "B8", oracle(["panel"], "SELECT count(*) AS n FROM panel WHERE "
+                                       + " AND ".join(f"{c} IS NOT NULL" for c in _PANEL_COLS)))
+def q_complete_cases(fx):
+    from ..operators.clean import complete_cases
+    return complete_cases(fx.panel()).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("temporal_split", "H2", oracle(["panel"], f"""SELECT CASE WHEN year <= {TRAIN_END_YEAR} THEN 'train'
+       WHEN year >= {TEST_START_YEAR} THEN 'test' END AS split, count(*) AS n FROM tm GROUP BY 1""", extra=[_TM_CTE]))
+def q_temporal_split(fx):
+    return linear.temporal_split(_tm(fx), TRAIN_END_YEAR, TEST_START_YEAR).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("feature_sets", "H3")
+def q_feature_sets(fx):
+    tm = _tm(fx)
+    rows = [(kind, t, len(cols)) for kind in ("lasso", "ridge")
+            for t, cols in linear.feature_sets(tm.columns, kind).items()]
+    return fx.spark.createDataFrame(rows, "model string, target string, n_features int")
+
+
+def _yield_feats(tm):
+    return linear.feature_sets(tm.columns, "lasso")["yield"]
+
+
+@query("standardize", "H4", oracle(["panel"], "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, avg(CAST({q} AS DOUBLE)) AS mean, stddev_pop(CAST({q} AS DOUBLE)) AS std FROM tm WHERE year <= {TRAIN_END_YEAR}"
+    for c, q in [(c, f'"{c}"' if c.startswith("prov_") else c) for c in
+                 [f"{v}_lag{k}" for v in W8 for k in range(1, 5)] + W8 + [f"{v}_gs" for v in W8]
+                 + ["precipitation_sum_gs_wet", "soil_moisture_0_to_100cm_mean_gs_wet", "is_wet", "hist_yield",
+                    "hist_price", "month_sin", "month_cos"] + [f"prov_{n}" for n in NATIONS]]),
+    ["mean", "std"], extra=[_TM_CTE]))
+def q_standardize(fx):
+    tm = _tm(fx)
+    train = tm.filter(F.col("year") <= TRAIN_END_YEAR)
+    return linear.moments_long(train, _yield_feats(tm))
+
+
+@query("regression_metrics", "H7", oracle(["features"], f"""SELECT count(*) AS n, avg(abs(price - price_lag1)) AS mae,
+         sqrt(avg((price - price_lag1) * (price - price_lag1))) AS rmse,
+         1 - sum((price - price_lag1) * (price - price_lag1)) / (count(*) * var_pop(price)) AS r2
+       FROM features WHERE year >= {TEST_START_YEAR} AND price IS NOT NULL AND price_lag1 IS NOT NULL""",
+    ["mae", "rmse", "r2"]))
+def q_regression_metrics(fx):
+    f = fx.market_features().filter(F.col("year") >= TEST_START_YEAR)
+    return _metrics_with_n(f, "price", "price_lag1")
+
+
+def _metrics_with_n(df, y, yhat):
+    ok = F.col(y).isNotNull() & F.col(yhat).isNotNull()
+    e = F.when(ok, F.col(y) - F.col(yhat))
+    yy = F.when(ok, F.col(y))
+    return df.agg(F.count_if(ok).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+                  (F.lit(1.0) - F.try_divide(F.sum(e * e), F.count(yy) * F.var_pop(yy))).alias("r2"))
+
+
+_BASELINES = [("yield", "prev_year", "target_yield", "hist_yield"),
+              ("yield", "seasonal", "target_yield", None),
+              ("price", "prev_month", "target_price", "price_lag1"),
+              ("price", "prev_year", "target_price", "price_lag12"),
+              ("production", "prev_month", "target_production", "production_lag1"),
+              ("production", "seasonal", "target_production", None)]
+
+
+def _baseline_sql():
+    parts = []
+    for t, b, y, p in _BASELINES:
+        src = "test" if p else (f"(SELECT t.*, s.seas FROM test t LEFT JOIN (SELECT month, avg({y}) AS seas FROM tm "
+                                f"WHERE year <= {TRAIN_END_YEAR} GROUP BY month) s ON t.month = s.month)")
+        yh = p or "seas"
+        parts.append(f"""SELECT '{t}' AS target, '{b}' AS model, avg(abs({y} - {yh})) AS mae,
+            sqrt(avg(({y} - {yh}) * ({y} - {yh}))) AS rmse,
+            1 - sum(({y} - {yh}) * ({y} - {yh})) / (count({y} - {yh}) * var_pop(CASE WHEN {yh} IS NOT NULL THEN {y} END)) AS r2
+          FROM {src} q WHERE {y} IS NOT NULL AND {yh} IS NOT NULL""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def baseline_metrics(tm):
+    train = tm.filter(F.col("year") <= TRAIN_END_YEAR)
+    test = tm.filter(F.col("year") >= TEST_START_YEAR)
+    out = None
+    for t, b, y, p in _BASELINES:
+        if p is None:
+            seas = train.groupBy("month").agg(F.avg(y).alias("_seas"))
+            src, yh = test.join(seas, "month", "left"), "_seas"
+        else:
+            src, yh = test, p
+        m = linear.regression_metrics(src, y, yh).select(F.lit(t).alias("target"), F.lit(b).alias("model"), "*")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("baseline_metrics", "H8 C10", oracle(["panel"], _baseline_sql(), ["mae", "rmse", "r2"],
+       extra=[_TM_CTE, f"test AS (SELECT * FROM tm WHERE year >= {TEST_START_YEAR})"]))
+def q_baseline_metrics(fx):
+    return baseline_metrics(_tm(fx))
+
+
+def _fit_all(fx, kind: str, full: bool = False):
+    tm = _tm(fx).cache()      # reused by the moment pass, the Gram pass and the scoring pass
+    train = tm if full else tm.filter(F.col("year") <= TRAIN_END_YEAR)
+    sets = linear.feature_sets(tm.columns, kind)
+    models = {}
+    for t, cols in sets.items():
+        y = TARGET_COL[t]
+        if kind == "lasso":
+            models[t] = linear.lasso_cv(train, cols, y, "entity_id", ["year", "month"])
+        else:
+            models[t] = linear.ridge_cv(train, cols, y)
+    return tm, models
+
+
+def _coef_table(fx, models):
+    out = None
+    for m in models.values():
+        c = m.coefficients(fx.spark)
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query("lasso_cv", "H5 H4", round_output=True)
+def q_lasso_cv(fx):
+    _, models = _fit_all(fx, "lasso")
+    return _coef_table(fx, models)
+
+
+@query("ridge_cv", "H6 H4")
+def q_ridge_cv(fx):
+    _, models = _fit_all(fx, "ridge")
+    return _coef_table(fx, models)
+
+
+@query("leaderboard", "H9 H7 H8")
+def q_leaderboard(fx):
+    tm, lasso = _fit_all(fx, "lasso")
+    _, ridge = _fit_all(fx, "ridge")
+    test = tm.filter(F.col("year") >= TEST_START_YEAR)
+    out = baseline_metrics(tm)
+    for kind, models in (("lasso", lasso), ("ridge", ridge)):
+        for t, m in models.items():
+            scored = test.withColumn("_pred", linear.predict_column(m))
+            out = out.unionByName(linear.regression_metrics(scored, TARGET_COL[t], "_pred").select(
+                F.lit(t).alias("target"), F.lit(kind).alias("model"), "*"))
+    return out
+
+
+@query("top_features", "H10")
+def q_top_features(fx):
+    _, models = _fit_all(fx, "lasso")
+    return linear.top_features(_coef_table(fx, models))
+
+
+@query("refit_full", "H11")
+def q_refit_full(fx):
+    _, models = _fit_all(fx, "lasso", full=True)
+    return _coef_table(fx, models)
+
+
+# ---- 2.I scoring with a fixed coefficient table ---------------------------
+
+FIXED_TERMS = [("price_lag1", 150000.0, 20000.0, 9000.0), ("price_lag12", 150000.0, 20000.0, 1500.0),
+               ("yield_lag1", 13.0, 2.0, -400.0), ("production_lag1", 300.0, 120.0, 250.0),
+               ("hist_yield", 13.0, 2.0, 0.0)]
+FIXED_INTERCEPT = 140000.0
+
+
+def _lin_sql():
+    e = f"{FIXED_INTERCEPT}"
+    for f, m, s, c in FIXED_TERMS:
+        e = f"({e} + {c} * ((CAST({f} AS DOUBLE) - {m}) / {s}))"
+    return e
+
+
+@query("predict_batch", "I2", oracle(["features"],
+       f"SELECT entity_id, year, month, round(greatest(0.0, {_lin_sql()}), 2) AS prediction FROM features WHERE "
+       + " AND ".join(f"{f} IS NOT NULL" for f, *_ in FIXED_TERMS), ["prediction"]))
+def q_predict_batch(fx):
+    rows = fx.market_features().dropna(subset=[f for f, *_ in FIXED_TERMS])
+    return score.predict_batch(rows, FIXED_TERMS, FIXED_INTERCEPT).select("entity_id", "year", "month", "prediction")
+
+
+def _contrib_sql():
+    return "\nUNION ALL\n".join(
+        f"SELECT entity_id, year, month, '{f}' AS feature, CAST({f} AS DOUBLE) AS raw_value, "
+        f"{c} * ((CAST({f} AS DOUBLE) - {m}) / {s}) AS contribution FROM features WHERE year >= {TEST_START_YEAR}"
+        for f, m, s, c in FIXED_TERMS)
+
+
+@query("contributions", "I3", oracle(["features"], _contrib_sql(), ["raw_value", "contribution"]))
+def q_contributions(fx):
+    rows = fx.market_features().filter(F.col("year") >= TEST_START_YEAR)
+    return score.contributions(rows, ["entity_id", "year", "month"], FIXED_TERMS)
+
+
+@query("explain_top", "I4 D8 K12", oracle(["features"], f"""SELECT entity_id, year, month,
+         printf('%d-%02d', year, month) AS target_period, direction, rank, feature,
+         round(raw_value, 2) AS current_value, round(contribution, 3) AS impact_score
+       FROM (SELECT *, CASE WHEN contribution > 0 THEN 'UP' ELSE 'DOWN' END AS direction,
+                    row_number() OVER (PARTITION BY entity_id, year, month, CASE WHEN contribution > 0 THEN 'UP' ELSE 'DOWN' END
+                       ORDER BY CASE WHEN contribution > 0 THEN -contribution ELSE contribution END, feature) AS rank
+             FROM ({_contrib_sql()}) c WHERE contribution <> 0 AND contribution IS NOT NULL) r WHERE rank <= 4""",
+    ["current_value", "impact_score"]))
+def q_explain_top(fx):
+    rows = fx.market_features().filter(F.col("year") >= TEST_START_YEAR)
+    c = score.contributions(rows, ["entity_id", "year", "month"], FIXED_TERMS)
+    return score.explain_top(c.filter(F.col("contribution").isNotNull()), ["entity_id", "year", "month"])
+
+
+_SCORE_TARGETS = [(2001, 10), (2002, 3), (1990, 1)]
+
+
+@query("score_features", "I1 D10 E6 F7 F8 B16")
+def q_score_features(fx):
+    t = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.lit(m).alias("month")) for y, m in _SCORE_TARGETS]))
+    targets = fx.dim().select("entity_id", t.alias("t")).select("entity_id", "t.year", "t.month")
+    raw = fx.combined()
+    return score.score_features(raw, targets, W8, _categories(fx))
+
+
+@query("score_and_explain", "I1 I2 I3 I4")
+def q_score_and_explain(fx):
+    """End-to-end: fit Lasso price model, score all entities at future targets, explain the top drivers."""
+    tm, models = _fit_all(fx, "lasso")
+    m = models["price"]
+    t = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.lit(mm).alias("month")) for y, mm in _SCORE_TARGETS]))
+    targets = fx.dim().select("entity_id", t.alias("t")).select("entity_id", "t.year", "t.month")
+    rows = score.score_features(fx.combined(), targets, W8, _categories(fx))
+    terms = [(f, float(mu), float(sd), float(c)) for f, mu, sd, c in zip(m.features, m.mean, m.std, m.coef) if c != 0]
+    keys = ["entity_id", "target_year", "target_month"]
+    pred = score.predict_batch(rows, terms, m.intercept).select(*keys, "is_fallback", "prediction")
+    if not terms:
+        return pred
+    top = score.explain_top(score.contributions(rows, keys, terms).withColumnRenamed("target_year", "year")
+                            .withColumnRenamed("target_month", "month"), ["entity_id", "year", "month"])
+    drivers = top.groupBy("entity_id", "year", "month").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "direction", F.col("rank").cast("string"), "feature"))),
+                     ";").alias("drivers"))
+    return pred.join(drivers.withColumnRenamed("year", "target_year").withColumnRenamed("month", "target_month"),
+                     keys, "left")

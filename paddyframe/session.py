@@ -22,6 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -47,7 +48,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Set the package defaults on an existing session where they are unset."""
     for k, v in DEFAULT_CONF.items():
-        if k == "spark.ui.enabled":
+        if k in ("spark.ui.enabled", "spark.ui.showConsoleProgress"):
             continue  # static; cannot be changed on a running session
         try:
             if spark.conf.get(k, None) is None:
