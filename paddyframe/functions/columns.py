@@ -73,9 +73,13 @@ def nan_to_null(c) -> Column:
 def any_contains(c, phrases, lower: bool = True) -> Column:
     """True when any phrase is a substring of ``c``.
 
-    The phrase list is a literal array, so it is bounded by construction and
-    evaluated inside whole-stage codegen with no join.
+    An OR-chain of ``contains`` keeps the check inside whole-stage codegen
+    (higher-order lambdas are interpreted), and the lower-cased text is a common
+    subexpression evaluated once per row.  The phrase list is literal, so it is
+    bounded by construction and needs no join.
     """
     text = F.lower(col_(c)) if lower else col_(c)
-    arr = F.array(*[F.lit(p) for p in phrases])
-    return F.exists(arr, lambda p: F.instr(text, p) > 0)
+    cond = F.lit(False)
+    for p in phrases:
+        cond = cond | text.contains(p)
+    return F.coalesce(cond, F.lit(False))
