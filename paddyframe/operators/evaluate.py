@@ -109,3 +109,27 @@ def metrics_long(df: DataFrame, layer: str) -> DataFrame:
     cols = [c for c in df.columns]
     parts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     return df.select(F.lit(layer).alias("layer"), F.expr(f"stack({len(cols)}, {parts}) AS (metric, value)"))
+
+
+def trajectory_outcome(calls: DataFrame, runs: DataFrame, run_key: str, name_col: str, exp_col: str = "exp",
+                       grounded_col: str | None = None, helpful_col: str | None = None) -> DataFrame:
+    """Trajectory check from aggregates (L6): per run, the tool count and whether each expected
+    tool was called, then the expectation rule and the success rule.  No per-run list is built,
+    so a run with a huge number of calls is still a partial aggregate."""
+    aggs = [F.count(F.col(name_col)).alias("n_tools")]
+    aggs += [F.bool_or(F.col(name_col) == F.lit(t)).alias(f"_has_{k}") for k, t in EXPECT_TOOL.items()]
+    r = runs.join(calls.groupBy(run_key).agg(*aggs), run_key, "left")
+    n = F.coalesce(F.col("n_tools"), F.lit(0))
+    ok = F.lit(False)
+    rule = None
+    for k in EXPECT_TOOL:
+        cond = F.col(exp_col) == k
+        rule = F.when(cond, F.coalesce(F.col(f"_has_{k}"), F.lit(False))) if rule is None else \
+            rule.when(cond, F.coalesce(F.col(f"_has_{k}"), F.lit(False)))
+    ok = rule.when(F.col(exp_col).isin(NO_TOOL_EXPECTATIONS), n == 0).otherwise(False)
+    out = r.withColumn("n_tools", n).withColumn("traj_ok", ok)
+    if grounded_col and helpful_col:
+        no_tool = F.col(exp_col).isin(NO_TOOL_EXPECTATIONS)
+        g, h = F.coalesce(F.col(grounded_col), F.lit(0)), F.coalesce(F.col(helpful_col), F.lit(0))
+        out = out.withColumn("success", F.col("traj_ok") & (no_tool | ((g >= MIN_GROUNDEDNESS) & (h >= MIN_HELPFULNESS))))
+    return out.drop(*[f"_has_{k}" for k in EXPECT_TOOL])
