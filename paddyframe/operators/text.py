@@ -305,6 +305,11 @@ def missing_slots(action, present_slots) -> tuple[Column, Column]:
 
 # ---- K8 --------------------------------------------------------------------
 
+def _strip(c) -> Column:
+    """Whitespace strip like Python ``str.strip()`` (Spark ``trim`` only removes spaces)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def chunk_headings(docs: DataFrame, key: str, text_col: str, source_col: str | None = None,
                    default_section: str = "General") -> DataFrame:
     """Heading chunker (K8): split at lines starting with ``#``+space, preamble -> chunk_0
@@ -314,10 +319,10 @@ def chunk_headings(docs: DataFrame, key: str, text_col: str, source_col: str | N
     head = F.regexp_extract("part", r"^(#+ [^\n]*)", 1)
     body = F.when(head != "", F.expr("substring(part, length(regexp_extract(part, '^(#+ [^\\n]*)', 1)) + 1)")) \
         .otherwise(F.col("part"))
-    x = x.withColumn("heading", head).withColumn("text", F.trim(body))
+    x = x.withColumn("heading", head).withColumn("text", _strip(body))
     x = x.filter(F.col("text") != "")
     is_pre = F.col("heading") == ""
-    section = F.when(is_pre, F.lit(default_section)).otherwise(F.trim(F.expr("ltrim('#', heading)")))
+    section = F.when(is_pre, F.lit(default_section)).otherwise(_strip(F.regexp_replace("heading", "^#+", "")))
     x = x.withColumn("section", section).withColumn("_pre", is_pre.cast("int"))
     w = Window.partitionBy(key, "_pre").orderBy("pos")
     x = x.withColumn("chunk_no", F.when(F.col("_pre") == 1, F.lit(0)).otherwise(F.row_number().over(w)))
