@@ -138,41 +138,50 @@ def fold_ids(df: DataFrame, order_cols: list[str], entity_col: str, folds: int =
 
 # ---- Gram pass ------------------------------------------------------------
 
-def fold_grams(df: DataFrame, features: list[str], target: str, mean: np.ndarray, std: np.ndarray,
-               fold_col: str | None = "fold") -> dict[int, np.ndarray]:
-    """Per-fold Gram of ``[1, z, y]`` (z standardised) via per-partition numpy partials."""
-    d = len(features)
+def gram_pass(df: DataFrame, cols: list[str], mean: np.ndarray, std: np.ndarray,
+              fold_col: str | None = "fold") -> dict[int, np.ndarray]:
+    """Per-fold Gram of ``[1, (x - mean) / std]`` over ``cols`` via per-partition numpy partials.
+
+    Each partition emits (folds x (d+1)^2) partial sums; ``groupBy(fold, i, j).sum``
+    combines them, so only folds x (d+1)^2 numbers reach the driver.
+    """
+    d = len(cols)
     m_b, s_b = mean.astype(float), std.astype(float)
     fold_expr = F.col(fold_col).cast("int") if fold_col else F.lit(0)
-    src = df.select(fold_expr.alias("_fold"), F.col(target).cast("double").alias("_y"),
-                    *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
+    src = df.select(fold_expr.alias("_fold"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
 
     def partials(it):
         acc: dict[int, np.ndarray] = {}
         for pdf in it:
             if pdf.empty:
                 continue
-            X = pdf[[f"_x{i}" for i in range(d)]].to_numpy(dtype=float)
-            Z = (X - m_b) / s_b
-            A = np.column_stack([np.ones(len(pdf)), Z, pdf["_y"].to_numpy(dtype=float)])
-            for f in np.unique(pdf["_fold"].to_numpy()):
-                sel = A[pdf["_fold"].to_numpy() == f]
+            Z = (pdf[[f"_x{i}" for i in range(d)]].to_numpy(dtype=float) - m_b) / s_b
+            A = np.column_stack([np.ones(len(pdf)), Z])
+            fold = pdf["_fold"].to_numpy()
+            for f in np.unique(fold):
+                sel = A[fold == f]
                 acc[int(f)] = acc.get(int(f), 0) + sel.T @ sel
         for f, G in acc.items():
-            ii, jj = np.meshgrid(np.arange(d + 2), np.arange(d + 2), indexing="ij")
+            ii, jj = np.meshgrid(np.arange(d + 1), np.arange(d + 1), indexing="ij")
             yield pd.DataFrame({"fold": np.int32(f), "i": ii.ravel().astype("int32"),
                                 "j": jj.ravel().astype("int32"), "v": G.ravel()})
 
     parts = src.mapInPandas(partials, "fold int, i int, j int, v double")
-    tot = parts.groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toPandas()   # folds x (d+2)^2 numbers
+    tot = parts.groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toPandas()
     out = {}
     for f, g in tot.groupby("fold"):
-        G = np.zeros((d + 2, d + 2))
+        G = np.zeros((d + 1, d + 1))
         G[g["i"].to_numpy(), g["j"].to_numpy()] = g["v"].to_numpy()
         out[int(f)] = G
     return out
 
 
+def fold_grams(df: DataFrame, features: list[str], target: str, mean: np.ndarray, std: np.ndarray,
+               fold_col: str | None = "fold") -> dict[int, np.ndarray]:
+    """Per-fold Gram of ``[1, z, y]`` (z standardised, y raw)."""
+    return gram_pass(df, features + [target], np.concatenate([mean, [0.0]]), np.concatenate([std, [1.0]]), fold_col)
+
+
 def _centered(G: np.ndarray):
     """From an augmented Gram [1, z, y]: n, means, centred Z'Z, Z'y, y'y."""
     n = G[0, 0]
@@ -208,7 +217,9 @@ def lasso_cd(ZZ: np.ndarray, Zy: np.ndarray, n: float, alpha: float, w0: np.ndar
     g = Zy - ZZ @ w                       # Z'R
     for it in range(max_iter):
         w_max = d_max = 0.0
-        for j in range(d):
+        # coordinates at zero that satisfy |g_j| <= lam would stay at zero: visit only the
+        # active set and the current KKT violators (the gap test below still checks all)
+        for j in np.flatnonzero((w != 0) | (np.abs(g) > lam)):
             dj = diag[j]
             if dj <= 0:
                 continue
@@ -258,31 +269,170 @@ def _active_set_solution(ZZ: np.ndarray, Zy: np.ndarray, w: np.ndarray, lam: flo
     return out
 
 
-def lasso_cv(df: DataFrame, features: list[str], target: str, entity_col: str, order_cols: list[str],
-             folds: int = LASSO_CV_FOLDS, n_alphas: int = LASSO_N_ALPHAS, eps: float = LASSO_EPS) -> LinearModel:
-    """LassoCV (H5): scaler on all training rows, contiguous folds, automatic alpha path, refit."""
-    mean, std = standardize_stats(df, features)
-    grams = fold_grams(fold_ids(df, order_cols, entity_col, folds), features, target, mean, std)
-    G_all = sum(grams.values())
+def _alpha_grid(G_all: np.ndarray, n_alphas: int, eps: float) -> np.ndarray:
+    n, _, _, _, Zy, _ = _centered(G_all)
+    alpha_max = np.max(np.abs(Zy)) / n if len(Zy) else 0.0
+    if alpha_max <= 0:
+        return np.array([1.0])
+    return np.logspace(np.log10(alpha_max), np.log10(alpha_max * eps), n_alphas)
+
+
+def _fold_path_mse(G_all: np.ndarray, G_test: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Held-out MSE along the warm-started alpha path fitted on all folds but one."""
+    nt, mzt, myt, ZZt, Zyt, yyt = _centered(G_all - G_test)
+    out = np.zeros(len(alphas))
+    w = None
+    for a_i, a in enumerate(alphas):
+        w = lasso_cd(ZZt, Zyt, nt, a, w, yy=yyt)
+        out[a_i] = _heldout_mse(G_test, w, myt - mzt @ w)
+    return out
+
+
+def _lasso_cv_grid(spark: SparkSession, subs: dict[str, dict[int, np.ndarray]], n_alphas: int, eps: float):
+    """CV for several models at once: one Spark task per (model, held-out fold).
+
+    The tasks carry only (d+2)^2 Gram numbers, so the grid is independent of the
+    row count; the paths run in parallel instead of one after another on the driver.
+    Returns {model: (alphas, mse[alpha, fold])}.
+    """
+    grids = {name: _alpha_grid(sum(g.values()), n_alphas, eps) for name, g in subs.items()}
+    rows = []
+    for name, grams in subs.items():
+        G_all = sum(grams.values())
+        for f, G_test in grams.items():
+            rows.append((name, int(f), int(G_all.shape[0]), G_all.ravel().tolist(), G_test.ravel().tolist(),
+                         grids[name].tolist()))
+    tasks = spark.createDataFrame(rows, "model string, fold int, dim int, g_all array<double>, "
+                                        "g_test array<double>, alphas array<double>")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        k = int(r["dim"])
+        mse = _fold_path_mse(np.asarray(r["g_all"], float).reshape(k, k), np.asarray(r["g_test"], float).reshape(k, k),
+                             np.asarray(r["alphas"], float))
+        return pd.DataFrame({"model": r["model"], "fold": np.int32(r["fold"]), "a": np.arange(len(mse), dtype="int32"),
+                             "mse": mse})
+
+    n_tasks = max(len(rows), 1)
+    res = (tasks.repartition(n_tasks, "model", "fold").groupBy("model", "fold")
+           .applyInPandas(solve, "model string, fold int, a int, mse double").toPandas())
+    out = {}
+    for name, g in res.groupby("model"):
+        piv = g.pivot(index="a", columns="fold", values="mse").sort_index()
+        out[name] = (grids[name], piv.to_numpy())
+    return out
+
+
+def _lasso_refit(G_all: np.ndarray, alphas: np.ndarray, best: int):
     n, mz, my, ZZ, Zy, yy = _centered(G_all)
-    alpha_max = np.max(np.abs(Zy)) / n
-    alphas = np.logspace(np.log10(alpha_max), np.log10(alpha_max * eps), n_alphas) if alpha_max > 0 else np.array([1.0])
-    mse = np.zeros((len(alphas), len(grams)))
-    for k, (f, G_test) in enumerate(sorted(grams.items())):
-        nt, mzt, myt, ZZt, Zyt, _ = _centered(G_all - G_test)
-        w = None
-        yyt = _centered(G_all - G_test)[5]
-        for a_i, a in enumerate(alphas):
-            w = lasso_cd(ZZt, Zyt, nt, a, w, yy=yyt)
-            b = myt - mzt @ w
-            mse[a_i, k] = _heldout_mse(G_test, w, b)
-    best = int(np.argmin(mse.mean(axis=1)))
     w = None
     for a in alphas[: best + 1]:           # warm-started path down to the chosen alpha
         w = lasso_cd(ZZ, Zy, n, a, w, yy=yy)
-    b = my - mz @ w
-    return LinearModel(features, mean, std, w, float(b), float(alphas[best]), "lasso", target,
-                       {"alphas": alphas, "mse_path": mse})
+    return w, float(my - mz @ w)
+
+
+def fit_targets(df: DataFrame, specs: dict[str, tuple[list[str], str]], kind: str = "lasso",
+                entity_col: str | None = None, order_cols: list[str] | None = None,
+                folds: int = LASSO_CV_FOLDS, n_alphas: int = LASSO_N_ALPHAS, eps: float = LASSO_EPS,
+                alphas=RIDGE_ALPHAS) -> dict[str, LinearModel]:
+    """Fit several models that share training rows in one moments pass and one Gram pass (H5/H6).
+
+    ``specs``: {name: (features, target)}.  The Gram of ``[1, z(union of features),
+    targets]`` holds every model's Gram as a sub-block, so three targets cost the
+    same data passes as one.  Ridge leave-one-out errors for every model and alpha
+    come from one further scoring pass.
+    """
+    feats: list[str] = []
+    for fs, _ in specs.values():
+        feats += [f for f in fs if f not in feats]
+    ys = []
+    for _, y in specs.values():
+        if y not in ys:
+            ys.append(y)
+    mean, std = standardize_stats(df, feats)
+    cols = feats + ys
+    m_ext = np.concatenate([mean, np.zeros(len(ys))])
+    s_ext = np.concatenate([std, np.ones(len(ys))])
+    if kind == "lasso":
+        grams = gram_pass(fold_ids(df, order_cols, entity_col, folds), cols, m_ext, s_ext, "fold")
+    else:
+        grams = gram_pass(df, cols, m_ext, s_ext, None)
+    pos = {c: i + 1 for i, c in enumerate(cols)}
+    out: dict[str, LinearModel] = {}
+    ridge_sols = {}
+    lasso_subs = {}
+    for name, (fs, y) in specs.items():
+        idx = [0] + [pos[f] for f in fs] + [pos[y]]
+        sub = {k: G[np.ix_(idx, idx)] for k, G in grams.items()}
+        fi = [feats.index(f) for f in fs]
+        if kind == "lasso":
+            lasso_subs[name] = (fs, y, fi, sub)
+        else:
+            n, mz, my, ZZ, Zy, _ = _centered(sub[0])
+            sols = []
+            for a in alphas:
+                A = np.linalg.inv(ZZ + a * np.eye(len(fs)))
+                w = A @ Zy
+                sols.append((a, A, w, float(my - mz @ w)))
+            ridge_sols[name] = (fs, y, n, mz, sols)
+    if lasso_subs:
+        cv = _lasso_cv_grid(df.sparkSession, {k: v[3] for k, v in lasso_subs.items()}, n_alphas, eps)
+        for name, (fs, y, fi, sub) in lasso_subs.items():
+            path, mse = cv[name]
+            best = int(np.argmin(mse.mean(axis=1)))
+            w, b = _lasso_refit(sum(sub.values()), path, best)
+            out[name] = LinearModel(fs, mean[fi], std[fi], w, b, float(path[best]), "lasso", y,
+                                    {"alphas": path, "mse_path": mse})
+    if kind != "lasso":
+        sse = _ridge_loo_pass(df, feats, mean, std, ridge_sols)
+        for name, (fs, y, n, mz, sols) in ridge_sols.items():
+            best = int(np.argmin(sse[name]))
+            a, _, w, b = sols[best]
+            fi = [feats.index(f) for f in fs]
+            out[name] = LinearModel(fs, mean[fi], std[fi], w, b, float(a), "ridge", y, {"loo_sse": sse[name]})
+    return out
+
+
+def _ridge_loo_pass(df: DataFrame, feats: list[str], mean: np.ndarray, std: np.ndarray, ridge_sols: dict) -> dict:
+    """Sum of squared leave-one-out errors per (model, alpha) in one pass:
+    ``e_i / (1 - h_ii)`` with ``h_ii = 1/n + zc_i' A zc_i`` (A broadcast, d x d per model and alpha)."""
+    names = list(ridge_sols)
+    ys = []
+    for n_ in names:
+        if ridge_sols[n_][1] not in ys:
+            ys.append(ridge_sols[n_][1])
+    fidx = {n_: [feats.index(f) for f in ridge_sols[n_][0]] for n_ in names}
+    src = df.select(*[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)],
+                    *[F.col(y).cast("double").alias(f"_y{j}") for j, y in enumerate(ys)])
+    m_b, s_b = mean.astype(float), std.astype(float)
+
+    def loo(it):
+        acc = {n_: np.zeros(len(ridge_sols[n_][4])) for n_ in names}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            Z = (pdf[[f"_x{i}" for i in range(len(feats))]].to_numpy(dtype=float) - m_b) / s_b
+            for n_ in names:
+                fs, y, n, mz, sols = ridge_sols[n_]
+                Zs = Z[:, fidx[n_]]
+                yv = pdf[f"_y{ys.index(y)}"].to_numpy(dtype=float)
+                Zc = Zs - mz
+                for k, (a, A, w, b) in enumerate(sols):
+                    e = yv - (Zs @ w + b)
+                    h = np.einsum("ij,jk,ik->i", Zc, A, Zc) + 1.0 / n
+                    acc[n_][k] += np.sum((e / (1.0 - h)) ** 2)
+        rows = [(n_, k, float(v)) for n_ in names for k, v in enumerate(acc[n_])]
+        yield pd.DataFrame(rows, columns=["model", "k", "sse"]).astype({"k": "int32"})
+
+    tot = (src.mapInPandas(loo, "model string, k int, sse double").groupBy("model", "k")
+           .agg(F.sum("sse").alias("sse")).toPandas())
+    return {n_: g.sort_values("k")["sse"].to_numpy() for n_, g in tot.groupby("model")}
+
+
+def lasso_cv(df: DataFrame, features: list[str], target: str, entity_col: str, order_cols: list[str],
+             folds: int = LASSO_CV_FOLDS, n_alphas: int = LASSO_N_ALPHAS, eps: float = LASSO_EPS) -> LinearModel:
+    """LassoCV (H5): scaler on all training rows, contiguous folds, automatic alpha path, refit."""
+    return fit_targets(df, {target: (features, target)}, "lasso", entity_col, order_cols, folds, n_alphas, eps)[target]
 
 
 def lasso_fixed(df: DataFrame, features: list[str], target: str, alpha: float) -> LinearModel:
@@ -296,38 +446,7 @@ def lasso_fixed(df: DataFrame, features: list[str], target: str, alpha: float) -
 
 def ridge_cv(df: DataFrame, features: list[str], target: str, alphas=RIDGE_ALPHAS) -> LinearModel:
     """RidgeCV (H6): closed form per alpha, efficient leave-one-out score in one pass."""
-    mean, std = standardize_stats(df, features)
-    G = fold_grams(df, features, target, mean, std, fold_col=None)[0]
-    n, mz, my, ZZ, Zy, yy = _centered(G)
-    d = len(features)
-    sols = []
-    for a in alphas:
-        A = np.linalg.inv(ZZ + a * np.eye(d))
-        w = A @ Zy
-        sols.append((a, A, w, float(my - mz @ w)))
-    m_b, s_b = mean.astype(float), std.astype(float)
-    src = df.select(F.col(target).cast("double").alias("_y"),
-                    *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
-
-    def loo(it):
-        acc = np.zeros(len(sols))
-        for pdf in it:
-            if pdf.empty:
-                continue
-            Z = (pdf[[f"_x{i}" for i in range(d)]].to_numpy(dtype=float) - m_b) / s_b
-            y = pdf["_y"].to_numpy(dtype=float)
-            Zc = Z - mz
-            for k, (a, A, w, b) in enumerate(sols):
-                e = y - (Z @ w + b)
-                h = np.einsum("ij,jk,ik->i", Zc, A, Zc) + 1.0 / n
-                acc[k] += np.sum((e / (1.0 - h)) ** 2)
-        yield pd.DataFrame({"k": np.arange(len(sols), dtype="int32"), "sse": acc})
-
-    sse = src.mapInPandas(loo, "k int, sse double").groupBy("k").agg(F.sum("sse").alias("sse")).toPandas()
-    sse = sse.sort_values("k")["sse"].to_numpy()
-    best = int(np.argmin(sse))
-    a, _, w, b = sols[best]
-    return LinearModel(features, mean, std, w, b, float(a), "ridge", target, {"loo_sse": sse})
+    return fit_targets(df, {target: (features, target)}, "ridge", alphas=alphas)[target]
 
 
 # ---- H7 / H8 / H9 / H10 -----------------------------------------------------

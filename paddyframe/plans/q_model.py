@@ -147,13 +147,9 @@ def _fit_all(fx, kind: str, full: bool = False):
     tm = _tm(fx).cache()      # reused by the moment pass, the Gram pass and the scoring pass
     train = tm if full else tm.filter(F.col("year") <= TRAIN_END_YEAR)
     sets = linear.feature_sets(tm.columns, kind)
-    models = {}
-    for t, cols in sets.items():
-        y = TARGET_COL[t]
-        if kind == "lasso":
-            models[t] = linear.lasso_cv(train, cols, y, "entity_id", ["year", "month"])
-        else:
-            models[t] = linear.ridge_cv(train, cols, y)
+    specs = {t: (cols, TARGET_COL[t]) for t, cols in sets.items()}
+    # all three targets share one moments pass and one Gram pass over the training rows
+    models = linear.fit_targets(train, specs, kind, "entity_id", ["year", "month"])
     return tm, models
 
 
