@@ -83,3 +83,38 @@ def any_contains(c, phrases, lower: bool = True) -> Column:
     for p in phrases:
         cond = cond | text.contains(p)
     return F.coalesce(cond, F.lit(False))
+
+
+_SPLIT = 134217729.0   # 2**27 + 1, Veltkamp splitting constant
+
+
+def py_round(c, digits: int) -> Column:
+    """Round like Python's ``round(x, d)``: correctly rounded on the exact binary value,
+    exact ties to even (T9).  ``x * 10^d`` is computed with its exact rounding error
+    (Veltkamp split; 10^d has few bits, so the partial products are exact), which
+    decides the cases where the floating product lands exactly on a half."""
+    s = float(10 ** digits)
+    x = col_(c).cast("double")
+    p = x * F.lit(s)
+    t = x * F.lit(_SPLIT)
+    xh = t - (t - x)
+    xl = x - xh
+    err = (xh * F.lit(s) - p) + xl * F.lit(s)
+    r = F.rint(p)
+    tie = F.abs(p - r) == F.lit(0.5)
+    fl = F.floor(p).cast("double")
+    r = F.when(tie & (err > 0), fl + F.lit(1.0)).when(tie & (err < 0), fl).otherwise(r)
+    return F.when(F.isnan(x) | F.isnull(x), x).otherwise(r / F.lit(s))
+
+
+def py_round_sql(expr: str, digits: int) -> str:
+    """The same computation as ``py_round`` in DuckDB SQL (for the oracles)."""
+    s = f"{float(10 ** digits)!r}"
+    x = f"CAST(({expr}) AS DOUBLE)"
+    p = f"({x} * {s})"
+    t = f"({x} * {_SPLIT!r})"
+    xh = f"({t} - ({t} - {x}))"
+    err = f"(({xh} * {s} - {p}) + ({x} - {xh}) * {s})"
+    return (f"(CASE WHEN abs({p} - round_even({p}, 0)) = 0.5 AND {err} > 0 THEN floor({p}) + 1.0 "
+            f"WHEN abs({p} - round_even({p}, 0)) = 0.5 AND {err} < 0 THEN floor({p}) "
+            f"ELSE round_even({p}, 0) END / {s})")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import py_round
+
 # --- fixed values: expectation -> tool that must appear ----------------------
 EXPECT_TOOL = {"weather": "get_monthly_weather_tool", "correlation": "analyze_correlation_tool"}
 NO_TOOL_EXPECTATIONS = ["clarify", "reject", "general"]
@@ -56,8 +58,8 @@ def binary_metrics(df: DataFrame, pred_col: str, label_col: str, keys: list[str]
     f1 = F.coalesce(F.try_divide(2 * F.col("_p") * F.col("_r"), F.col("_p") + F.col("_r")), F.lit(0.0))
     acc = F.coalesce(F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")),
                      F.lit(0.0))
-    return c.select(*(keys or []), F.round("_p", digits).alias("precision"), F.round("_r", digits).alias("recall"),
-                    F.round(f1, digits).alias("f1"), F.round(acc.cast("double"), digits).alias("accuracy"),
+    return c.select(*(keys or []), py_round("_p", digits).alias("precision"), py_round("_r", digits).alias("recall"),
+                    py_round(f1, digits).alias("f1"), py_round(acc.cast("double"), digits).alias("accuracy"),
                     "tp", "fp", "fn", "tn")
 
 
@@ -73,9 +75,9 @@ def resolver_accuracy(df: DataFrame, status_col: str, expected_status_col: str,
     exp_res = F.col(expected_status_col) == "RESOLVED"
     resolved = exp_res & F.col(got_entity_col).isNotNull()
     return df.agg(
-        F.round(F.count_if(resolved & (F.col(got_entity_col) == F.col(expected_entity_col)))
-                / F.greatest(F.count_if(resolved), F.lit(1)), digits).alias("entity_accuracy"),
-        F.round(F.avg((F.col(status_col) == F.col(expected_status_col)).cast("double")), digits).alias("status_accuracy"),
+        py_round(F.count_if(resolved & (F.col(got_entity_col) == F.col(expected_entity_col)))
+                 / F.greatest(F.count_if(resolved), F.lit(1)), digits).alias("entity_accuracy"),
+        py_round(F.avg((F.col(status_col) == F.col(expected_status_col)).cast("double")), digits).alias("status_accuracy"),
         F.count_if(resolved).alias("resolved"), F.count(F.lit(1)).alias("n_cases"))
 
 
@@ -83,9 +85,9 @@ def label_accuracy(df: DataFrame, got_topic: str, exp_topic: str, fallback_col:
                    digits: int = 3) -> DataFrame:
     """Topic accuracy and block accuracy (blocked == not allowed)."""
     blocked_ok = F.coalesce(F.col(fallback_col), F.lit(False)) == ~F.col(exp_allowed)
-    return df.agg(F.round(F.avg(blocked_ok.cast("double")), digits).alias("blocked_accuracy"),
-                  F.round(F.avg(F.coalesce(F.col(got_topic) == F.col(exp_topic), F.lit(False)).cast("double")),
-                          digits).alias("topic_accuracy"), F.count(F.lit(1)).alias("n_cases"))
+    return df.agg(py_round(F.avg(blocked_ok.cast("double")), digits).alias("blocked_accuracy"),
+                  py_round(F.avg(F.coalesce(F.col(got_topic) == F.col(exp_topic), F.lit(False)).cast("double")),
+                           digits).alias("topic_accuracy"), F.count(F.lit(1)).alias("n_cases"))
 
 
 def position_bias(w1, w2):

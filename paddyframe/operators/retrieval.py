@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import py_round
+
 DEFAULT_TOP_K = 2
 MAX_BROADCAST_QUERIES = 100_000
 
@@ -76,5 +78,5 @@ def retrieval_metrics(hits: DataFrame, relevant: DataFrame, q_key: str, item_col
         q_key, (F.col("_hit") / F.greatest(F.col("_nh"), F.lit(1))).alias("p"),
         (F.col("_hit") / F.greatest(F.coalesce(F.col("_nrel"), F.lit(0)), F.lit(1))).alias("r"),
         F.coalesce(F.try_divide(F.lit(1.0), F.col("_first")), F.lit(0.0)).alias("rr"))
-    return per.agg(F.round(F.avg("p"), digits).alias("precision_at_k"), F.round(F.avg("r"), digits).alias("recall_at_k"),
-                   F.round(F.avg("rr"), digits).alias("mrr"), F.count(F.lit(1)).alias("n_queries"))
+    return per.agg(py_round(F.avg("p"), digits).alias("precision_at_k"), py_round(F.avg("r"), digits).alias("recall_at_k"),
+                   py_round(F.avg("rr"), digits).alias("mrr"), F.count(F.lit(1)).alias("n_queries"))

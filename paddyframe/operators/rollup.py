@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import threshold_flag
+from ..functions.columns import py_round, threshold_flag
 from .order_stats import exact_rank
 
 # --- fixed values: how each daily variable collapses to a month, and the
@@ -138,7 +138,7 @@ def summary_stats(daily: DataFrame, keys: list[str], variables: list[str], digit
     wide = daily.groupBy(*keys).agg(*[a.cast("double").alias(n) for a, n in zip(aggs, names)])
     stack = ", ".join(f"'{v}', '{s}', {n}" for (v, s), n in zip(labels, names))
     return wide.select(*keys, F.expr(f"stack({len(names)}, {stack}) AS (variable, stat, value)")) \
-        .withColumn("value", F.round("value", digits))
+        .withColumn("value", py_round("value", digits))
 
 
 def climatology(df: DataFrame, keys: list[str], variables: list[str], month_col: str = "month") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import period_label
+from ..functions.columns import period_label, py_round
 from . import clean, features as feat, rollup
 
 MARKET_COLS = ["price_lag1", "price_lag12", "yield_lag1", "production_lag1", "hist_yield", "hist_price"]
@@ -65,7 +65,7 @@ def linear_expr(terms, intercept: float):
 
 def predict_batch(rows: DataFrame, terms, intercept: float, digits: int = 2, out: str = "prediction") -> DataFrame:
     """Linear prediction, clamped at 0 and rounded."""
-    return rows.withColumn(out, F.round(F.greatest(F.lit(0.0), linear_expr(terms, intercept)), digits))
+    return rows.withColumn(out, py_round(F.greatest(F.lit(0.0), linear_expr(terms, intercept)), digits))
 
 
 def contributions(rows: DataFrame, keys: list[str], terms) -> DataFrame:
@@ -96,4 +96,4 @@ def explain_top(contrib: DataFrame, keys: list[str], k: int = 4, year_col: str =
         F.when(F.col("direction") == "UP", -F.col("contribution")).otherwise(F.col("contribution")), F.col("feature"))
     top = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return top.select(*keys, period_label(year_col, month_col).alias("target_period"), "direction", "rank", "feature",
-                      F.round("raw_value", 2).alias("current_value"), F.round("contribution", 3).alias("impact_score"))
+                      py_round("raw_value", 2).alias("current_value"), py_round("contribution", 3).alias("impact_score"))

@@ -10,6 +10,7 @@ from ..operators import clean, corr, features as feat, joins, rollup
 from ..sources.tables import scan_filter
 from .catalog import query
 from .fixtures import DAILY_VARS, MONTHLY_VARS, PANEL_START_YEAR, TRAIN_END_YEAR
+from ..functions.columns import py_round_sql as _pr
 from .oracle import oracle
 
 W6 = DAILY_VARS
@@ -401,13 +402,13 @@ def _summary_sql():
     parts = []
     for v in W6:
         if "precipitation" in v or "rain" in v or "duration" in v:
-            parts.append(f"SELECT entity_id, '{v}' AS variable, 'total' AS stat, round(sum({v}), 2) AS value FROM daily GROUP BY 1")
+            parts.append(f"SELECT entity_id, '{v}' AS variable, 'total' AS stat, {_pr(f'sum({v})', 2)} AS value FROM daily GROUP BY 1")
         if "max" in v:
-            parts.append(f"SELECT entity_id, '{v}', 'highest', round(max({v}), 2) FROM daily GROUP BY 1")
+            parts.append(f"SELECT entity_id, '{v}', 'highest', {_pr(f'max({v})', 2)} FROM daily GROUP BY 1")
         if "min" in v:
-            parts.append(f"SELECT entity_id, '{v}', 'lowest', round(min({v}), 2) FROM daily GROUP BY 1")
+            parts.append(f"SELECT entity_id, '{v}', 'lowest', {_pr(f'min({v})', 2)} FROM daily GROUP BY 1")
         if "mean" in v or ("temperature" in v and "max" not in v and "min" not in v):
-            parts.append(f"SELECT entity_id, '{v}', 'average', round(avg({v}), 2) FROM daily GROUP BY 1")
+            parts.append(f"SELECT entity_id, '{v}', 'average', {_pr(f'avg({v})', 2)} FROM daily GROUP BY 1")
     return oracle(["daily"], "\nUNION ALL\n".join(parts), ["value"])
 
 

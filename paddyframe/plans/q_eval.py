@@ -11,6 +11,7 @@ from ..operators import linear, quality, text
 from ..sources import io
 from .catalog import query
 from .fixtures import TRAIN_END_YEAR
+from ..functions.columns import py_round_sql as _pr
 from .oracle import oracle
 from .q_text import _POLICY_SQL, _RESOLVE_CTES, _TOPIC_OF, policy, resolved
 
@@ -127,11 +128,11 @@ def q_trajectory_match(fx):
 
 
 def _bin_sql(pred, label, src):
-    return f"""SELECT round(coalesce(tp / nullif(tp + fp, 0), 0.0), 3) AS precision,
-      round(coalesce(tp / nullif(tp + fn, 0), 0.0), 3) AS recall,
-      round(coalesce(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0))
-            / nullif(coalesce(tp / nullif(tp + fp, 0), 0.0) + coalesce(tp / nullif(tp + fn, 0), 0.0), 0), 0.0), 3) AS f1,
-      round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0), 3) AS accuracy, tp, fp, fn, tn
+    f1 = ("coalesce(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(coalesce(tp / nullif(tp + fp, 0), 0.0)"
+          " + coalesce(tp / nullif(tp + fn, 0), 0.0), 0), 0.0)")
+    return f"""SELECT {_pr('coalesce(tp / nullif(tp + fp, 0), 0.0)', 3)} AS precision,
+      {_pr('coalesce(tp / nullif(tp + fn, 0), 0.0)', 3)} AS recall, {_pr(f1, 3)} AS f1,
+      {_pr('coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0)', 3)} AS accuracy, tp, fp, fn, tn
     FROM (SELECT count(*) FILTER (WHERE {pred} AND {label}) AS tp, count(*) FILTER (WHERE {pred} AND NOT {label}) AS fp,
                  count(*) FILTER (WHERE NOT {pred} AND {label}) AS fn, count(*) FILTER (WHERE NOT {pred} AND NOT {label}) AS tn
           FROM {src})"""
@@ -158,10 +159,9 @@ def q_pii_eval(fx):
     return ev.binary_metrics(d, "pred", "label")
 
 
-@query("resolve_eval", "L9", oracle([], """SELECT
-      round(count(*) FILTER (WHERE exp_status = 'RESOLVED' AND province IS NOT NULL AND province = exp_province)
-            / greatest(count(*) FILTER (WHERE exp_status = 'RESOLVED' AND province IS NOT NULL), 1), 3) AS entity_accuracy,
-      round(avg(CASE WHEN status = exp_status THEN 1.0 ELSE 0.0 END), 3) AS status_accuracy,
+@query("resolve_eval", "L9", oracle([], f"""SELECT
+      {_pr("count(*) FILTER (WHERE exp_status = 'RESOLVED' AND province IS NOT NULL AND province = exp_province) / greatest(count(*) FILTER (WHERE exp_status = 'RESOLVED' AND province IS NOT NULL), 1)", 3)} AS entity_accuracy,
+      {_pr("avg(CASE WHEN status = exp_status THEN 1.0 ELSE 0.0 END)", 3)} AS status_accuracy,
       count(*) FILTER (WHERE exp_status = 'RESOLVED' AND province IS NOT NULL) AS resolved, count(*) AS n_cases
     FROM (SELECT r.*, CASE WHEN r.request_id < 1000 AND r.request_id % 10 = 4 THEN 'NOT_FOUND'
                            WHEN r.request_id >= 10000000 THEN 'NOT_FOUND' ELSE 'RESOLVED' END AS exp_status,
@@ -180,8 +180,8 @@ def q_resolve_eval(fx):
     return ev.resolver_accuracy(r.withColumn("exp_status", exp), "status", "exp_status", "province", "exp_province")
 
 
-@query("label_accuracy", "L11 K6", oracle([], f"""SELECT round(avg(CASE WHEN fallback = NOT (event_type IN ('view', 'click')) THEN 1.0 ELSE 0.0 END), 3) AS blocked_accuracy,
-      round(avg(CASE WHEN topic = CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _TOPIC_OF.items())} END THEN 1.0 ELSE 0.0 END), 3) AS topic_accuracy,
+@query("label_accuracy", "L11 K6", oracle([], f"""SELECT {_pr("avg(CASE WHEN fallback = NOT (event_type IN ('view', 'click')) THEN 1.0 ELSE 0.0 END)", 3)} AS blocked_accuracy,
+      {_pr("avg(CASE WHEN topic = CASE event_type " + ' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _TOPIC_OF.items()) + " END THEN 1.0 ELSE 0.0 END)", 3)} AS topic_accuracy,
       count(*) AS n_cases FROM policy""", ["blocked_accuracy", "topic_accuracy"], extra=[_POLICY_SQL]))
 def q_label_accuracy(fx):
     p = policy(fx)

@@ -8,6 +8,7 @@ from ..operators import linear, score
 from ..operators import features as feat
 from .catalog import query
 from .fixtures import DAILY_VARS, MONTHLY_VARS, PANEL_START_YEAR, TRAIN_END_YEAR
+from ..functions.columns import py_round_sql
 from .oracle import oracle
 
 W6, W8 = DAILY_VARS, MONTHLY_VARS
@@ -215,7 +216,7 @@ def _lin_sql():
 
 
 @query("predict_batch", "I2", oracle(["features"],
-       f"SELECT entity_id, year, month, round(greatest(0.0, {_lin_sql()}), 2) AS prediction FROM features WHERE "
+       f"SELECT entity_id, year, month, {py_round_sql('greatest(0.0, ' + _lin_sql() + ')', 2)} AS prediction FROM features WHERE "
        + " AND ".join(f"{f} IS NOT NULL" for f, *_ in FIXED_TERMS), ["prediction"]))
 def q_predict_batch(fx):
     rows = fx.market_features().dropna(subset=[f for f, *_ in FIXED_TERMS])
@@ -237,7 +238,7 @@ def q_contributions(fx):
 
 @query("explain_top", "I4 D8 K12", oracle(["features"], f"""SELECT entity_id, year, month,
          printf('%d-%02d', year, month) AS target_period, direction, rank, feature,
-         round(raw_value, 2) AS current_value, round(contribution, 3) AS impact_score
+         {py_round_sql('raw_value', 2)} AS current_value, {py_round_sql('contribution', 3)} AS impact_score
        FROM (SELECT *, CASE WHEN contribution > 0 THEN 'UP' ELSE 'DOWN' END AS direction,
                     row_number() OVER (PARTITION BY entity_id, year, month, CASE WHEN contribution > 0 THEN 'UP' ELSE 'DOWN' END
                        ORDER BY CASE WHEN contribution > 0 THEN -contribution ELSE contribution END, feature) AS rank

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geo, resolve, retrieval, text
 from .catalog import query
+from ..functions.columns import py_round_sql as _pr
 from .oracle import oracle
 
 ALLOWED_L1 = ["AMERICA", "ASIA", "EUROPE"]
@@ -377,8 +378,8 @@ def q_assemble_context(fx):
     return ctx.select("query_id", F.md5("context").alias("context_md5"))
 
 
-@query("retrieval_metrics", "L10", oracle([], """SELECT round(avg(p), 3) AS precision_at_k, round(avg(r), 3) AS recall_at_k,
-      round(avg(rr), 3) AS mrr, count(*) AS n_queries FROM (
+@query("retrieval_metrics", "L10", oracle([], f"""SELECT {_pr('avg(p)', 3)} AS precision_at_k, {_pr('avg(r)', 3)} AS recall_at_k,
+      {_pr('avg(rr)', 3)} AS mrr, count(*) AS n_queries FROM (
     SELECT h.query_id, sum(CASE WHEN h.label = h.query_id THEN 1 ELSE 0 END) / greatest(count(*), 1) AS p,
            sum(CASE WHEN h.label = h.query_id THEN 1 ELSE 0 END) / greatest(max(nr.n), 1) AS r,
            coalesce(1.0 / min(CASE WHEN h.label = h.query_id THEN h.rank END), 0.0) AS rr
