@@ -214,7 +214,7 @@ def q_market_summary(fx):
     return fx.market_summary()
 
 
-@query("full_dataset", "C2 F6 B1", oracle(["combined"], "SELECT * FROM combined",
+@query("full_dataset", "A4 C2 F6 B1", oracle(["combined"], "SELECT * FROM combined",
                                      W6 + ["target_yield", "target_price", "target_production", "month_sin", "month_cos"] + LAGS))
 def q_full_dataset(fx):
     return fx.combined()
@@ -619,14 +619,22 @@ def q_corr_by_entity(fx):
     return corr.corr_by_entity(al, W6, OUTCOMES)
 
 
-def _corr_long_sql(keys: list[str], source: str, extra: list[str]) -> str:
+def _corr_long_body(keys: list[str], source: str) -> str:
     k = ", ".join(keys)
-    parts = [f"""SELECT {k}, '{v}' AS weather_variable, '{o}' AS outcome,
+    return "\nUNION ALL\n".join(f"""SELECT {k}, '{v}' AS weather_variable, '{o}' AS outcome,
                  count(*) FILTER (WHERE {v} IS NOT NULL AND {OCOL[o]} IS NOT NULL) AS n,
                  CASE WHEN count(*) FILTER (WHERE {v} IS NOT NULL AND {OCOL[o]} IS NOT NULL) >= 2
                       THEN corr({v}, {OCOL[o]}) END AS r
-               FROM {source} GROUP BY {k}""" for v in W6 for o in OUTCOMES]
-    return oracle(["weather", "production", "prices", "dim"], "\nUNION ALL\n".join(parts), ["r"], extra=extra)
+               FROM {source} GROUP BY {k}""" for v in W6 for o in OUTCOMES)
+
+
+def _corr_long_sql(keys: list[str], source: str, extra: list[str]) -> str:
+    return oracle(["weather", "production", "prices", "dim"], _corr_long_body(keys, source), ["r"], extra=extra)
+
+
+_LAG_SCAN_CTE = ("aligned AS (" + _aligned_sql(0, "1900-01-01", "2999-12-31", lag_expr="lg.lag",
+                                               extra_from=", (SELECT unnest(range(0, 7)) AS lag) lg")
+                 .replace("SELECT w.*", "SELECT w.*, lg.lag", 1) + ")")
 
 
 @query("corr_detailed", "G4", _corr_long_sql(["entity_name", "lag"], "aligned",
@@ -636,14 +644,22 @@ def q_corr_detailed(fx):
     return coeffs
 
 
-@query("corr_lag_scan", "G5", _corr_long_sql(["lag", "entity_name"], "aligned", [
-    "aligned AS (" + _aligned_sql(0, "1900-01-01", "2999-12-31", lag_expr="lg.lag",
-                                  extra_from=", (SELECT unnest(range(0, 7)) AS lag) lg").replace("SELECT w.*", "SELECT w.*, lg.lag", 1) + ")"]))
+@query("corr_lag_scan", "G5", _corr_long_sql(["lag", "entity_name"], "aligned", [_LAG_SCAN_CTE]))
 def q_corr_lag_scan(fx):
     return corr.corr_lag_scan(fx.weather(), fx.production(), fx.prices(), W6, OUTCOMES, range(0, 7),
                               entities=fx.dim())
 
 
+@query("corr_strongest_lag", "G5 E4", oracle(
+    ["weather", "production", "prices", "dim"],
+    """SELECT * FROM scan WHERE r IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY entity_name, weather_variable, outcome ORDER BY abs(r) DESC, lag) = 1""",
+    ["r"], extra=[_LAG_SCAN_CTE, "scan AS (" + _corr_long_body(["lag", "entity_name"], "aligned") + ")"]))
+def q_corr_strongest_lag(fx):
+    scan = corr.corr_lag_scan(fx.weather(), fx.production(), fx.prices(), W6, OUTCOMES, range(0, 7), entities=fx.dim())
+    return corr.strongest_lag(scan, ["entity_name"])
+
+
 @query("parse_period", "G6", oracle([],
        """SELECT o_orderkey,
             CASE WHEN regexp_matches(trim(CAST(year(o_orderdate) AS VARCHAR)), '^\\d{4}$')
