@@ -180,16 +180,26 @@ QUERY_DEFAULT = "weather impact on rice yield and production"
 
 # ---- K1 --------------------------------------------------------------------
 
+def _guarded(c: Column, needles: list[str], regex: str, tag: str, lower: bool = False) -> Column:
+    """Run the regex only on texts containing a substring every match must contain
+    (an exact prefilter: ``instr`` is a fast scan, the regex engine is not)."""
+    probe = F.lower(c) if lower else c
+    hit = F.lit(False)
+    for n in needles:
+        hit = hit | (F.instr(probe, n) > 0)
+    return F.when(hit, F.regexp_replace(c, regex, tag)).otherwise(c)
+
+
 def redact_email(c) -> Column:
-    return F.regexp_replace(col_(c), EMAIL_REGEX, EMAIL_TAG)
+    return _guarded(col_(c), ["@"], EMAIL_REGEX, EMAIL_TAG)
 
 
 def redact_phone(c) -> Column:
-    return F.regexp_replace(col_(c), PHONE_REGEX, PHONE_TAG)
+    return _guarded(col_(c), ["09", "+639"], PHONE_REGEX, PHONE_TAG)
 
 
 def redact_name(c) -> Column:
-    return F.regexp_replace(col_(c), NAME_REGEX, NAME_TAG)
+    return _guarded(col_(c), ["name"], NAME_REGEX, NAME_TAG, lower=True)
 
 
 def remove_pii(c) -> Column:
