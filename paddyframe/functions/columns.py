@@ -75,13 +75,22 @@ def any_contains(c, phrases, lower: bool = True) -> Column:
 
     An OR-chain of ``contains`` keeps the check inside whole-stage codegen
     (higher-order lambdas are interpreted), and the lower-cased text is a common
-    subexpression evaluated once per row.  The phrase list is literal, so it is
-    bounded by construction and needs no join.
+    subexpression evaluated once per row.  Phrases sharing a first word are
+    tested only when that word occurs (an exact prefilter: the word is a prefix
+    of each phrase in its group), which turns ~100 scans into ~20 for a text
+    that contains none of them.  The list is literal, so no join is needed.
     """
     text = F.lower(col_(c)) if lower else col_(c)
-    cond = F.lit(False)
+    groups: dict[str, list[str]] = {}
     for p in phrases:
-        cond = cond | text.contains(p)
+        q = p.lower() if lower else p
+        groups.setdefault(q.split(" ")[0] if " " in q else q, []).append(q)
+    cond = F.lit(False)
+    for head, ps in groups.items():
+        inner = F.lit(False)
+        for p in ps:
+            inner = inner | text.contains(p)
+        cond = cond | (inner if len(ps) == 1 else (text.contains(head) & inner))
     return F.coalesce(cond, F.lit(False))
 
 
