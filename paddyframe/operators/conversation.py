@@ -3,8 +3,9 @@
 Input: ``(conv_id, turn, role, text)`` plus optional tool-call columns.
 Windows partition by conversation.  Top-n style outputs use
 ``row_number() <= n`` (a partial group limit runs before the shuffle, so a
-very long conversation ships n rows per task); running counts for
-gaps-and-islands use running sums, which stream through the sorted partition.
+very long conversation ships n rows per task); running counts and
+last-value carries for gaps-and-islands use the distributed prefix scan of
+``order_stats``, so one conversation never has to fit one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_stats import prefix_scan
+
 RECENT_TURNS = 4          # history turns given to the classifier / extractor
 MEMORY_WINDOW = 10        # turns kept verbatim; older ones are summarised
 
@@ -51,14 +54,16 @@ def latest_tool_block(conv: DataFrame, is_call, is_result, key: str = "conv_id",
     Walking backwards, results are collected until a call turn is met after at
     least one result.  Equivalently: number each result by the count of call
     turns *after* it (island id); keep results of the smallest island id that
-    has any result.
+    has any result.  The count is a distributed prefix scan in descending turn
+    order, so a very long conversation is split over many tasks.
     """
-    w_after = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    d = conv.withColumn("_is_call", is_call.cast("int")).withColumn("_is_res", is_result)
-    d = d.withColumn("_island", F.coalesce(F.sum("_is_call").over(w_after), F.lit(0)))
+    d = conv.withColumn("_is_call", is_call.cast("int")).withColumn("_is_res", is_result) \
+        .withColumn("_rev", -F.col(order))
+    d = prefix_scan(d, [key], "_rev", "_is_call", "sum", "_calls_incl")
+    d = d.withColumn("_island", F.col("_calls_incl") - F.col("_is_call"))
     res = d.filter("_is_res")
     first = res.groupBy(key).agg(F.min("_island").alias("_island"))
-    return res.join(first, [key, "_island"], "inner").drop("_is_call", "_is_res", "_island")
+    return res.join(first, [key, "_island"], "inner").drop("_is_call", "_is_res", "_island", "_rev", "_calls_incl")
 
 
 def resolved_calls(calls: DataFrame, results: DataFrame, key: str = "conv_id", ids_col: str = "call_ids",
@@ -92,11 +97,15 @@ def slot_carry(events: DataFrame, allowed: dict, key: str = "conv_id", order: st
     conf = F.coalesce(F.col(confident_col), F.lit(False))
     d = events.withColumn("_reset", (conf & ~allows).cast("int")) \
         .withColumn("_val", F.when(conf & allows & (F.coalesce(F.length(value_col), F.lit(0)) > 0), F.col(value_col)))
-    w_run = Window.partitionBy(key, slot_col).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_island", F.sum("_reset").over(w_run))
-    w_isl = Window.partitionBy(key, slot_col, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("state", F.last("_val", ignorenulls=True).over(w_isl)) \
-        .select(key, order, slot_col, "state")
+    # island id = running count of resets; state = value at the latest turn with a value
+    # in the same island up to this turn.  Both are distributed prefix scans, then an
+    # equi-join fetches the value, so no conversation is processed by a single task.
+    d = prefix_scan(d, [key, slot_col], order, "_reset", "sum", "_island")
+    d = d.withColumn("_vt", F.when(F.col("_val").isNotNull(), F.col(order)))
+    d = prefix_scan(d, [key, slot_col, "_island"], order, "_vt", "max", "_src")
+    vals = d.filter(F.col("_val").isNotNull()).select(key, slot_col, F.col(order).alias("_src"),
+                                                      F.col("_val").alias("state"))
+    return d.join(vals, [key, slot_col, "_src"], "left").select(key, order, slot_col, "state")
 
 
 def transcript(conv: DataFrame, key: str = "conv_id", order: str = "turn", role_col: str = "role",

@@ -35,3 +35,31 @@ def exact_rank(df: DataFrame, group_cols: list[str], order_col: str,
                    on=["_pid", *group_cols], how="inner")
             .withColumn(rank_col, F.col("_before") + (F.col("_mid") - F.col("_first")) + 1)
             .drop("_pid", "_mid", "_first", "_before"))
+
+
+def prefix_scan(df: DataFrame, group_cols: list[str], order_col: str, value_col: str, op: str = "sum",
+                out: str = "_scan", num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running ``sum`` / ``max`` of ``value_col`` per group in ``order_col`` order,
+    without putting a group in one task.
+
+    The rows are range-partitioned on (group, order) -- a hot group spans many
+    partitions -- each (partition, group) block is scanned locally, the block
+    totals get exclusive offsets (a small table: blocks per group <= partitions),
+    and the offsets are joined back.  ``order_col`` must be unique within a group.
+    """
+    agg = {"sum": F.sum, "max": F.max}[op]
+    keys = [F.col(c) for c in group_cols] + [F.col(order_col)]
+    parts = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
+    parts = parts.withColumn("_pid", F.spark_partition_id())
+    w_loc = Window.partitionBy("_pid", *group_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.withColumn("_loc", agg(value_col).over(w_loc))
+    blocks = local.groupBy("_pid", *group_cols).agg(agg(value_col).alias("_tot"))
+    w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_off", agg("_tot").over(w_off))
+    res = local.join(blocks.select("_pid", *group_cols, "_off"), ["_pid", *group_cols], "inner")
+    if op == "sum":
+        val = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
+        val = F.when(F.col("_off").isNull() & F.col("_loc").isNull(), F.lit(None)).otherwise(val)
+    else:
+        val = F.greatest(F.col("_off"), F.col("_loc"))
+    return res.withColumn(out, val).drop("_pid", "_loc", "_off")

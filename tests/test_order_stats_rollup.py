@@ -57,3 +57,27 @@ def test_extreme_period_first_tie_wins(spark):
     hi = rollup.extreme_period(df, ["e"], "p", "v", "highest").collect()[0]
     lo = rollup.extreme_period(df, ["e"], "p", "v", "lowest").collect()[0]
     assert hi["p"] == 1 and lo["p"] == 4
+
+
+def test_prefix_scan_matches_pandas_with_hot_group(spark):
+    from paddyframe.operators.order_stats import prefix_scan
+    rng = np.random.default_rng(7)
+    n = 4000
+    g = np.where(rng.random(n) < 0.4, "hot", rng.choice(["a", "b"], n))
+    t = rng.permutation(n)
+    v = rng.integers(0, 5, n).astype(float)
+    v[rng.random(n) < 0.1] = np.nan
+    pdf = pd.DataFrame({"g": g, "t": t, "v": v})
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
+    s = prefix_scan(df, ["g"], "t", "v", "sum", "s", num_partitions=9).toPandas()
+    m = prefix_scan(df, ["g"], "t", "v", "max", "m", num_partitions=9).toPandas()
+    ref = pdf.sort_values(["g", "t"]).copy()
+    ref["s"] = ref.groupby("g")["v"].cumsum()
+    ref["m"] = ref.groupby("g")["v"].cummax()
+    got_s = s.set_index(["g", "t"])["s"].sort_index()
+    got_m = m.set_index(["g", "t"])["m"].sort_index()
+    want = ref.set_index(["g", "t"]).sort_index()
+    # pandas leaves NaN where the current value is NaN; compare on rows with a value
+    mask = want["v"].notna()
+    assert np.allclose(got_s[mask].to_numpy(), want["s"][mask].to_numpy())
+    assert np.allclose(got_m[mask].to_numpy(), want["m"][mask].to_numpy())
