@@ -7,10 +7,10 @@ row per request out.
 
 Substring predicates ("every word is a substring of the path") are not
 evaluated as a nested-loop join.  Each path is indexed by its distinct
-1-3 character grams; a request is joined through the leading gram of its
-longest word (an equi-join), which every true match necessarily contains, and
-the candidates are then verified with the exact predicate.  No candidate is
-ever dropped, so the result equals the brute-force theta join.
+1-4 character grams; a request is joined through its rarest gram (an
+equi-join), which every true match necessarily contains, and the candidates
+are then verified with the exact predicate.  No candidate is ever dropped, so
+the result equals the brute-force theta join.
 """
 
 from __future__ import annotations
@@ -69,38 +69,53 @@ def _words(clean: Column, stop: list[str]) -> Column:
     return F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop_arr, w))
 
 
-def _grams(text: Column) -> Column:
-    """Distinct substrings of length 1..3 of ``text`` (the candidate index keys)."""
+GRAM_MAX = 4
+
+
+def _grams(text: Column, qmax: int = GRAM_MAX) -> Column:
+    """Distinct substrings of length 1..qmax of ``text`` (the candidate index keys)."""
     n = F.length(text)
     idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    g = F.flatten(F.transform(idx, lambda i: F.array(F.substring(text, i, 1), F.substring(text, i, 2),
-                                                     F.substring(text, i, 3))))
+    g = F.flatten(F.transform(idx, lambda i: F.array(*[F.substring(text, i, k) for k in range(1, qmax + 1)])))
     return F.array_distinct(F.filter(g, lambda s: s != ""))
 
 
-def _key(word: Column) -> Column:
-    return F.substring(word, 1, 3)
+def _word_keys(word: Column, qmax: int = GRAM_MAX) -> Column:
+    """All substrings of length min(qmax, len(word)) of a word: each is contained in every match."""
+    q = F.least(F.length(word), F.lit(qmax))
+    idx = F.sequence(F.lit(1), F.greatest(F.length(word) - q + 1, F.lit(1)))
+    return F.transform(idx, lambda i: F.substring(word, i, q))
 
 
 def substring_match(requests: DataFrame, req_key: str, words_col: str, index: DataFrame,
                     text_col: str, mode: str = "all") -> DataFrame:
     """Pairs (request, node) where every (``all``) / any (``any``) word is a substring of text.
 
-    Exact: candidates come from an equi-join on a gram that every match must
-    contain, then the predicate is applied.
+    Exact, without a nested-loop join: the index is exploded into its distinct
+    1..4-character grams and the gram frequencies are counted (a vocabulary-sized
+    table).  Every true match contains every gram of every word, so each request
+    (or each word, in ``any`` mode) joins only through its rarest gram; the
+    candidates are then verified with the exact predicate.
     """
     idx = index.select("*", F.explode(_grams(F.col(text_col))).alias("_g"))
+    freq = idx.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    if mode == "all":
+        unit = requests.select(req_key, words_col)
+        unit_key = [req_key]
+        keys = unit.select(req_key, F.explode(F.flatten(F.transform(F.col(words_col), lambda w: _word_keys(w))))
+                           .alias("_g"))
+    else:
+        unit = requests.select(req_key, words_col, F.explode(F.col(words_col)).alias("_w"))
+        unit_key = [req_key, "_w"]
+        keys = unit.select(req_key, "_w", F.explode(_word_keys(F.col("_w"))).alias("_g"))
+    # rarest key per unit; a gram absent from the index means no match at all
+    best = (keys.join(freq, "_g", "inner").groupBy(*unit_key)
+            .agg(F.min_by("_g", F.struct("_f", "_g")).alias("_g")))
+    cand = unit.join(best, unit_key, "inner").join(idx, "_g", "inner").drop("_g")
     if mode == "all":
-        # the longest word (first among equals) drives the candidate join
-        longest = F.aggregate(F.col(words_col), F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w)
-                              .otherwise(acc))
-        r = requests.select(req_key, words_col, _key(longest).alias("_g"))
-        cand = r.join(idx, "_g", "inner").drop("_g")
         return cand.filter(F.forall(F.col(words_col), lambda w: F.instr(F.col(text_col), w) > 0))
-    r = requests.select(req_key, words_col, F.explode(F.col(words_col)).alias("_w"))
-    cand = r.withColumn("_g", _key("_w")).join(idx, "_g", "inner")
     return (cand.filter(F.instr(F.col(text_col), F.col("_w")) > 0)
-            .drop("_g", "_w").dropDuplicates([req_key, "level", "node_id"]))
+            .drop("_w").dropDuplicates([req_key, "level", "node_id"]))
 
 
 def _pick(matches: DataFrame, req_key: str) -> DataFrame:
