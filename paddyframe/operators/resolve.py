@@ -190,20 +190,21 @@ def search_hierarchy(prompts: DataFrame, l1: DataFrame, l2: DataFrame, l3: DataF
 
     def lvl(df, id_col, name_col, level):
         return df.select(F.lit(level).alias("level"), F.col(id_col).cast("long").alias("node_id"),
-                         F.lower(F.col(name_col)).alias("_text"), "*")
+                         F.lower(F.col(name_col)).alias("_text"))
 
-    n1 = lvl(l1, "l1_id", "l1_name", 1)
-    n2 = lvl(l2, "l2_id", "l2_name", 2)
-    n3 = lvl(l3, "l3_id", "l3_name", 3)
+    # one any-word match over a level-tagged index serves all levels and the flat fallback
+    nodes = lvl(l1, "l1_id", "l1_name", 1).unionByName(lvl(l2, "l2_id", "l2_name", 2)) \
+        .unionByName(lvl(l3, "l3_id", "l3_name", 3))
+    hits = substring_match(p, key, "_words", nodes, "_text", "any").select(key, "level", "node_id").cache()
     c1, c2, c3 = SEARCH_CAPS
-    m1 = substring_match(p, key, "_words", n1, "_text", "any").select(key, F.col("node_id").alias("l1_id"))
+    m1 = hits.filter("level = 1").select(key, F.col("node_id").alias("l1_id"))
     m1 = m1.withColumn("r1", F.row_number().over(Window.partitionBy(key).orderBy("l1_id"))).filter(F.col("r1") <= c1)
-    m2 = substring_match(p, key, "_words", n2, "_text", "any").select(key, F.col("node_id").alias("l2_id"))
+    m2 = hits.filter("level = 2").select(key, F.col("node_id").alias("l2_id"))
     m2 = m2.join(l2.select(F.col("l2_id").cast("long").alias("l2_id"), F.col("l1_id").cast("long").alias("l1_id")),
                  "l2_id").join(m1, [key, "l1_id"])
     m2 = m2.withColumn("r2", F.row_number().over(Window.partitionBy(key, "l1_id").orderBy("l2_id"))) \
         .filter(F.col("r2") <= c2)
-    m3_all = substring_match(p, key, "_words", n3, "_text", "any").select(key, F.col("node_id").alias("l3_id"))
+    m3_all = hits.filter("level = 3").select(key, F.col("node_id").alias("l3_id"))
     m3 = m3_all.join(l3.select(F.col("l3_id").cast("long").alias("l3_id"), F.col("l2_id").cast("long").alias("l2_id")),
                      "l3_id").join(m2, [key, "l2_id"])
     m3 = m3.withColumn("r3", F.row_number().over(Window.partitionBy(key, "l2_id").orderBy("l3_id"))) \
@@ -224,10 +225,10 @@ def search_hierarchy(prompts: DataFrame, l1: DataFrame, l2: DataFrame, l3: DataF
     hier = h1.unionByName(h2).unionByName(h3)
     # flat fallback for prompts with no hierarchical line
     f1, f2 = FLAT_CAPS
-    flat_p = p.join(hier.select(key).distinct(), key, "left_anti")
-    fm2 = substring_match(flat_p, key, "_words", n2, "_text", "any").select(key, F.col("node_id").alias("l2_id"))
+    flat_p = p.select(key).join(hier.select(key).distinct(), key, "left_anti")
+    fm2 = hits.filter("level = 2").join(flat_p, key, "left_semi").select(key, F.col("node_id").alias("l2_id"))
     fm2 = fm2.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("l2_id"))).filter(F.col("r") <= f1)
-    fm3 = substring_match(flat_p, key, "_words", n3, "_text", "any").select(key, F.col("node_id").alias("l3_id"))
+    fm3 = hits.filter("level = 3").join(flat_p, key, "left_semi").select(key, F.col("node_id").alias("l3_id"))
     fm3 = fm3.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("l3_id"))).filter(F.col("r") <= f2)
     flat = (fm2.join(l2c, "l2_id").select(key, F.lit(0).alias("seq1"), F.col("r").alias("seq2"), F.lit(0).alias("seq3"),
                                           F.lit("municipality_city").alias("kind"), "line")
