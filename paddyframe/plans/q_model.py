@@ -144,14 +144,19 @@ def q_baseline_metrics(fx):
     return baseline_metrics(_tm(fx))
 
 
+_FITTED: dict = {}   # (data dir, kind, window) -> fitted models: small coefficient artifacts
+
+
 def _fit_all(fx, kind: str, full: bool = False):
     tm = _tm(fx).cache()      # reused by the moment pass, the Gram pass and the scoring pass
-    train = tm if full else tm.filter(F.col("year") <= TRAIN_END_YEAR)
-    sets = linear.feature_sets(tm.columns, kind)
-    specs = {t: (cols, TARGET_COL[t]) for t, cols in sets.items()}
-    # all three targets share one moments pass and one Gram pass over the training rows
-    models = linear.fit_targets(train, specs, kind, "entity_id", ["year", "month"])
-    return tm, models
+    key = (fx.base, kind, full)
+    if key not in _FITTED:
+        train = tm if full else tm.filter(F.col("year") <= TRAIN_END_YEAR)
+        sets = linear.feature_sets(tm.columns, kind)
+        specs = {t: (cols, TARGET_COL[t]) for t, cols in sets.items()}
+        # all three targets share one moments pass and one Gram pass over the training rows
+        _FITTED[key] = linear.fit_targets(train, specs, kind, "entity_id", ["year", "month"])
+    return tm, _FITTED[key]
 
 
 def _coef_table(fx, models):
