@@ -15,6 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _join_blocks(rows: DataFrame, blocks: DataFrame, group_cols: list[str], cols: list[str]) -> DataFrame:
+    """Join block-level columns back on (partition id, group) with NULL-safe key equality."""
+    b = blocks.select(F.col("_pid").alias("_b_pid"), *[F.col(c).alias(f"_b_{c}") for c in group_cols],
+                      *[F.col(c) for c in cols])
+    cond = [rows["_pid"] == b["_b_pid"]] + [rows[c].eqNullSafe(b[f"_b_{c}"]) for c in group_cols]
+    return rows.join(b, cond, "inner").drop("_b_pid", *[f"_b_{c}" for c in group_cols])
+
+
 def exact_rank(df: DataFrame, group_cols: list[str], order_col: str,
                rank_col: str = "_rank", num_partitions: int | None = None) -> DataFrame:
     """Add a 1-based ``rank_col`` = position of the row within its group by ``order_col``
@@ -31,8 +39,7 @@ def exact_rank(df: DataFrame, group_cols: list[str], order_col: str,
               .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first")))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    return (s.join(blocks.select("_pid", *group_cols, "_first", "_before"),
-                   on=["_pid", *group_cols], how="inner")
+    return (_join_blocks(s, blocks, group_cols, ["_first", "_before"])
             .withColumn(rank_col, F.col("_before") + (F.col("_mid") - F.col("_first")) + 1)
             .drop("_pid", "_mid", "_first", "_before"))
 
@@ -56,7 +63,7 @@ def prefix_scan(df: DataFrame, group_cols: list[str], order_col: str, value_col:
     blocks = local.groupBy("_pid", *group_cols).agg(agg(value_col).alias("_tot"))
     w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", agg("_tot").over(w_off))
-    res = local.join(blocks.select("_pid", *group_cols, "_off"), ["_pid", *group_cols], "inner")
+    res = _join_blocks(local, blocks, group_cols, ["_off"])
     if op == "sum":
         val = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
         val = F.when(F.col("_off").isNull() & F.col("_loc").isNull(), F.lit(None)).otherwise(val)

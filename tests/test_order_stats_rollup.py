@@ -81,3 +81,12 @@ def test_prefix_scan_matches_pandas_with_hot_group(spark):
     mask = want["v"].notna()
     assert np.allclose(got_s[mask].to_numpy(), want["s"][mask].to_numpy())
     assert np.allclose(got_m[mask].to_numpy(), want["m"][mask].to_numpy())
+
+
+def test_rank_and_scan_keep_null_groups(spark):
+    from paddyframe.operators.order_stats import exact_rank, prefix_scan
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 5.0)], "g string, t int, v double")
+    r = {(x["g"], x["v"]): x["_rank"] for x in exact_rank(df, ["g"], "v").collect()}
+    assert r == {(None, 1.0): 1, (None, 2.0): 2, ("a", 5.0): 1}
+    s = {(x["g"], x["t"]): x["s"] for x in prefix_scan(df, ["g"], "t", "v", "sum", "s").collect()}
+    assert s == {(None, 1): 1.0, (None, 2): 3.0, ("a", 1): 5.0}
