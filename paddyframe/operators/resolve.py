@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # --- fixed values: words dropped before the word-fallback match -------------
 FALLBACK_STOPWORDS = ["in", "the", "of", "city", "municipality", "province"]
 # --- fixed values: words dropped by the hierarchical search, and the
@@ -195,7 +197,8 @@ def search_hierarchy(prompts: DataFrame, l1: DataFrame, l2: DataFrame, l3: DataF
     # one any-word match over a level-tagged index serves all levels and the flat fallback
     nodes = lvl(l1, "l1_id", "l1_name", 1).unionByName(lvl(l2, "l2_id", "l2_name", 2)) \
         .unionByName(lvl(l3, "l3_id", "l3_name", 3))
-    hits = substring_match(p, key, "_words", nodes, "_text", "any").select(key, "level", "node_id").cache()
+    # materialised once (reliable checkpoint in the shared checkpoint folder): five consumers below
+    hits = cut_lineage(substring_match(p, key, "_words", nodes, "_text", "any").select(key, "level", "node_id"))
     c1, c2, c3 = SEARCH_CAPS
     m1 = hits.filter("level = 1").select(key, F.col("node_id").alias("l1_id"))
     m1 = m1.withColumn("r1", F.row_number().over(Window.partitionBy(key).orderBy("l1_id"))).filter(F.col("r1") <= c1)

@@ -148,14 +148,18 @@ _FITTED: dict = {}   # (data dir, kind, window) -> fitted models: small coeffici
 
 
 def _fit_all(fx, kind: str, full: bool = False):
-    tm = _tm(fx).cache()      # reused by the moment pass, the Gram pass and the scoring pass
+    tm = _tm(fx)
     key = (fx.base, kind, full)
     if key not in _FITTED:
-        train = tm if full else tm.filter(F.col("year") <= TRAIN_END_YEAR)
-        sets = linear.feature_sets(tm.columns, kind)
-        specs = {t: (cols, TARGET_COL[t]) for t, cols in sets.items()}
-        # all three targets share one moments pass and one Gram pass over the training rows
-        _FITTED[key] = linear.fit_targets(train, specs, kind, "entity_id", ["year", "month"])
+        cached = tm.cache()   # shared by the moments pass, the fold pass and the Gram pass
+        try:
+            train = cached if full else cached.filter(F.col("year") <= TRAIN_END_YEAR)
+            sets = linear.feature_sets(tm.columns, kind)
+            specs = {t: (cols, TARGET_COL[t]) for t, cols in sets.items()}
+            # all three targets share one moments pass and one Gram pass over the training rows
+            _FITTED[key] = linear.fit_targets(train, specs, kind, "entity_id", ["year", "month"])
+        finally:
+            cached.unpersist()
     return tm, _FITTED[key]
 
 
