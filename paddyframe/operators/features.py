@@ -141,16 +141,19 @@ def ffill_bfill(df: DataFrame, cols: list[str], entity_col: str = "entity_id",
 
 
 def target_or_last(df: DataFrame, targets: DataFrame, entity_col: str = "entity_id",
-                   year_col: str = "year", month_col: str = "month") -> DataFrame:
+                   year_col: str = "year", month_col: str = "month", synthetic_col: str | None = None) -> DataFrame:
     """Per target (entity, year, month): the matching row, else the entity's last row (F8).
 
-    ``is_fallback`` marks rows that are not the requested period.
+    ``is_fallback`` marks rows that are not the requested period.  With
+    ``synthetic_col`` (1 = appended future row) the fallback prefers real rows,
+    so a missing past target falls back to the last observed month.
     """
     t = targets.select(entity_col, F.col(year_col).alias("target_year"), F.col(month_col).alias("target_month"))
     j = df.join(t, on=entity_col, how="inner")
     hit = ((F.col(year_col) == F.col("target_year")) & (F.col(month_col) == F.col("target_month"))).cast("int")
-    w = Window.partitionBy(entity_col, "target_year", "target_month").orderBy(
-        hit.desc(), F.col(year_col).desc(), F.col(month_col).desc())
+    order = [hit.desc()] + ([F.col(synthetic_col).asc()] if synthetic_col else []) + \
+        [F.col(year_col).desc(), F.col(month_col).desc()]
+    w = Window.partitionBy(entity_col, "target_year", "target_month").orderBy(*order)
     return (j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
             .withColumn("is_fallback", ~((F.col(year_col) == F.col("target_year"))
                                          & (F.col(month_col) == F.col("target_month"))))

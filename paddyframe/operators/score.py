@@ -37,13 +37,16 @@ def score_features(panel_raw: DataFrame, targets: DataFrame, weather_vars: list[
     synth = (ext.join(clim, [entity_col, "month"], "left")
              .fillna(0.0, subset=weather_vars)
              .join(last, entity_col, "inner"))
-    full = base.unionByName(synth.select(*base.columns))
+    full = base.withColumn("_synth", F.lit(0)).unionByName(
+        synth.select(*base.columns).withColumn("_synth", F.lit(1)))
     full = feat.antecedent_lags(full, weather_vars, entity_col=entity_col)
     full = feat.growing_season(full, weather_vars, entity_col=entity_col)
     full = feat.season_interaction(full)
     full = feat.with_cyclical_month(full)
     full = clean.one_hot(full, name_col, categories, prefix)
-    picked = feat.target_or_last(full, targets.select(entity_col, "year", "month"), entity_col)
+    # a future target picks its appended row; a missing past target falls back to the last real row
+    picked = feat.target_or_last(full, targets.select(entity_col, "year", "month"), entity_col,
+                                 synthetic_col="_synth").drop("_synth")
     num = [f.name for f in picked.schema.fields
            if f.dataType.typeName() in ("double", "float", "integer", "long") and f.name not in (entity_col,)]
     return picked.fillna(0, subset=num)

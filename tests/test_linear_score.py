@@ -75,3 +75,23 @@ def test_predict_clamp_and_contributions(spark):
                                                 ["id", "year", "month"], terms), ["id", "year", "month"]).collect()
     assert {(r["id"], r["direction"], r["feature"]) for r in top} == {(1, "UP", "a"), (2, "DOWN", "a"), (2, "DOWN", "b")}
     assert top[0]["target_period"] == "2024-06"
+
+
+def test_score_features_extends_with_climatology_and_flags_fallback(spark):
+    # one entity, Jan..Jun 2020; target Aug 2020 lies two months past the last row
+    rows = [(1, "E1", 2020, m, float(m), None if m == 6 else 10.0 * m) for m in range(1, 7)]
+    panel = spark.createDataFrame(rows, "entity_id int, entity_name string, year int, month int, "
+                                        "precipitation_sum double, price_lag1 double")
+    targets = spark.createDataFrame([(1, 2020, 8), (1, 2019, 1)], "entity_id int, year int, month int")
+    out = {(r["target_year"], r["target_month"]): r for r in score.score_features(
+        panel, targets, ["precipitation_sum"], ["E1", "E2"], market_cols=["price_lag1"]).collect()}
+    fut = out[(2020, 8)]
+    assert not fut["is_fallback"] and (fut["year"], fut["month"]) == (2020, 8)
+    # Jul and Aug have no history -> climatology 0; lags reach back into real months
+    assert fut["precipitation_sum"] == 0.0
+    assert fut["precipitation_sum_lag1"] == 0.0 and fut["precipitation_sum_lag2"] == 6.0
+    assert fut["precipitation_sum_gs"] == 0.0 + 6 + 5 + 4       # t-4..t-1 = May, Jun, Jul(0), ... summed
+    assert fut["price_lag1"] == 50.0                             # forward-filled market value copied forward
+    assert fut["prov_E1"] == 1.0 and fut["prov_E2"] == 0.0
+    past = out[(2019, 1)]
+    assert past["is_fallback"] and (past["year"], past["month"]) == (2020, 6)
