@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:  # vocabulary files of public tokenizers; any other file of the kind will do
+    import public_tokenizers
+    BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+    PIECES_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+except ImportError:
+    BYTE_BPE = PIECES_MODEL = ""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +23,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketch import as_string, fingerprints
+    out = fingerprints(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                      as_string(F.col("sketch")).alias("fingerprint"),
+                      as_string(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunk_dedup import dedup_substrings
     out = dedup_substrings(_table(spark, sf_dir, "documents"))
@@ -28,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op8_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_fingerprints, op6_packing, op8_substring_dedup, op10_simhash)}
 
 #: None of these operators can be stated in SQL (models, rolling hashes, tokenizers, components);
 #: tests/llm checks each against a brute-force version, an exact round trip or held-out accuracy.
