@@ -25,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                "entropy", "rejected")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import dedup_suffixes
     out = dedup_suffixes(_table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_suffix_dedup, op5_fingerprints, op6_packing, op8_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op4_suffix_dedup, op5_fingerprints, op6_packing, op8_substring_dedup, op10_simhash)}
 
 #: None of these operators can be stated in SQL (models, rolling hashes, tokenizers, components);
 #: tests/llm checks each against a brute-force version, an exact round trip or held-out accuracy.
