@@ -30,6 +30,15 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import decode, encode
+    docs = _table(spark, sf_dir, "documents")
+    out = decode(encode(docs, PIECES_MODEL), PIECES_MODEL)
+    digest = F.xxhash64("ids")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", "score",
+                      digest.alias("ids_xxhash64"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import dedup_suffixes
     out = dedup_suffixes(_table(spark, sf_dir, "documents"))
@@ -61,7 +70,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op4_suffix_dedup, op5_fingerprints, op6_packing, op8_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_sentencepiece, op4_suffix_dedup, op5_fingerprints, op6_packing, op8_substring_dedup, op10_simhash)}
 
 #: None of these operators can be stated in SQL (models, rolling hashes, tokenizers, components);
 #: tests/llm checks each against a brute-force version, an exact round trip or held-out accuracy.
