@@ -105,7 +105,8 @@ def _dealt(rows: DataFrame, tables: list[int], all_tables: int, probes: int, par
                     else:
                         at = np.repeat(np.arange(len(b)), n)
                         part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                        yield pd.DataFrame({"t": t, "b": b[at], "part": part, id_name: ids[at], "v": list(x[at])})
+                        if len(at):
+                            yield pd.DataFrame({"t": t, "b": b[at], "part": part, id_name: ids[at], "v": list(x[at])})
 
     return rows.select(id_name, "v").mapInPandas(run, f"t int, b int, part int, {id_name} long, v array<double>")
 
