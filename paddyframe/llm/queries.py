@@ -58,6 +58,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrapper import extract
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunk_dedup import dedup_substrings
     out = dedup_substrings(_table(spark, sf_dir, "documents"))
@@ -75,7 +80,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_sentencepiece, op4_suffix_dedup, op5_fingerprints, op6_packing, op8_substring_dedup, op9_nearest, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_sentencepiece, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_html_extract, op8_substring_dedup, op9_nearest, op10_simhash)}
 
 #: None of these operators can be stated in SQL (models, rolling hashes, tokenizers, components);
 #: tests/llm checks each against a brute-force version, an exact round trip or held-out accuracy.
