@@ -15,9 +15,12 @@ table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 from functools import lru_cache
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -126,7 +129,8 @@ def _runs(start, end, row, repeated):
     return row[first], start[first], end[last]
 
 
-def finish(block: C.Block, answers: pd.DataFrame, shards: int, min_run: int) -> pd.DataFrame:
+def remove(block: C.Block, answers: pd.DataFrame, shards: int, min_run: int) -> list[tuple]:
+    """(doc_id, n_bytes, n_removed, n_spans, spans, text) of the block's documents, in order."""
     start, end, row, order, new, h, _, _ = _distinct(block)
     holds = C.first_copy_bits(answers, shards, h)
     repeated = np.ones(len(order), bool)
@@ -148,12 +152,38 @@ def finish(block: C.Block, answers: pd.DataFrame, shards: int, min_run: int) ->
         kept.append(block.data[at:n])
         out.append((doc, n - o, sum(e - s for s, e in spans), len(spans),
                     [{"start": s - o, "end": e - o} for s, e in spans], b"".join(kept).decode("utf-8", "replace")))
-    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "text"])
+    return out
+
+
+def _exchange(docs: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame, int]:
+    blocks = C.pack(docs, carry=carry)
+    shards = C.shard_count(blocks, 26)
+    return blocks, C.answer(C.asks(blocks, lambda b: ask(b, shards)), C.first_copy_merge), shards
 
 
 def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """Per document: bytes, removed bytes, removed spans and the text that is left."""
-    blocks = C.pack(docs)
-    shards = C.shard_count(blocks, 26)
-    answers = C.answer(C.asks(blocks, lambda b: ask(b, shards)), C.first_copy_merge)
-    return C.settle(blocks, answers, lambda b, a: finish(b, a, shards, min_run), SCHEMA)
+    blocks, answers, shards = _exchange(docs, ())
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return C.settle(blocks, answers, lambda b, a: pd.DataFrame(remove(b, a, shards, min_run), columns=names), SCHEMA)
+
+
+def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """The documents with all their columns and what is left of their texts (a null text stays null)."""
+    blocks, answers, shards = _exchange(docs, tuple(docs.columns))
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = []
+        answers = right.to_pandas().sort_values("shard", kind="stable")
+        for row in left.to_pylist():
+            block = C.Block(SimpleNamespace(**row))
+            rest = block.rest()
+            texts = [r[5] for r in remove(block, answers, shards, min_run)]
+            was = rest.column(at)
+            kept = pa.compute.if_else(was.combine_chunks().is_valid(), pa.array(texts, pa.string()), None)
+            tables.append(rest.set_column(at, names[at], kept).rename_columns(names))
+        return pa.concat_tables(tables).combine_chunks()
+
+    C.small_batches(docs.sparkSession)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, docs.schema)

@@ -31,7 +31,7 @@ BLOCK_BYTES = 4 << 20       # text bytes per block; a longer document is a block
 SHARD_KEYS = 1 << 20        # keys a shard is sized for
 BATCH_ROWS = 256            # Arrow rows per batch: bounds a worker's memory when texts are long
 
-BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, ids binary, lens binary, data binary"
+BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, ids binary, lens binary, data binary, rest binary"
 ASK_SCHEMA = "shard int, block long, payload binary"
 
 
@@ -62,10 +62,20 @@ def unsqueeze(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
+def _to_bytes(batches: list[pa.RecordBatch]) -> bytes | None:
+    if not batches[0].num_columns:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for b in batches:
+            out.write_batch(b)
+    return squeeze(sink.getvalue().to_pybytes())
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     nxt = (task.partitionId() if task else 0) << 32
-    pend: list[tuple[np.ndarray, np.ndarray, bytes]] = []
+    pend: list[tuple[np.ndarray, np.ndarray, bytes, pa.RecordBatch]] = []
     size = 0
 
     def flush():
@@ -73,11 +83,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         ids = np.concatenate([p[0] for p in pend])
         lens = np.concatenate([p[1] for p in pend])
         row = [nxt, len(ids), int(lens.sum()), ids.tobytes(), squeeze(lens.tobytes()),
-               squeeze(b"".join(p[2] for p in pend))]
+               squeeze(b"".join(p[2] for p in pend)), _to_bytes([p[3] for p in pend])]
         nxt, pend, size = nxt + 1, [], 0
         return pa.RecordBatch.from_arrays(
-            [pa.array([v], t) for v, t in zip(row, [pa.int64()] * 3 + [pa.binary()] * 3)],
-            names=["block", "n_docs", "n_bytes", "ids", "lens", "data"])
+            [pa.array([v], t) for v, t in zip(row, [pa.int64()] * 3 + [pa.binary()] * 4)],
+            names=["block", "n_docs", "n_bytes", "ids", "lens", "data", "rest"])
 
     for batch in batches:
         if batch.num_rows == 0:
@@ -86,24 +96,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         text = batch.column(1).fill_null("").cast(pa.large_string())
         offs = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
         data = memoryview(text.buffers()[2] or b"")
+        rest = batch.select(batch.schema.names[2:])
         start = 0
         for i in range(len(ids)):  # cut where the block is full
             room = offs[i + 1] - offs[start] + size
             if room > block_bytes and (i > start or pend):
                 if i > start:
-                    pend.append((ids[start:i], np.diff(offs[start:i + 1]), bytes(data[offs[start]:offs[i]])))
+                    pend.append((ids[start:i], np.diff(offs[start:i + 1]), bytes(data[offs[start]:offs[i]]),
+                                 rest.slice(start, i - start)))
                 yield flush()
                 start = i
-        pend.append((ids[start:], np.diff(offs[start:]), bytes(data[offs[start]:offs[-1]])))
+        pend.append((ids[start:], np.diff(offs[start:]), bytes(data[offs[start]:offs[-1]]), rest.slice(start)))
         size = sum(len(p[2]) for p in pend)
     if pend:
         yield flush()
 
 
-def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents as blocks of whole UTF-8 texts (null: empty), written to the shared folder."""
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int | None = None,
+         carry: tuple[str, ...] = ()) -> DataFrame:
+    """Documents as blocks of whole UTF-8 texts (null: empty), written to the shared folder; the columns
+    named in ``carry`` travel along row by row."""
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    block_bytes = block_bytes or BLOCK_BYTES
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
+                       *[F.col(f"`{c}`").alias(f"carry{i}") for i, c in enumerate(carry)])
     return materialize(slim.mapInArrow(lambda it: _blocks(it, block_bytes), BLOCK_SCHEMA), "blocks")
 
 
@@ -115,11 +131,16 @@ class Block:
         self.ids = np.frombuffer(row.ids, np.int64)
         self.offs = np.concatenate([[0], np.cumsum(np.frombuffer(unsqueeze(row.lens), np.int64))]).astype(np.int64)
         self.data = unsqueeze(row.data) if row.data else b""
+        self._rest = getattr(row, "rest", None)
 
     def texts(self) -> Iterator[bytes]:
         o = self.offs.tolist()
         return (self.data[a:b] for a, b in zip(o, o[1:]))
 
+    def rest(self) -> pa.Table:
+        """The carried columns, a row per document."""
+        return pa.ipc.open_stream(unsqueeze(self._rest)).read_all()
+
 
 def shard_count(blocks: DataFrame, bytes_per_key: float) -> int:
     """Shards in proportion to the corpus (one small job over the size column)."""
@@ -148,7 +169,7 @@ def asks(blocks: DataFrame, ask: Callable[[Block], list[tuple[int, int, bytes]]]
             for row in pdf.itertuples(index=False):
                 yield pd.DataFrame(ask(Block(row)), columns=["shard", "block", "payload"])
     small_batches(blocks.sparkSession)
-    return blocks.mapInPandas(run, ASK_SCHEMA)
+    return blocks.drop("rest").mapInPandas(run, ASK_SCHEMA)
 
 
 def answer(asked: DataFrame, merge: Callable[[list[bytes], list[int]], list[bytes]]) -> DataFrame:
@@ -167,7 +188,7 @@ def settle(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str)
                for row in left.itertuples(index=False)]
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
     small_batches(blocks.sparkSession)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    return blocks.drop("rest").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
 
 
 # --- "who holds the first copy?" over 128-bit digests ------------------------------------------------

@@ -71,8 +71,8 @@ class Model:
     floor: float                # log-probability of any symbol under the uniform base
     base: np.ndarray            # log-probability of an unknown symbol without context, per language
     temperature: float = 1.0
-    mean: np.ndarray | None = None      # calibrated cross-entropy per language
-    spread: np.ndarray | None = None    # its variance times length
+    usual: np.ndarray | None = None     # cross-entropy that long texts of a language stay below
+    spread: np.ndarray | None = None    # median squared deviation times length: what short texts may add
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word (its letters and its end) under every language."""
@@ -210,9 +210,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     true = np.array([langs.index(x) if x in langs else -1 for x in scored.lang], np.int64)
     ce, true, n = ce[true >= 0], true[true >= 0], scored.n_symbols.to_numpy()[true >= 0]
     at = ce[np.arange(len(true)), true]
-    model.mean = np.array([at[true == i].mean() if (true == i).any() else -model.floor for i in range(len(langs))])
-    model.spread = np.array([((at[true == i] - model.mean[i]) ** 2 * n[true == i]).mean() if (true == i).any() else 1.0
-                             for i in range(len(langs))])
+    none = -model.floor
+    per = [at[true == i] for i in range(len(langs))]
+    model.usual = np.array([max(1.5 * x.mean(), 1.1 * np.quantile(x, 0.99)) if len(x) else none for x in per])
+    model.spread = np.array([np.median((x - np.median(x)) ** 2 * n[true == i]) if len(x) else 1.0 for i, x in enumerate(per)])
     best = None
     for t in 2.0 ** np.arange(0, 9):
         x = -t * ce
@@ -279,8 +280,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     i = F.array_position("entropy", best)
     share = F.lit(1.0) / F.aggregate("entropy", F.lit(0.0), lambda a, x: a + F.exp(F.lit(model.temperature) * (best - x)))
     pick = lambda xs, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in xs]), i.cast("int"))
-    mean = pick(model.mean.tolist(), "double")
-    limit = mean * 1.5 + 6 * F.sqrt(pick(model.spread.tolist(), "double") / F.greatest("n_symbols", F.lit(1)))
+    limit = pick(model.usual.tolist(), "double") + 6 * F.sqrt(pick(model.spread.tolist(), "double") / F.greatest("n_symbols", F.lit(1)))
     some = F.col("n_symbols") > 0
     return scored.select("doc_id", F.when(some, pick(model.langs, "string")).otherwise(UNDETERMINED).alias("lang_pred"),
                          F.when(some, share).otherwise(0.0).alias("score"), F.when(some, best).alias("entropy"),

@@ -43,8 +43,7 @@ def test_against_brute_force(spark, docs):
 def test_small_blocks_and_many_shards_agree(spark, docs, monkeypatch):
     want = sorted((r.doc_id, r.text) for r in cd.dedup_substrings(docs.coalesce(1)).collect())
     monkeypatch.setattr(C, "SHARD_KEYS", 8)
-    pack = C.pack
-    monkeypatch.setattr(C, "pack", lambda d: pack(d, block_bytes=600))
+    monkeypatch.setattr(C, "BLOCK_BYTES", 600)
     assert sorted((r.doc_id, r.text) for r in cd.dedup_substrings(docs.coalesce(1)).collect()) == want
 
 

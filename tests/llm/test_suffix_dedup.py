@@ -55,11 +55,10 @@ def test_small_blocks_segments_shards(spark, edits, monkeypatch):
     rows = [tuple(r) for r in edits.coalesce(1).collect()]
     want = sorted(slow(rows, 100))
     monkeypatch.setattr(C, "SHARD_KEYS", 50)
-    pack = C.pack
-    monkeypatch.setattr(C, "pack", lambda d: pack(d, block_bytes=3000))
+    monkeypatch.setattr(C, "BLOCK_BYTES", 3000)
     assert fast(edits.coalesce(1)) == want
-    monkeypatch.setattr(C, "pack", pack)
-    block = C.Block(pack(edits.coalesce(1)).toPandas().iloc[0])
+    monkeypatch.setattr(C, "BLOCK_BYTES", 1 << 22)
+    block = C.Block(C.pack(edits.coalesce(1)).toPandas().iloc[0])
     whole = sd.elected(block, 100)
     monkeypatch.setattr(sd, "SEGMENT", 700)
     parts = sd.elected(block, 100)
