@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order_stats import prefix_scan
+from .order_stats import block_of, prefix_scan
 
 RECENT_TURNS = 4          # history turns given to the classifier / extractor
 MEMORY_WINDOW = 10        # turns kept verbatim; older ones are summarised
@@ -100,9 +100,10 @@ def slot_carry(events: DataFrame, allowed: dict, key: str = "conv_id", order: st
     # island id = running count of resets; state = value at the latest turn with a value
     # in the same island up to this turn.  Both are distributed prefix scans, then an
     # equi-join fetches the value, so no conversation is processed by a single task.
-    d = prefix_scan(d, [key, slot_col], order, "_reset", "sum", "_island")
+    block = block_of(events, order)
+    d = prefix_scan(d, [key, slot_col], order, "_reset", "sum", "_island", block=block)
     d = d.withColumn("_vt", F.when(F.col("_val").isNotNull(), F.col(order)))
-    d = prefix_scan(d, [key, slot_col, "_island"], order, "_vt", "max", "_src")
+    d = prefix_scan(d, [key, slot_col, "_island"], order, "_vt", "max", "_src", block=block)
     vals = d.filter(F.col("_val").isNotNull()).select(key, slot_col, F.col(order).alias("_src"),
                                                       F.col("_val").alias("state"))
     return d.join(vals, [key, slot_col, "_src"], "left").select(key, order, slot_col, "state")

@@ -1,72 +1,84 @@
-"""Exact per-group ranks without funnelling a group through one task.
+"""Exact ranks and running totals per group without funnelling a group through one task.
 
 A window ``partitionBy(group).orderBy(v)`` sorts every group inside a single
-task, which fails when one group holds a third of the table.  Here the sort is
-a range-partitioned global sort on ``(group, v)`` - Spark samples the key
-range, so a hot group is split over many tasks - followed by a small
-aggregate of per-partition counts that turns positions into group ranks.
-Only that aggregate (rows = partitions spanned by each group) is shuffled a
-second time.
+task, which fails when one group holds a third of the table.  Here the order
+column is cut into ranges at literal bounds (approximate quantiles of the whole
+table, computed once), so a row's block is a pure function of its own values:
+every branch of a plan and every retried task agrees on it.  Windows run per
+(group, block); block totals - one small row per (group, block) - get exclusive
+offsets, which are joined back.  A block holds at most about ``rows / blocks``
+rows, whatever the groups' sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ACCURACY = 50   # quantile accuracy per block
 
-def _join_blocks(rows: DataFrame, blocks: DataFrame, group_cols: list[str], cols: list[str]) -> DataFrame:
-    """Join block-level columns back on (partition id, group) with NULL-safe key equality."""
-    b = blocks.select(F.col("_pid").alias("_b_pid"), *[F.col(c).alias(f"_b_{c}") for c in group_cols],
-                      *[F.col(c) for c in cols])
-    cond = [rows["_pid"] == b["_b_pid"]] + [rows[c].eqNullSafe(b[f"_b_{c}"]) for c in group_cols]
-    return rows.join(b, cond, "inner").drop("_b_pid", *[f"_b_{c}" for c in group_cols])
 
+def _position(df: DataFrame, col: str) -> Column:
+    """The order column as a double (times as seconds)."""
+    kind = df.schema[col].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    return F.col(col).cast("double")
 
-def exact_rank(df: DataFrame, group_cols: list[str], order_col: str,
-               rank_col: str = "_rank", num_partitions: int | None = None) -> DataFrame:
-    """Add a 1-based ``rank_col`` = position of the row within its group by ``order_col``
-    ascending (ties broken arbitrarily but consistently; values of tied rows are equal).
-    """
-    keys = [F.col(c) for c in group_cols] + [F.col(order_col)]
-    parts = (df.repartitionByRange(num_partitions, *keys) if num_partitions
-             else df.repartitionByRange(*keys))
-    s = (parts.sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    # per (partition, group): row count and first position; small relative to the data
-    blocks = (s.groupBy("_pid", *group_cols)
-              .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first")))
-    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    return (_join_blocks(s, blocks, group_cols, ["_first", "_before"])
-            .withColumn(rank_col, F.col("_before") + (F.col("_mid") - F.col("_first")) + 1)
-            .drop("_pid", "_mid", "_first", "_before"))
+
+def block_of(df: DataFrame, order_col: str, blocks: int | None = None) -> Column:
+    """Number of the order column's range: how many literal quantile bounds lie below the value."""
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    if n < 2:
+        return F.lit(0)
+    at = _position(df, order_col)
+    found = df.agg(F.percentile_approx(at, [i / n for i in range(1, n)], ACCURACY * n)).first()[0] or []
+    bounds = sorted(set(found))
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    # binary search in the constant array
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(
+        (lo + s <= len(bounds)) & (F.try_element_at(table, lo + s) < at), lo + s).otherwise(lo))
+
+
+def _with_offsets(rows: DataFrame, totals: DataFrame, group_cols: list[str], agg, total: str) -> DataFrame:
+    """Rows with ``_off``: the aggregate of all earlier blocks of their group (NULL-safe in the keys)."""
+    w = Window.partitionBy(*group_cols).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    b = totals.withColumn("_off", agg(total).over(w)).select(
+        F.col("_block").alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in group_cols], "_off")
+    cond = [rows["_block"] == b["_b"]] + [rows[c].eqNullSafe(b[f"_b_{c}"]) for c in group_cols]
+    return rows.join(b, cond, "inner").drop("_b", *[f"_b_{c}" for c in group_cols])
+
+
+def value_ranks(df: DataFrame, group_cols: list[str], order_col: str, blocks: int | None = None) -> DataFrame:
+    """(group, value, ``n``, ``first_rank``, ``last_rank``): the 1-based ranks that each distinct value takes
+    in its group, ascending.  Equal values are counted before the shuffle, so ties are one row."""
+    counts = df.groupBy(*group_cols, order_col).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("_block", block_of(df, order_col, blocks))
+    local = Window.partitionBy("_block", *group_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    totals = counts.groupBy("_block", *group_cols).agg(F.sum("n").alias("_tot"))
+    out = _with_offsets(counts.withColumn("_run", F.sum("n").over(local)), totals, group_cols, F.sum, "_tot")
+    last = F.coalesce(F.col("_off"), F.lit(0)) + F.col("_run")
+    return out.select(*group_cols, order_col, "n", (last - F.col("n") + 1).alias("first_rank"), last.alias("last_rank"))
 
 
 def prefix_scan(df: DataFrame, group_cols: list[str], order_col: str, value_col: str, op: str = "sum",
-                out: str = "_scan", num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running ``sum`` / ``max`` of ``value_col`` per group in ``order_col`` order,
-    without putting a group in one task.
+                out: str = "_scan", num_partitions: int | None = None, block: Column | None = None) -> DataFrame:
+    """Inclusive running ``sum`` / ``max`` of ``value_col`` per group in ``order_col`` order.
 
-    The rows are range-partitioned on (group, order) -- a hot group spans many
-    partitions -- each (partition, group) block is scanned locally, the block
-    totals get exclusive offsets (a small table: blocks per group <= partitions),
-    and the offsets are joined back.  ``order_col`` must be unique within a group.
+    ``order_col`` must be unique within a group; every input row comes out once.
+    ``block`` reuses the ranges of an earlier ``block_of`` over the same order column.
     """
     agg = {"sum": F.sum, "max": F.max}[op]
-    keys = [F.col(c) for c in group_cols] + [F.col(order_col)]
-    parts = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
-    parts = parts.withColumn("_pid", F.spark_partition_id())
-    w_loc = Window.partitionBy("_pid", *group_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    local = parts.withColumn("_loc", agg(value_col).over(w_loc))
-    blocks = local.groupBy("_pid", *group_cols).agg(agg(value_col).alias("_tot"))
-    w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", agg("_tot").over(w_off))
-    res = _join_blocks(local, blocks, group_cols, ["_off"])
+    rows = df.withColumn("_block", block_of(df, order_col, num_partitions) if block is None else block)
+    local = Window.partitionBy("_block", *group_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy("_block", *group_cols).agg(agg(value_col).alias("_tot"))
+    res = _with_offsets(rows.withColumn("_loc", agg(value_col).over(local)), totals, group_cols, agg, "_tot")
     if op == "sum":
         val = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
         val = F.when(F.col("_off").isNull() & F.col("_loc").isNull(), F.lit(None)).otherwise(val)
     else:
         val = F.greatest(F.col("_off"), F.col("_loc"))
-    return res.withColumn(out, val).drop("_pid", "_loc", "_off")
+    return res.withColumn(out, val).drop("_block", "_loc", "_off")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import py_round, threshold_flag
-from .order_stats import exact_rank
+from .order_stats import value_ranks
 
 # --- fixed values: how each daily variable collapses to a month, and the
 # extreme-day thresholds (mm of rain, degrees C of daily maximum) -------------
@@ -118,22 +118,32 @@ def extreme_period(df: DataFrame, keys: list[str], period_col: str, var: str,
             .withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))
 
 
+# --- fixed values: statistic, name parts of which a variable must hold one, parts it must not hold -------
+STATISTIC_RULES = [
+    ("total", ("precipitation", "rain", "duration"), ()),
+    ("highest", ("max",), ()),
+    ("lowest", ("min",), ()),
+    ("average", ("mean",), ()),
+    ("average", ("temperature",), ("max", "min")),
+]
+_STATISTIC = {"total": F.sum, "highest": F.max, "lowest": F.min, "average": F.avg}
+
+
+def statistics_of(variable: str) -> list[str]:
+    """The statistics whose rules the variable's name meets, each once."""
+    met = [stat for stat, parts, never in STATISTIC_RULES
+           if any(p in variable for p in parts) and not any(p in variable for p in never)]
+    return list(dict.fromkeys(met))
+
+
 def summary_stats(daily: DataFrame, keys: list[str], variables: list[str], digits: int = 2) -> DataFrame:
     """Summary statistics chosen by variable-name rules, long output (E5).
 
     rain/precipitation/duration -> total; ``max`` -> highest; ``min`` -> lowest;
     ``mean`` or a bare temperature -> average.  A variable may hit several rules.
     """
-    aggs, labels = [], []
-    for v in variables:
-        if "precipitation" in v or "rain" in v or "duration" in v:
-            labels.append((v, "total")); aggs.append(F.sum(v))
-        if "max" in v:
-            labels.append((v, "highest")); aggs.append(F.max(v))
-        if "min" in v:
-            labels.append((v, "lowest")); aggs.append(F.min(v))
-        if "mean" in v or ("temperature" in v and "max" not in v and "min" not in v):
-            labels.append((v, "average")); aggs.append(F.avg(v))
+    labels = [(v, stat) for v in variables for stat in statistics_of(v)]
+    aggs = [_STATISTIC[stat](v) for v, stat in labels]
     names = [f"_s{i}" for i in range(len(aggs))]
     wide = daily.groupBy(*keys).agg(*[a.cast("double").alias(n) for a, n in zip(aggs, names)])
     stack = ", ".join(f"'{v}', '{s}', {n}" for (v, s), n in zip(labels, names))
@@ -171,13 +181,12 @@ def latency_stats(df: DataFrame, keys: list[str], value_col: str) -> DataFrame:
     base = df.filter(F.col(value_col).isNotNull())
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("mean"),
                                     F.max(value_col).alias("_max"))
-    ranked = exact_rank(base.select(*keys, value_col), keys, value_col)
-    want = stats.select(*keys, "n", (F.floor(F.col("n") / 2) + 1).alias("_rmed"),
+    ranked = value_ranks(base.select(*keys, value_col), keys, value_col)
+    want = stats.select(*keys, (F.floor(F.col("n") / 2) + 1).alias("_rmed"),
                         F.when(F.col("n") >= 20, F.floor(F.col("n") * F.lit(0.95)) + 1).alias("_rp95"))
+    at = lambda r: F.max(F.when(F.col(r).between(F.col("first_rank"), F.col("last_rank")), F.col(value_col)))
     picked = (ranked.join(want, on=keys, how="inner")
-              .groupBy(*keys).agg(
-                  F.max(F.when(F.col("_rank") == F.col("_rmed"), F.col(value_col))).alias("median"),
-                  F.max(F.when(F.col("_rank") == F.col("_rp95"), F.col(value_col))).alias("_p95")))
+              .groupBy(*keys).agg(at("_rmed").alias("median"), at("_rp95").alias("_p95")))
     return (stats.join(picked, on=keys, how="inner")
             .select(*keys, "n", "mean", "median", F.coalesce("_p95", "_max").alias("p95")))
 

@@ -1,22 +1,45 @@
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paddyframe.operators import rollup
-from paddyframe.operators.order_stats import exact_rank
+from paddyframe.operators.order_stats import prefix_scan, value_ranks
 
 
-def test_exact_rank_matches_pandas_with_hot_group(spark):
+def test_value_ranks_match_pandas_with_hot_group_and_ties(spark):
     rng = np.random.default_rng(1)
     g = np.where(rng.random(3000) < 0.34, "hot", rng.choice(["a", "b", "c"], 3000))
-    v = rng.normal(size=3000).round(3)
+    v = rng.normal(size=3000).round(1)
     df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v}))
-    out = exact_rank(df, ["g"], "v", num_partitions=7).toPandas()
-    for key, grp in out.groupby("g"):
-        assert sorted(grp["_rank"]) == list(range(1, len(grp) + 1))
-        # rank order agrees with value order
-        s = grp.sort_values("_rank")["v"].to_numpy()
-        assert (np.diff(s) >= 0).all()
+    out = value_ranks(df, ["g"], "v", blocks=7).toPandas()
+    want = pd.DataFrame({"g": g, "v": v})
+    want["r"] = want.groupby("g")["v"].rank(method="min").astype(int)
+    want = want.groupby(["g", "v"]).agg(first_rank=("r", "first"), n=("r", "size")).reset_index()
+    got = out.sort_values(["g", "v"]).reset_index(drop=True)
+    assert (got[["g", "v", "first_rank", "n"]].values == want[["g", "v", "first_rank", "n"]].values).all()
+    assert (got.last_rank == got.first_rank + got.n - 1).all()
+
+
+@pytest.mark.parametrize("partitions", [None, 40])
+def test_scans_and_ranks_keep_every_row_at_size(spark, partitions):
+    """1.2 million rows, wide payload, three hot groups: equal to plain windows."""
+    n = 1_200_000
+    df = spark.range(n, numPartitions=16).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c").alias("g"),
+        ((F.col("id") * 7919) % n).alias("t"), (F.xxhash64("id") % 11).cast("double").alias("v"),
+        F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("payload"))
+    s = prefix_scan(df, ["g"], "t", "v", "sum", "s", num_partitions=partitions)
+    s = prefix_scan(s, ["g"], "t", "v", "max", "m", num_partitions=partitions)
+    w = Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("g", "t", F.sum("v").over(w).alias("ws"), F.max("v").over(w).alias("wm"))
+    both = s.join(want, ["g", "t"])
+    assert s.count() == n
+    assert both.filter("s = ws and m = wm and length(payload) = 192").count() == n
+    r = value_ranks(df, ["g"], "t", blocks=partitions)
+    wr = df.select("g", "t", F.row_number().over(Window.partitionBy("g").orderBy("t")).alias("rn"))
+    assert r.join(wr, ["g", "t"]).filter("first_rank = rn and last_rank = rn and n = 1").count() == n
 
 
 def test_latency_stats_upper_median_and_p95_rule(spark):
@@ -60,7 +83,6 @@ def test_extreme_period_first_tie_wins(spark):
 
 
 def test_prefix_scan_matches_pandas_with_hot_group(spark):
-    from paddyframe.operators.order_stats import prefix_scan
     rng = np.random.default_rng(7)
     n = 4000
     g = np.where(rng.random(n) < 0.4, "hot", rng.choice(["a", "b"], n))
@@ -84,9 +106,16 @@ def test_prefix_scan_matches_pandas_with_hot_group(spark):
 
 
 def test_rank_and_scan_keep_null_groups(spark):
-    from paddyframe.operators.order_stats import exact_rank, prefix_scan
     df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 5.0)], "g string, t int, v double")
-    r = {(x["g"], x["v"]): x["_rank"] for x in exact_rank(df, ["g"], "v").collect()}
+    r = {(x["g"], x["v"]): x["first_rank"] for x in value_ranks(df, ["g"], "v").collect()}
     assert r == {(None, 1.0): 1, (None, 2.0): 2, ("a", 5.0): 1}
     s = {(x["g"], x["t"]): x["s"] for x in prefix_scan(df, ["g"], "t", "v", "sum", "s").collect()}
     assert s == {(None, 1): 1.0, (None, 2): 3.0, ("a", 1): 5.0}
+
+
+def test_statistic_rules():
+    assert rollup.statistics_of("precipitation_sum") == ["total"]
+    assert rollup.statistics_of("temperature_2m_max") == ["highest"]
+    assert rollup.statistics_of("temperature_2m_mean") == ["average"]
+    assert rollup.statistics_of("temperature_2m") == ["average"]
+    assert rollup.statistics_of("rain_max_duration_min") == ["total", "highest", "lowest"]
