@@ -32,9 +32,9 @@ def dq_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dq_fk(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Child rows whose foreign key has no parent (M2 foreign key)."""
-    p = parent.select(F.col(parent_key).alias(child_key)).distinct()
-    return child.join(p, child_key, "left_anti")
+    """Child rows whose foreign key has no parent (M2 foreign key); a NULL key is no orphan."""
+    p = parent.select(F.col(parent_key).alias(child_key))
+    return child.filter(F.col(child_key).isNotNull()).join(p, child_key, "left_anti")
 
 
 def dq_domain(df: DataFrame, col: str, lo, hi) -> DataFrame:

@@ -60,13 +60,18 @@ def paths(l1: DataFrame, l2: DataFrame, l3: DataFrame) -> DataFrame:
     return p1.unionByName(p2.toDF(*p1.columns)).unionByName(p3.toDF(*p1.columns))
 
 
+def _strip(q) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(q, r"(?U)^\s+|\s+$", "")
+
+
 def clean_query(q) -> Column:
     """``re.sub('[^\\w\\s]', ' ', q.strip()).lower()`` with Unicode word classes."""
-    return F.lower(F.regexp_replace(F.trim(q), r"(?U)[^\w\s]", " "))
+    return F.lower(F.regexp_replace(_strip(q), r"(?U)[^\w\s]", " "))
 
 
 def _words(clean: Column, stop: list[str]) -> Column:
-    parts = F.split(F.trim(clean), r"\s+")
+    parts = F.split(_strip(clean), r"(?U)\s+")
     stop_arr = F.array(*[F.lit(s) for s in stop])
     return F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop_arr, w))
 
@@ -111,8 +116,9 @@ def substring_match(requests: DataFrame, req_key: str, words_col: str, index: Da
         unit_key = [req_key, "_w"]
         keys = unit.select(req_key, "_w", F.explode(_word_keys(F.col("_w"))).alias("_g"))
     # rarest key per unit; a gram absent from the index means no match at all
-    best = (keys.join(freq, "_g", "inner").groupBy(*unit_key)
-            .agg(F.min_by("_g", F.struct("_f", "_g")).alias("_g")))
+    best = (keys.join(freq, "_g", "left").groupBy(*unit_key)
+            .agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "_g")).alias("_m"))
+            .filter(F.col("_m.f") > 0).select(*unit_key, F.col("_m._g").alias("_g")))
     cand = unit.join(best, unit_key, "inner").join(idx, "_g", "inner").drop("_g")
     if mode == "all":
         return cand.filter(F.forall(F.col(words_col), lambda w: F.instr(F.col(text_col), w) > 0))
@@ -125,6 +131,10 @@ def _pick(matches: DataFrame, req_key: str) -> DataFrame:
     per = matches.groupBy(req_key, "level").agg(
         F.count(F.lit(1)).alias("n_match"),
         F.min(F.struct("node_id", "resolved_name", "l1_name")).alias("m"))
+    return _first_level(per, req_key)
+
+
+def _first_level(per: DataFrame, req_key: str) -> DataFrame:
     w = Window.partitionBy(req_key).orderBy("level")
     return per.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
@@ -137,11 +147,14 @@ def resolve(requests: DataFrame, index: DataFrame, req_key: str = "request_id",
     level 1 > 2 > 3; exactly one match at the first matching level resolves.
     """
     req = requests.select(req_key, query_col, clean_query(F.col(query_col)).alias("_clean"),
-                          (F.coalesce(F.trim(F.col(query_col)), F.lit("")) == "").alias("_blank"))
+                          (F.coalesce(_strip(F.col(query_col)), F.lit("")) == "").alias("_blank"))
     live = req.filter(~F.col("_blank"))
     # Exact, case-insensitive (Unicode lower) equality with the cleaned query
-    exact = live.join(index.withColumn("_clean", F.lower("name")), "_clean", "inner")
-    ex = _pick(exact, req_key).withColumn("method", F.lit("exact"))
+    # nodes of one name and level are counted before the join, so a common name does not fan out
+    names = index.groupBy(F.lower("name").alias("_clean"), "level").agg(
+        F.count(F.lit(1)).alias("n_match"), F.min(F.struct("node_id", "resolved_name", "l1_name")).alias("m"))
+    ex = _first_level(live.join(names, "_clean", "inner").select(req_key, "level", "n_match", "m"), req_key) \
+        .withColumn("method", F.lit("exact"))
     # Every remaining word must be a substring of the concatenated path
     rest = live.join(ex.select(req_key), req_key, "left_anti") \
         .withColumn("_words", _words(F.col("_clean"), FALLBACK_STOPWORDS))
@@ -154,7 +167,7 @@ def resolve(requests: DataFrame, index: DataFrame, req_key: str = "request_id",
     if allowed_l1 is not None:
         status = status.when(~F.col("m.l1_name").isin(list(allowed_l1)), "UNSUPPORTED_REGION")
     status = status.otherwise("RESOLVED")
-    res = F.col("n_match") == 1
+    res = status == "RESOLVED"     # any other status gives no record
     return out.select(
         req_key, query_col, status.alias("status"), F.col("level"), F.col("method"),
         F.when(res, F.element_at(F.create_map(*[x for k, v in LEVEL_NAMES.items() for x in (F.lit(k), F.lit(v))]),
@@ -182,10 +195,11 @@ def search_words(prompt) -> Column:
 
 
 def search_hierarchy(prompts: DataFrame, l1: DataFrame, l2: DataFrame, l3: DataFrame,
-                     key: str = "prompt_id", prompt_col: str = "prompt") -> DataFrame:
+                     key: str = "prompt_id", prompt_col: str = "prompt",
+                     caps: tuple[int, int, int] = SEARCH_CAPS, flat_caps: tuple[int, int] = FLAT_CAPS) -> DataFrame:
     """Hierarchical search (J3): matching level-1 nodes, their matching children, their matching
-    leaves (caps 10/8/5, source order = id order); flat fallback over levels 2 and 3 (10 + 10)
-    when nothing matched.  Output: (key, seq1, seq2, seq3, kind, line) with ``line`` the node's
+    leaves (``caps`` per parent, source order = id order); flat fallback over levels 2 and 3
+    (``flat_caps``) when nothing matched.  Output: (key, seq1, seq2, seq3, kind, line) with ``line`` the node's
     columns joined by ' | '.
     """
     p = prompts.select(key, search_words(F.col(prompt_col)).alias("_words")).filter(F.size("_words") > 0)
@@ -199,7 +213,7 @@ def search_hierarchy(prompts: DataFrame, l1: DataFrame, l2: DataFrame, l3: DataF
         .unionByName(lvl(l3, "l3_id", "l3_name", 3))
     # materialised once (reliable checkpoint in the shared checkpoint folder): five consumers below
     hits = cut_lineage(substring_match(p, key, "_words", nodes, "_text", "any").select(key, "level", "node_id"))
-    c1, c2, c3 = SEARCH_CAPS
+    c1, c2, c3 = caps
     m1 = hits.filter("level = 1").select(key, F.col("node_id").alias("l1_id"))
     m1 = m1.withColumn("r1", F.row_number().over(Window.partitionBy(key).orderBy("l1_id"))).filter(F.col("r1") <= c1)
     m2 = hits.filter("level = 2").select(key, F.col("node_id").alias("l2_id"))
@@ -227,7 +241,7 @@ def search_hierarchy(prompts: DataFrame, l1: DataFrame, l2: DataFrame, l3: DataF
                                       F.col("r3").alias("seq3"), F.lit("barangay").alias("kind"), "line")
     hier = h1.unionByName(h2).unionByName(h3)
     # flat fallback for prompts with no hierarchical line
-    f1, f2 = FLAT_CAPS
+    f1, f2 = flat_caps
     flat_p = p.select(key).join(hier.select(key).distinct(), key, "left_anti")
     fm2 = hits.filter("level = 2").join(flat_p, key, "left_semi").select(key, F.col("node_id").alias("l2_id"))
     fm2 = fm2.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("l2_id"))).filter(F.col("r") <= f1)
@@ -244,13 +258,13 @@ def search_hierarchy(prompts: DataFrame, l1: DataFrame, l2: DataFrame, l3: DataF
 # ---- J6: dimension seeding ---------------------------------------------------
 
 def seed_dim(existing: DataFrame, incoming: DataFrame, parents: DataFrame, name_col: str, parent_name_col: str,
-             parent_key: str, parent_name_in_dim: str, unique_cols: list[str]) -> DataFrame:
+             parent_key: str, parent_name_in_dim: str, unique_cols: list[str], order_cols: list[str]) -> DataFrame:
     """Seed a child dimension (J6): trim names, case-insensitive parent lookup (C7),
-    unmatched rows dropped (C6), insert-or-ignore on the unique key (A6).
-    Returns the rows to insert."""
+    unmatched rows dropped (C6), insert-or-ignore on the unique key (A6): the first row
+    per key in ``order_cols`` order.  Returns the rows to insert."""
     inc = incoming.withColumn(name_col, F.trim(name_col)).withColumn(parent_name_col, F.trim(parent_name_col))
     par = parents.select(F.lower(F.trim(parent_name_in_dim)).alias("_pn"), F.col(parent_key))
     inc = inc.join(par, F.lower(F.col(parent_name_col)) == F.col("_pn"), "inner").drop("_pn")
-    w = Window.partitionBy(*unique_cols).orderBy(F.monotonically_increasing_id())
+    w = Window.partitionBy(*unique_cols).orderBy(*order_cols)
     first = inc.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     return first.join(existing.select(*unique_cols), unique_cols, "left_anti")

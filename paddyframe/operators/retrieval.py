@@ -1,62 +1,79 @@
 """Embedding retrieval (survey 2.K, K9/K10) and retrieval metrics.
 
-Exact top-k by squared L2 distance.  Queries are few and the corpus is large,
-so the *query* side is what gets replicated: the corpus stays partitioned
-where it is, every corpus partition scores every query (distance via
-``zip_with`` + ``aggregate``, JVM-side), and a per-query top-k is kept with
-``row_number() <= k`` -- Spark plans a partial group limit before the shuffle,
-so each partition ships at most k rows per query.  The query side is
-broadcast only after its row count is checked against ``max_broadcast_queries``;
-above that, the same plan runs as a shuffled equi-join on a query block id.
+Exact top-k by squared L2 distance.  Both sides are hashed into blocks; every
+query block meets every corpus block in one task, which scores them as arrays
+and keeps k rows per query, and a window keeps the best k of those.  Query
+blocks are sized in bytes, so usually there is one and the corpus is moved
+once; more queries mean more blocks, never another plan.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import py_round
 
 DEFAULT_TOP_K = 2
-MAX_BROADCAST_QUERIES = 100_000
+QUERY_BLOCK_BYTES = 16 << 20
 
 
-def sq_l2(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"),
-                       lambda acc, v: acc + v.cast("double"))
+def _block_top(k: int):
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(c):
+            x, ids = np.stack(c["_cv"].to_numpy()).astype(float), c["_ck"].to_numpy()
+            for key, vec in zip(q["_qk"], q["_qv"]):
+                d = np.square(x - np.asarray(vec, float)).sum(axis=1)
+                at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                at = at[np.lexsort((ids[at], d[at]))][:k]
+                out.append(pd.DataFrame({"_qk": key, "_ck": ids[at], "distance": d[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"_qk": [], "_ck": [], "distance": []}, dtype=object)
+    return run
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, q_key: str, c_key: str, q_vec: str = "embedding",
                 c_vec: str = "embedding", k: int = DEFAULT_TOP_K,
-                max_broadcast_queries: int = MAX_BROADCAST_QUERIES, blocks: int = 64) -> DataFrame:
-    """(q_key, rank, c_key, distance) for the k nearest corpus rows of each query (K9)."""
-    q = queries.select(F.col(q_key).alias("_qk"), F.col(q_vec).alias("_qv"))
-    c = corpus.select(F.col(c_key).alias("_ck"), F.col(c_vec).alias("_cv"), *[x for x in corpus.columns
-                                                                             if x not in (c_key, c_vec)])
-    n_q = q.count()
-    if n_q <= max_broadcast_queries:
-        # the query side is small and its row count was checked: each corpus task scores it locally
-        pairs = c.join(F.broadcast(q), F.lit(True))
-    else:
-        # many queries: hash both sides into query blocks; every corpus row visits every block
-        qb = q.withColumn("_b", F.pmod(F.xxhash64("_qk"), F.lit(blocks)))
-        cb = c.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = cb.join(qb, "_b").drop("_b")
-    scored = pairs.withColumn("distance", sq_l2(F.col("_qv"), F.col("_cv")))
+                query_block_bytes: int = QUERY_BLOCK_BYTES, corpus_blocks: int | None = None) -> DataFrame:
+    """(q_key, rank, c_key, distance, other corpus columns) for the k nearest corpus rows of each query (K9).
+
+    Rows without a vector take no part; ties go to the smaller corpus key.
+    """
+    q = queries.select(F.col(q_key).alias("_qk"), F.col(q_vec).alias("_qv")).filter(F.col("_qv").isNotNull())
+    c = corpus.select(F.col(c_key).alias("_ck"), F.col(c_vec).alias("_cv")).filter(F.col("_cv").isNotNull())
+    size = q.agg(F.sum(F.size("_qv") * 8 + 64)).first()[0] or 0
+    n_q = int(size // query_block_bytes) + 1
+    n_c = corpus_blocks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    qb = q.select("*", block("_qk", n_q).alias("_qb"), every(n_c).alias("_cb"))
+    cb = c.select("*", every(n_q).alias("_qb"), block("_ck", n_c).alias("_cb"))
+    kinds = {f.name: f.dataType.simpleString() for f in q.schema.fields + c.schema.fields}
+    near = qb.groupBy("_qb", "_cb").cogroup(cb.groupBy("_qb", "_cb")).applyInPandas(
+        _block_top(k), f"_qk {kinds['_qk']}, _ck {kinds['_ck']}, distance double")
     w = Window.partitionBy("_qk").orderBy(F.col("distance"), F.col("_ck"))
-    top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.drop("_qv", "_cv").withColumnRenamed("_qk", q_key).withColumnRenamed("_ck", c_key)
+    top = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    rest = corpus.select(F.col(c_key).alias("_ck"), *[x for x in corpus.columns if x not in (c_key, c_vec)])
+    return top.join(rest, "_ck").withColumnRenamed("_qk", q_key).withColumnRenamed("_ck", c_key)
+
+
+# --- fixed values: context header and block labels ---------------------------
+CONTEXT_HEADER = "### Published Research Evidence (RRL)\n"
+SOURCE_LABEL, SECTION_LABEL, NO_SECTION = "**Source:** ", " | **Section:** ", "Unknown Section"
+# -----------------------------------------------------------------------------
 
 
-def assemble_context(hits: DataFrame, q_key: str, header: str = "### Published Research Evidence (RRL)\n",
+def assemble_context(hits: DataFrame, q_key: str, header: str = CONTEXT_HEADER,
                      source_col: str = "source", section_col: str = "section", text_col: str = "text") -> DataFrame:
     """Header + "Source | Section" + text blocks in rank order, one string per query.
 
     The group is the query's k hits (k is the retrieval parameter), so the
     collected list is bounded by k.
     """
-    block = F.concat(F.lit("**Source:** "), F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-                     F.lit(" | **Section:** "), F.coalesce(F.col(section_col).cast("string"), F.lit("Unknown Section")),
+    block = F.concat(F.lit(SOURCE_LABEL), F.coalesce(F.col(source_col).cast("string"), F.lit("")),
+                     F.lit(SECTION_LABEL), F.coalesce(F.col(section_col).cast("string"), F.lit(NO_SECTION)),
                      F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")), F.lit("\n\n"))
     agg = hits.groupBy(q_key).agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("_bl"))
     return agg.select(q_key, F.concat(F.lit(header), F.array_join(F.transform("_bl", lambda s: s["b"]), ""))
@@ -64,19 +81,23 @@ def assemble_context(hits: DataFrame, q_key: str, header: str = "### Published R
 
 
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, q_key: str, item_col: str, k: int = DEFAULT_TOP_K,
-                      digits: int = 3) -> DataFrame:
+                      digits: int = 3, queries: DataFrame | None = None) -> DataFrame:
     """P@k, R@k (hits not de-duplicated), MRR averaged over queries, rounded.
 
-    ``hits``: (q_key, rank, item); ``relevant``: (q_key, item) distinct relevant set.
+    ``hits``: (q_key, rank, item); ``relevant``: (q_key, item) distinct relevant set;
+    ``queries``: all queries (those of ``relevant`` when not given).  A query
+    without hits counts with zeros.
     """
     rel = relevant.select(q_key, item_col).distinct().withColumn("_rel", F.lit(1))
     n_rel = relevant.select(q_key, item_col).distinct().groupBy(q_key).agg(F.count(F.lit(1)).alias("_nrel"))
     h = hits.filter(F.col("rank") <= k).join(rel, [q_key, item_col], "left")
+    asked = (relevant if queries is None else queries).select(q_key).distinct()
     per = h.groupBy(q_key).agg(F.count(F.lit(1)).alias("_nh"), F.sum(F.coalesce("_rel", F.lit(0))).alias("_hit"),
                                F.min(F.when(F.col("_rel") == 1, F.col("rank"))).alias("_first"))
-    per = per.join(n_rel, q_key, "left").select(
-        q_key, (F.col("_hit") / F.greatest(F.col("_nh"), F.lit(1))).alias("p"),
-        (F.col("_hit") / F.greatest(F.coalesce(F.col("_nrel"), F.lit(0)), F.lit(1))).alias("r"),
+    hit, nh = F.coalesce("_hit", F.lit(0)), F.coalesce("_nh", F.lit(0))
+    per = asked.join(per, q_key, "left").join(n_rel, q_key, "left").select(
+        q_key, (hit / F.greatest(nh, F.lit(1))).alias("p"),
+        (hit / F.greatest(F.coalesce(F.col("_nrel"), F.lit(0)), F.lit(1))).alias("r"),
         F.coalesce(F.try_divide(F.lit(1.0), F.col("_first")), F.lit(0.0)).alias("rr"))
     return per.agg(py_round(F.avg("p"), digits).alias("precision_at_k"), py_round(F.avg("r"), digits).alias("recall_at_k"),
                    py_round(F.avg("rr"), digits).alias("mrr"), F.count(F.lit(1)).alias("n_queries"))

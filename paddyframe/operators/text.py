@@ -217,30 +217,36 @@ def is_out_of_scope(c) -> Column:
     return any_contains(c, OUT_OF_SCOPE_PATTERNS)
 
 
+PHRASE_KEY = 8     # characters of a phrase that candidates must share
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    """All substrings of the given length."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.transform(at, lambda i: F.substring(text, i, size))
+
+
 def phrase_hits(texts: DataFrame, key: str, text_col: str, phrases: DataFrame, phrase_col: str = "phrase") -> DataFrame:
     """Large phrase lists as a table: (key, phrase) pairs with a case-insensitive substring hit (K2).
 
-    No text x phrase product.  A phrase of three or more whitespace-separated
-    tokens can only occur where its inner tokens occur as whole tokens of the
-    text, so it is joined on its longest inner token against the text's
-    distinct tokens; shorter phrases are joined on their leading 3 characters
-    against the text's distinct 3-grams.  Every candidate is verified with
-    ``instr``, so the result equals the brute-force check.
+    One rule for phrases of any length: a phrase is keyed by one of its pieces of
+    ``PHRASE_KEY`` characters (all of it when shorter; the piece with the least
+    hash), which every text holding the phrase also holds.  Texts send (key,
+    piece) ids only, of the lengths that occur, and only pieces some phrase is
+    keyed by; each candidate pair is then verified once against the text.  An empty
+    phrase hits nothing.
     """
-    low = texts.select(key, F.lower(F.col(text_col)).alias("_t"))
-    ph = phrases.select(F.lower(F.col(phrase_col)).alias("_p")).distinct() \
-        .withColumn("_tok", F.filter(F.split(F.trim("_p"), r"\s+"), lambda w: w != ""))
-    inner = F.slice("_tok", 2, F.size("_tok") - 2)
-    longest = F.aggregate(inner, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
-    long_ph = ph.filter(F.size("_tok") >= 3).select("_p", longest.alias("_k"))
-    short_ph = ph.filter(F.size("_tok") < 3).select("_p", F.substring("_p", 1, 3).alias("_k"))
-    toks = low.select(key, "_t", F.explode(F.array_distinct(F.split("_t", r"\s+"))).alias("_k"))
-    n = F.length("_t")
-    grams = low.select(key, "_t", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring("_t", i, 3)))).alias("_k"))
-    cand = toks.join(long_ph, "_k").unionByName(grams.join(short_ph, "_k"))
-    return (cand.filter(F.instr("_t", F.col("_p")) > 0)
-            .select(key, F.col("_p").alias(phrase_col)).dropDuplicates([key, phrase_col]))
+    ph = phrases.select(F.lower(F.col(phrase_col)).alias("_p")).filter(F.length("_p") > 0).distinct()
+    ph = ph.withColumn("_n", F.least(F.length("_p"), F.lit(PHRASE_KEY)))
+    hashed = F.transform(_pieces(F.col("_p"), F.col("_n")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
+    ph = ph.withColumn("_k", F.array_min(hashed)["g"])
+    sizes = [r[0] for r in ph.select("_n").distinct().collect()]    # at most PHRASE_KEY numbers
+    low = texts.select(key, F.lower(F.col(text_col)).alias("_t")).filter(F.length("_t") > 0)
+    every = F.flatten(F.array(*[_pieces(F.col("_t"), F.lit(n)) for n in sizes or [1]]))
+    grams = low.select(key, F.explode(F.array_distinct(every)).alias("_k"))
+    cand = grams.join(ph.select("_p", "_k"), "_k").select(key, "_p").distinct()
+    return (cand.join(low, key).filter(F.instr("_t", F.col("_p")) > 0)
+            .select(key, F.col("_p").alias(phrase_col)).distinct())
 
 
 # ---- K4 --------------------------------------------------------------------

@@ -70,8 +70,10 @@ def q_ci_equals(fx):
 def _wide_prod(fx):
     """V2 pivoted to a statistical wide table: one row per series, one string column
     per 'YYYY Month' label, '..' for missing cells (the calendar bounds the columns)."""
-    labels = [f"{y} {m}" for y in range(1995, 2002) for m in clean._MONTHS]
-    p = fx.production().join(fx.dim(), "entity_id").withColumn(
+    p = fx.production()
+    first, last = p.agg(F.min("year"), F.max("year")).first()   # the calendar of the data
+    labels = [f"{y} {m}" for y in range(first, last + 1) for m in clean._MONTHS] if first else []
+    p = p.join(fx.dim(), "entity_id").withColumn(
         "label", F.concat_ws(" ", F.col("year").cast("string"),
                              F.element_at(F.array(*[F.lit(m) for m in clean._MONTHS]), F.col("month"))))
     wide = (p.groupBy(F.concat(F.lit(".."), F.col("entity_name")).alias("series"))
@@ -91,7 +93,7 @@ def q_wide_to_long(fx):
 @query("clean_missing", "B5", oracle(["production", "dim"],
        """SELECT g.series, g.period, CASE WHEN g.v IS NULL THEN 1 ELSE 0 END AS is_missing FROM (
             SELECT d.entity_name AS series, y.yr * 100 + m.mo AS period, p.volume AS v
-            FROM dim d, (SELECT unnest(range(1995, 2002)) AS yr) y, (SELECT unnest(range(1, 13)) AS mo) m
+            FROM dim d, (SELECT unnest(range(min(year), max(year) + 1)) AS yr FROM production) y, (SELECT unnest(range(1, 13)) AS mo) m
             LEFT JOIN production p ON p.entity_id = d.entity_id AND p.year = y.yr AND p.month = m.mo
             WHERE d.entity_id IN (SELECT entity_id FROM production)) g"""))
 def q_clean_missing(fx):
@@ -103,17 +105,19 @@ def q_clean_missing(fx):
 
 
 _GRID_SQL = """SELECT d.entity_id, y.yr * 100 + m.mo AS period, pr.price
-  FROM dim d, (SELECT unnest(range(1995, 2002)) AS yr) y, (SELECT unnest(range(1, 13)) AS mo) m
+  FROM dim d, (SELECT unnest(range(min(year), max(year) + 1)) AS yr FROM prices) y, (SELECT unnest(range(1, 13)) AS mo) m
   LEFT JOIN prices pr ON pr.entity_id = d.entity_id AND pr.year = y.yr AND pr.month = m.mo"""
 
 
 def _grid(fx):
     """(entity, period) grid over the calendar with the price cell (NULL where missing)."""
-    periods = F.explode(F.sequence(F.lit(1995 * 12), F.lit(2001 * 12 + 11)))
+    prices = fx.prices()
+    first, last = prices.agg(F.min("year"), F.max("year")).first()      # the calendar of the data
+    periods = F.explode(F.sequence(F.lit((first or 0) * 12), F.lit((last or 0) * 12 + 11)))
     g = fx.dim().select("entity_id", periods.alias("_o"))
     g = g.select("entity_id", F.floor(F.col("_o") / 12).cast("int").alias("year"),
                  (F.pmod("_o", F.lit(12)) + 1).cast("int").alias("month"))
-    return (g.join(fx.prices(), ["entity_id", "year", "month"], "left")
+    return (g.join(prices, ["entity_id", "year", "month"], "left")
             .select("entity_id", (F.col("year") * 100 + F.col("month")).alias("period"), "price"))
 
 

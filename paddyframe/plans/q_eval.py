@@ -301,7 +301,7 @@ def q_upsert_ignore(fx):
     p = fx.production()
     existing = p.filter(F.col("year") <= 1998)
     incoming = p.filter(F.col("year") >= 1997).withColumn("volume", F.col("volume") + 1)
-    return io.insert_or_ignore(existing, incoming, ["entity_id", "year", "month"])
+    return io.insert_or_ignore(existing, incoming, ["entity_id", "year", "month"], ["volume", "area"])
 
 
 @query("latest_model", "A9 H6")

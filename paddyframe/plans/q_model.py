@@ -59,12 +59,33 @@ def q_temporal_split(fx):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("feature_sets", "H3")
+# the columns of each feature group, spelled out for the oracle
+_GROUP_COLS = {"weather": [f"{v}_lag{k}" for v in W8 for k in range(1, 5)] + W8 + [f"{v}_gs" for v in W8]
+               + ["precipitation_sum_gs_wet", "soil_moisture_0_to_100cm_mean_gs_wet"],
+               "prov_*": [f"prov_{n}" for n in NATIONS]}
+
+
+def _feature_sets_sql():
+    sets = {(kind, t): [c for g in groups for c in _GROUP_COLS.get(g, [g])]
+            for kind, by_target in linear.FEATURE_GROUPS.items() for t, groups in by_target.items()}
+    every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    one = "\nUNION ALL\n".join(f"SELECT '{c}' AS feature, count(\"{c}\") AS n, avg(CAST(\"{c}\" AS DOUBLE)) AS mean FROM tm" for c in every)
+    return "\nUNION ALL\n".join(
+        f"SELECT '{kind}' AS model, '{t}' AS target, feature, n, mean FROM m WHERE feature IN ({', '.join(repr(c) for c in cols)})"
+        for (kind, t), cols in sets.items()), f"m AS ({one})"
+
+
+@query("feature_sets", "H3", oracle(["panel"], _feature_sets_sql()[0], ["mean"], extra=[_TM_CTE, _feature_sets_sql()[1]]))
 def q_feature_sets(fx):
+    """Every feature of every set with its row count and mean over the training matrix."""
     tm = _tm(fx)
-    rows = [(kind, t, len(cols)) for kind in ("lasso", "ridge")
-            for t, cols in linear.feature_sets(tm.columns, kind).items()]
-    return fx.spark.createDataFrame(rows, "model string, target string, n_features int")
+    sets = {kind: linear.feature_sets(tm.columns, kind) for kind in linear.FEATURE_GROUPS}
+    rows = [(kind, t, c) for kind, by_target in sets.items() for t, cols in by_target.items() for c in cols]
+    members = fx.spark.createDataFrame(rows, "model string, target string, feature string")
+    every = list(dict.fromkeys(c for _, _, c in rows))
+    long = tm.select(*[F.col(c).cast("double").alias(c) for c in every]).unpivot([], every, "feature", "value")
+    stats = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return stats.join(members, "feature").select("model", "target", "feature", "n", "mean")
 
 
 def _yield_feats(tm):
@@ -123,19 +144,18 @@ def _baseline_sql():
     return "\nUNION ALL\n".join(parts)
 
 
-def baseline_metrics(tm):
-    train = tm.filter(F.col("year") <= TRAIN_END_YEAR)
-    test = tm.filter(F.col("year") >= TEST_START_YEAR)
-    out = None
-    for t, b, y, p in _BASELINES:
-        if p is None:
-            seas = train.groupBy("month").agg(F.avg(y).alias("_seas"))
-            src, yh = test.join(seas, "month", "left"), "_seas"
-        else:
-            src, yh = test, p
-        m = linear.regression_metrics(src, y, yh).select(F.lit(t).alias("target"), F.lit(b).alias("model"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+def baseline_metrics(tm, models: dict | None = None):
+    """Metrics of all baselines (and fitted ``models``: {(target, name): prediction column}) in one aggregation:
+    seasonal means are joined once, every prediction becomes a row (target, model, y, yhat)."""
+    seasonal = [t for t, _, _, p in _BASELINES if p is None]
+    seas = tm.filter(F.col("year") <= TRAIN_END_YEAR).groupBy("month").agg(
+        *[F.avg(TARGET_COL[t]).alias(f"_seas_{t}") for t in seasonal])
+    test = tm.filter(F.col("year") >= TEST_START_YEAR).join(seas, "month", "left")
+    preds = [(t, b, F.col(p or f"_seas_{t}")) for t, b, _, p in _BASELINES] + [(*k, c) for k, c in (models or {}).items()]
+    long = test.select(F.explode(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.lit(b).alias("model"), F.col(TARGET_COL[t]).cast("double").alias("y"),
+                 c.cast("double").alias("yhat")) for t, b, c in preds])).alias("_p")).select("_p.*")
+    return linear.regression_metrics(long, "y", "yhat", ["target", "model"])
 
 
 @query("baseline_metrics", "H8 C10", oracle(["panel"], _baseline_sql(), ["mae", "rmse", "r2"],
@@ -144,23 +164,18 @@ def q_baseline_metrics(fx):
     return baseline_metrics(_tm(fx))
 
 
-_FITTED: dict = {}   # (data dir, kind, window) -> fitted models: small coefficient artifacts
-
-
 def _fit_all(fx, kind: str, full: bool = False):
+    """Training matrix and models fitted on it now: no state outlives the query."""
     tm = _tm(fx)
-    key = (fx.base, kind, full)
-    if key not in _FITTED:
-        cached = tm.cache()   # shared by the moments pass, the fold pass and the Gram pass
-        try:
-            train = cached if full else cached.filter(F.col("year") <= TRAIN_END_YEAR)
-            sets = linear.feature_sets(tm.columns, kind)
-            specs = {t: (cols, TARGET_COL[t]) for t, cols in sets.items()}
-            # all three targets share one moments pass and one Gram pass over the training rows
-            _FITTED[key] = linear.fit_targets(train, specs, kind, "entity_id", ["year", "month"])
-        finally:
-            cached.unpersist()
-    return tm, _FITTED[key]
+    cached = tm.cache()   # shared by the moments pass, the fold pass and the Gram pass
+    try:
+        train = cached if full else cached.filter(F.col("year") <= TRAIN_END_YEAR)
+        sets = linear.feature_sets(tm.columns, kind)
+        specs = {t: (cols, TARGET_COL[t]) for t, cols in sets.items()}
+        # all three targets share one moments pass and one Gram pass over the training rows
+        return tm, linear.fit_targets(train, specs, kind, "entity_id", ["year", "month"])
+    finally:
+        cached.unpersist()
 
 
 def _coef_table(fx, models):
@@ -187,14 +202,8 @@ def q_ridge_cv(fx):
 def q_leaderboard(fx):
     tm, lasso = _fit_all(fx, "lasso")
     _, ridge = _fit_all(fx, "ridge")
-    test = tm.filter(F.col("year") >= TEST_START_YEAR)
-    out = baseline_metrics(tm)
-    for kind, models in (("lasso", lasso), ("ridge", ridge)):
-        for t, m in models.items():
-            scored = test.withColumn("_pred", linear.predict_column(m))
-            out = out.unionByName(linear.regression_metrics(scored, TARGET_COL[t], "_pred").select(
-                F.lit(t).alias("target"), F.lit(kind).alias("model"), "*"))
-    return out
+    return baseline_metrics(tm, {(t, kind): linear.predict_column(m) for kind, models in (("lasso", lasso), ("ridge", ridge))
+                                 for t, m in models.items()})
 
 
 @query("top_features", "H10")

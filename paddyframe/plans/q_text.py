@@ -69,10 +69,10 @@ _RESOLVE_CTES = [_REQ_SQL, _IDX_SQL, r"""rq AS (
     CASE WHEN h.level IS NULL THEN 'NOT_FOUND' WHEN h.n_match > 1 THEN 'AMBIGUOUS'
          WHEN h.l1_name NOT IN ({', '.join(repr(x) for x in ALLOWED_L1)}) THEN 'UNSUPPORTED_REGION' ELSE 'RESOLVED' END AS status,
     h.level, h.method,
-    CASE WHEN h.n_match = 1 THEN CASE h.level WHEN 1 THEN 'province' WHEN 2 THEN 'municipality_city' ELSE 'barangay' END END AS granularity,
-    CASE WHEN h.n_match = 1 THEN h.resolved_name END AS resolved_name,
-    CASE WHEN h.n_match = 1 THEN h.l1_name END AS province,
-    CASE WHEN h.n_match = 1 THEN h.node_id END AS node_id
+    CASE WHEN h.n_match = 1 AND h.l1_name IN ({', '.join(repr(x) for x in ALLOWED_L1)}) THEN CASE h.level WHEN 1 THEN 'province' WHEN 2 THEN 'municipality_city' ELSE 'barangay' END END AS granularity,
+    CASE WHEN h.n_match = 1 AND h.l1_name IN ({', '.join(repr(x) for x in ALLOWED_L1)}) THEN h.resolved_name END AS resolved_name,
+    CASE WHEN h.n_match = 1 AND h.l1_name IN ({', '.join(repr(x) for x in ALLOWED_L1)}) THEN h.l1_name END AS province,
+    CASE WHEN h.n_match = 1 AND h.l1_name IN ({', '.join(repr(x) for x in ALLOWED_L1)}) THEN h.node_id END AS node_id
   FROM rq LEFT JOIN (SELECT * FROM ex UNION ALL SELECT * FROM fb) h ON rq.request_id = h.request_id)"""]
 
 
@@ -143,10 +143,10 @@ def q_seed_dim(fx):
                                                            F.col("s_nationkey").alias("l2_id")))
     incoming = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.concat(F.lit("  "), F.col("s_name"), F.lit(" ")).alias("name"),
-        F.concat(F.upper("n_name"), F.lit(" ")).alias("parent"))
+        F.concat(F.upper("n_name"), F.lit(" ")).alias("parent"), "s_suppkey")
     parents = n.select(F.col("n_nationkey").alias("l2_id"), "n_name")
     return resolve.seed_dim(existing, incoming, parents, "name", "parent", "l2_id", "n_name",
-                            ["name", "l2_id"]).select("name", "l2_id")
+                            ["name", "l2_id"], ["s_suppkey"]).select("name", "l2_id")
 
 
 def _vertices(fx):
@@ -380,12 +380,13 @@ def q_assemble_context(fx):
 
 @query("retrieval_metrics", "L10", oracle([], f"""SELECT {_pr('avg(p)', 3)} AS precision_at_k, {_pr('avg(r)', 3)} AS recall_at_k,
       {_pr('avg(rr)', 3)} AS mrr, count(*) AS n_queries FROM (
-    SELECT h.query_id, sum(CASE WHEN h.label = h.query_id THEN 1 ELSE 0 END) / greatest(count(*), 1) AS p,
+    SELECT qs.query_id, sum(CASE WHEN h.label = h.query_id THEN 1 ELSE 0 END) / greatest(count(h.rank), 1) AS p,
            sum(CASE WHEN h.label = h.query_id THEN 1 ELSE 0 END) / greatest(max(nr.n), 1) AS r,
            coalesce(1.0 / min(CASE WHEN h.label = h.query_id THEN h.rank END), 0.0) AS rr
-    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM hits) h
-    LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) nr ON nr.label = h.query_id
-    GROUP BY h.query_id)""", ["precision_at_k", "recall_at_k", "mrr"], extra=_KNN_CTES))
+    FROM (SELECT DISTINCT label AS query_id FROM embeddings) qs LEFT JOIN
+         (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM hits) h ON h.query_id = qs.query_id
+    LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) nr ON nr.label = qs.query_id
+    GROUP BY qs.query_id)""", ["precision_at_k", "recall_at_k", "mrr"], extra=_KNN_CTES))
 def q_retrieval_metrics(fx):
     hits = knn(fx).withColumn("item", F.col("vec_id"))
     relevant = fx.t.embeddings.select(F.col("label").alias("query_id"), F.col("vec_id").alias("item"))

@@ -41,15 +41,12 @@ def series_explode(df: DataFrame, keys: list[str], start_col: str, end_col: str,
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str],
-                     order_cols: list[str] | None = None, mode: str = "ignore") -> DataFrame:
+                     order_cols: list[str], mode: str = "ignore") -> DataFrame:
     """Insert-or-ignore on a unique key (A6): first incoming row per key wins
     (by ``order_cols`` ascending), rows whose key already exists are skipped.
     ``mode='replace'`` lets incoming rows replace existing ones (T10 option)."""
-    if order_cols:
-        w = Window.partitionBy(*keys).orderBy(*order_cols)
-        incoming = incoming.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    else:
-        incoming = incoming.dropDuplicates(keys)
+    w = Window.partitionBy(*keys).orderBy(*order_cols)
+    incoming = incoming.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     if mode == "replace":
         return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
     return existing.unionByName(incoming.join(existing.select(*keys), keys, "left_anti"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,21 +21,29 @@ from ..session import checkpoint_dir
 from ..sources.io import insert_or_ignore
 
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The sink, or None while it has no files; any other read error is raised."""
     try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # no files yet
-        return False
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def merge_ignore(spark: SparkSession, batch: DataFrame, sink_path: str, keys: list[str],
-                 partition_cols: list[str] | None = None) -> None:
-    """Append only rows whose key is not in the sink yet (first row for a key wins)."""
-    batch = batch.dropDuplicates(keys)
-    if _table_exists(spark, sink_path):
-        existing = spark.read.parquet(sink_path).select(*keys)
-        batch = batch.join(existing, keys, "left_anti")
+                 order_cols: list[str], partition_cols: list[str] | None = None) -> None:
+    """Append only rows whose key is not in the sink yet (the first row per key, by ``order_cols``, wins).
+
+    Only the sink partitions that the batch touches are read.
+    """
+    old = _existing(spark, sink_path)
+    if old is not None and partition_cols:
+        # partition values of one batch: a handful of years
+        for c in partition_cols:
+            old = old.filter(F.col(c).isin([r[0] for r in batch.select(c).distinct().collect()]))
+    known = old.select(*batch.columns) if old is not None else batch.limit(0)
+    batch = insert_or_ignore(known, batch, keys, order_cols).join(known.select(*keys), keys, "left_anti")
     w = batch.write.mode("append")
     if partition_cols:
         w = w.partitionBy(*partition_cols)
@@ -43,10 +52,11 @@ def merge_ignore(spark: SparkSession, batch: DataFrame, sink_path: str, keys: li
 
 def stream_daily_facts(spark: SparkSession, landing_dir: str, schema: T.StructType | str, sink_path: str,
                        keys: list[str], date_col: str = "day", name: str = "daily_facts",
-                       available_now: bool = True):
+                       available_now: bool = True, order_cols: list[str] | None = None):
     """Start the ingest stream: parquet files in ``landing_dir`` -> insert-or-ignore into ``sink_path``.
 
-    The sink is partitioned by year so month/year rollups prune partitions.
+    The sink is partitioned by year so month/year rollups prune partitions.  Rows of one batch that
+    share a key compete by ``order_cols`` (all columns in order when not given).
     Returns the ``StreamingQuery``.
     """
     ckpt = os.path.join(checkpoint_dir(spark), f"stream-{name}")
@@ -54,7 +64,7 @@ def stream_daily_facts(spark: SparkSession, landing_dir: str, schema: T.StructTy
            .withColumn("year", F.year(F.col(date_col))))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        merge_ignore(batch.sparkSession, batch, sink_path, keys, ["year"])
+        merge_ignore(batch.sparkSession, batch, sink_path, keys, order_cols or batch.columns, ["year"])
 
     w = src.writeStream.foreachBatch(each).option("checkpointLocation", ckpt).queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

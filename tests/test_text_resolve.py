@@ -115,3 +115,50 @@ def test_search_hierarchy_matches_bruteforce(spark):
     L1, L2, L3 = [tuple(r) for r in l1.collect()], [tuple(r) for r in l2.collect()], [tuple(r) for r in l3.collect()]
     for i, pr in enumerate(prompts):
         assert {r["line"] for r in got if r["prompt_id"] == i} == _search_bruteforce(pr, L1, L2, L3)
+
+
+def test_phrase_hits_finds_phrases_of_any_length(spark):
+    from paddyframe.operators import text
+    texts = spark.createDataFrame([(1, "AI is here"), (2, "we use ai now"), (3, "x"), (4, ""), (5, None), (6, "MIT License. released")],
+                                  "id int, t string")
+    phrases = [("ai",), ("use ai",), ("x",), ("i",), ("mit license. rel",), ("",), ("absent phrase",), ("ai now ai",)]
+    got = {(r.id, r.phrase) for r in text.phrase_hits(texts, "id", "t", spark.createDataFrame(phrases, "phrase string")).collect()}
+    want = {(i, p) for i, t in ((1, "ai is here"), (2, "we use ai now"), (3, "x"), (6, "mit license. released"))
+            for (p,) in phrases if p and p in t}
+    assert got == want
+    assert text.phrase_hits(texts, "id", "t", spark.createDataFrame([], "phrase string")).count() == 0
+
+
+def test_retrieval_metrics_count_queries_without_hits(spark):
+    from paddyframe.operators import retrieval
+    hits = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "q int, rank int, item string")
+    rel = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "q int, item string")
+    r = retrieval.retrieval_metrics(hits, rel, "q", "item", k=2).first()
+    assert (r.precision_at_k, r.recall_at_k, r.mrr, r.n_queries) == (0.5, 0.5, 0.5, 2)
+
+
+def test_vector_topk_in_many_blocks(spark):
+    import numpy as np
+    from paddyframe.operators import retrieval
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 4, (300, 3)).astype(float)
+    c = spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(x)] + [(999, None, 0)], "cid int, embedding array<double>, label int")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:40] + 0.25)], "qid int, embedding array<double>")
+    want = {(i, k + 1, int(j)) for i in range(40) for k, j in enumerate(np.lexsort((np.arange(300), ((x - x[i] - 0.25) ** 2).sum(1)))[:3])}
+    for size in (1 << 20, 400):
+        df = retrieval.vector_topk(q, c, "qid", "cid", k=3, query_block_bytes=size, corpus_blocks=5)
+        assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()
+        assert {(r.qid, r["rank"], r.cid) for r in df.collect()} == want
+
+
+def test_unsupported_region_and_absent_words(spark):
+    from paddyframe.operators import resolve
+    l1 = spark.createDataFrame([(1, "North"), (2, "South")], "l1_id int, l1_name string")
+    l2 = spark.createDataFrame([(1, "Old Town", 1), (2, "Port", 2)], "l2_id int, l2_name string, l1_id int")
+    l3 = spark.createDataFrame([(i, "Center", 1) for i in range(5)], "l3_id int, l3_name string, l2_id int")
+    req = spark.createDataFrame([(1, "\tOld Town\n"), (2, "port"), (3, "center"), (4, "port zzz"), (5, "the town"), (6, "  ")],
+                                "request_id int, query string")
+    got = {r.request_id: r for r in resolve.resolve(req, resolve.paths(l1, l2, l3), allowed_l1=["North"]).collect()}
+    assert (got[1].status, got[1].method, got[1].resolved_name) == ("RESOLVED", "exact", "Old Town, North")
+    assert got[2].status == "UNSUPPORTED_REGION" and got[2].resolved_name is None and got[2].province is None and got[2].node_id is None
+    assert got[3].status == "AMBIGUOUS" and got[4].status == "NOT_FOUND" and got[5].status == "RESOLVED" and got[6].status == "NOT_FOUND"
