@@ -220,10 +220,14 @@ def is_out_of_scope(c) -> Column:
 PHRASE_KEY = 8     # characters of a phrase that candidates must share
 
 
-def _pieces(text: Column, size: Column) -> Column:
-    """All substrings of the given length."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.transform(at, lambda i: F.substring(text, i, size))
+def _pieces(text: Column, sizes: list[Column]) -> Column:
+    """All substrings of the given lengths (over the characters as an array: linear in the text)."""
+    def cut(chars: Column) -> Column:
+        def one(size: Column) -> Column:
+            at = F.sequence(F.lit(1), F.greatest(F.size(chars) - size + 1, F.lit(1)))
+            return F.transform(at, lambda i: F.array_join(F.slice(chars, i, size), ""))
+        return F.flatten(F.array(*map(one, sizes)))
+    return F.transform(F.array(F.split(text, "")), cut)[0]
 
 
 def phrase_hits(texts: DataFrame, key: str, text_col: str, phrases: DataFrame, phrase_col: str = "phrase") -> DataFrame:
@@ -238,12 +242,12 @@ def phrase_hits(texts: DataFrame, key: str, text_col: str, phrases: DataFrame, p
     """
     ph = phrases.select(F.lower(F.col(phrase_col)).alias("_p")).filter(F.length("_p") > 0).distinct()
     ph = ph.withColumn("_n", F.least(F.length("_p"), F.lit(PHRASE_KEY)))
-    hashed = F.transform(_pieces(F.col("_p"), F.col("_n")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
+    hashed = F.transform(_pieces(F.col("_p"), [F.col("_n")]), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
     ph = ph.withColumn("_k", F.array_min(hashed)["g"])
     sizes = [r[0] for r in ph.select("_n").distinct().collect()]    # at most PHRASE_KEY numbers
     low = texts.select(key, F.lower(F.col(text_col)).alias("_t")).filter(F.length("_t") > 0)
-    every = F.flatten(F.array(*[_pieces(F.col("_t"), F.lit(n)) for n in sizes or [1]]))
-    grams = low.select(key, F.explode(F.array_distinct(every)).alias("_k"))
+    pieces = _pieces(F.col("_t"), [F.lit(n) for n in sizes or [1]])
+    grams = low.select(key, F.explode(F.array_distinct(pieces)).alias("_k"))
     cand = grams.join(ph.select("_p", "_k"), "_k").select(key, "_p").distinct()
     return (cand.join(low, key).filter(F.instr("_t", F.col("_p")) > 0)
             .select(key, F.col("_p").alias(phrase_col)).distinct())
