@@ -2,7 +2,7 @@
 
 A sequence of n values below u keeps the low bits of each value as they are
 (rounded up to whole bytes here) and the high bits in unary: two bits a value.
-Samples every 512 bits answer select in a bounded scan.  All arrays can live in
+Counts before every 64 bits answer select in a bounded scan.  All arrays can live in
 one memory-mapped file.
 """
 
@@ -12,8 +12,8 @@ from typing import BinaryIO
 
 import numpy as np
 
-SAMPLE_BYTES = 64
-STEP = 1 << 15          # queries handled at once: bounds the scan matrices
+SAMPLE_BYTES = 8
+STEP = 1 << 16          # queries handled at once: bounds the scan matrices
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: position of the k-th set bit of a byte (8 where there is none)
@@ -37,12 +37,14 @@ class EliasFano:
         self.upper = np.packbits(ones, bitorder="little")
         self.low = values.view(np.uint8).reshape(-1, 8)[:, :self.width].copy() if self.n else np.zeros((0, self.width), np.uint8)
         per = _POP[self.upper].reshape(-1, SAMPLE_BYTES).sum(axis=1, dtype=np.int64)
-        self.ones_before = np.concatenate([[0], np.cumsum(per)])
+        self.ones_before = np.concatenate([[0], np.cumsum(per)]).astype(np.uint32 if self.n < 1 << 31 else np.int64)
         self.arrays = ("upper", "low", "ones_before")
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Bit position of the k-th (from 0) set or clear bit."""
-        before = self.ones_before if one else np.arange(len(self.ones_before)) * 8 * SAMPLE_BYTES - self.ones_before
+        before = self.ones_before.astype(np.int64)
+        if not one:
+            before = np.arange(len(before)) * 8 * SAMPLE_BYTES - before
         out = np.empty(len(k), np.int64)
         grid = self.upper.reshape(-1, SAMPLE_BYTES)
         for a in range(0, len(k), STEP):
@@ -73,32 +75,35 @@ class EliasFano:
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
         return start, end
 
-    def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """Index of the first value >= x among [lo, hi) (``hi`` where there is none); ranges must be
-        contiguous in value, as a trie's children are."""
-        x = np.asarray(x, np.uint64)
+    def _search(self, x: np.ndarray, lo: np.ndarray | None, hi: np.ndarray | None):
+        """Index of the first value >= x in x's own bucket (cut to [lo, hi)), the bucket's end, x's low bits."""
         high = np.minimum((x >> np.uint64(8 * self.width)).astype(np.int64), self.buckets - 1)
-        a, b = self._bucket(high)
+        a, end = self._bucket(high)
         if lo is not None:
-            a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
-        low = x & np.uint64((1 << (8 * self.width)) - 1) if self.width < 8 else x
-        while True:  # binary search inside the bucket, all queries at once
-            live = np.flatnonzero(a < b)
-            if not len(live):
-                return a
-            mid = (a[live] + b[live]) // 2
+            a, end = np.clip(a, lo, hi), np.clip(end, lo, hi)
+        b = end.copy()
+        low = x & np.uint64((1 << (8 * self.width)) - 1)
+        live = np.flatnonzero(a < b)
+        while len(live):  # binary search inside the buckets, all queries at once
+            mid = (a[live] + b[live]) >> 1
             less = self._low(mid) < low[live]
             a[live[less]] = mid[less] + 1
             b[live[~less]] = mid[~less]
+            live = live[a[live] < b[live]]
+        return a, end, low
+
+    def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first value >= x among [lo, hi) (``hi`` where there is none); ranges must be
+        contiguous in value, as a trie's children are."""
+        return self._search(np.asarray(x, np.uint64), lo, hi)[0]
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """Index of x, or -1."""
+        """Index of x, or -1: its successor, if that lies in x's bucket and has x's low bits."""
         x = np.asarray(x, np.uint64)
-        i = self.successor(x, lo, hi)
-        ok = i < (self.n if hi is None else hi)
+        i, end, low = self._search(x, lo, hi)
         out = np.full(len(x), -1, np.int64)
-        at = np.flatnonzero(ok)
-        same = self.access(i[at]) == x[at]
+        at = np.flatnonzero(i < end)
+        same = self._low(i[at]) == low[at]
         out[at[same]] = i[at[same]]
         return out
 
@@ -136,14 +141,21 @@ class Level:
     def codes(self, context: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Code of each (context, child), 0 where it isn't stored."""
         out = np.zeros(len(context), np.uint16)
-        if not len(self.code):
+        if not len(self.code) or not len(context):
             return out
-        c = self.contexts.find(context)
-        at = np.flatnonzero(c >= 0)
-        c = c[at]
-        lo = self.pointers.access(c).astype(np.int64)
-        hi = self.pointers.access(c + 1).astype(np.int64)
-        i = self.children.find((c.astype(np.uint64) << np.uint64(32)) | child[at].astype(np.uint64), lo, hi)
+        order = np.lexsort((child, context))    # in the trie's order: neighbours share contexts and cache lines
+        context, child = context[order], child[order]
+        first = np.ones(len(context), bool)
+        first[1:] = context[1:] != context[:-1]
+        c = self.contexts.find(context[first])
+        known = np.flatnonzero(c >= 0)
+        ends = self.pointers.access(np.concatenate([c[known], c[known] + 1])).astype(np.int64)
+        lo, hi = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        lo[known], hi[known] = ends[:len(known)], ends[len(known):]
+        group = np.cumsum(first) - 1
+        at = np.flatnonzero(c[group] >= 0)
+        g = group[at]
+        i = self.children.find((c[g].astype(np.uint64) << np.uint64(32)) | child[at].astype(np.uint64), lo[g], hi[g])
         hit = i >= 0
-        out[at[hit]] = self.code[i[hit]]
+        out[order[at[hit]]] = self.code[i[hit]]
         return out

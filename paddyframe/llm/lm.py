@@ -108,17 +108,15 @@ def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (keys >> np.uint64(32)) ^ (_mix(w + np.uint64(1)) >> np.uint64(32)), w
 
 
-def _heaps(t: Tokens, inverse, at) -> np.ndarray:
+def _heaps(t: Tokens, inverse: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """(contexts, training count, distinct followers) by the power of two of the context's count here."""
     out = np.zeros((BUCKETS, 3))
-    train = t.train[at]
-    if train.any():
-        word = t.word[at]
-        prev = np.concatenate([[0], word[:-1]])[train]
-        gram = inverse[train]
-        c = np.bincount(prev)
-        seen = np.unique(np.stack([prev, gram]), axis=1)[0] if len(prev) else prev
-        f = np.bincount(seen, minlength=len(c))
+    if counts.any():
+        prev = np.concatenate([[0], t.word[:-1]])
+        c = np.bincount(prev, t.train)
+        of = np.empty(len(counts), np.int64)
+        of[inverse] = prev                      # a bigram's first word
+        f = np.bincount(of[counts > 0], minlength=len(c))
         b = np.log2(np.maximum(c, 1)).astype(int)
         for i, x in enumerate((c > 0, c, f)):
             out[:, i] = np.bincount(b, x, BUCKETS)
@@ -132,7 +130,7 @@ def ask(block: C.Block, shards: int, order: int) -> list:
     heaps = None
     for n, (at, inverse, keys, cs) in enumerate(t.grams(order), 2):
         if n == 2:
-            heaps = _heaps(t, inverse, at)
+            heaps = _heaps(t, inverse, cs)
         rows: list = []
         C.ask_rows(rows, block.id, keys, shards, lambda a, b, k=keys, c=cs: C.squeeze(c[a:b].tobytes()) + k[a:b].tobytes())
         out += [(s + (n - 1) * shards, b, p) for s, b, p in rows]
@@ -172,7 +170,7 @@ def answer(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
         code = 1 + np.floor(np.log10(total[known]) * CODE_STEP + 1e-9)
         with tempfile.TemporaryFile() as file:
             level = Level(context[order], word[order], code[order]).map_to(file)
-            found = level.codes(*_split(every))
+            found = level.codes(*_split(keys))[inverse]
             back = [C.squeeze(x.tobytes()) for x in np.split(found, cuts)]
             del level
         stats = [0, 0, 0]
