@@ -102,6 +102,10 @@ class Fixtures:
         df = feat.growing_season(df, MONTHLY_VARS)
         return feat.season_interaction(df)
 
+    def ridge_panel(self) -> DataFrame:
+        """Combined + trailing 1 / 2 / 3 month windows: the design of the Ridge models."""
+        return feat.trailing_windows(self.combined(), MONTHLY_VARS)
+
     def places(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """V7: three-level hierarchy (region > nation > supplier) as (l1, l2, l3)."""
         l1 = self.t.region.select(F.col("r_regionkey").cast("long").alias("l1_id"), F.col("r_name").alias("l1_name"))

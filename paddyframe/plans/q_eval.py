@@ -307,7 +307,7 @@ def q_upsert_ignore(fx):
 @query("latest_model", "A9 H6")
 def q_latest_model(fx):
     from .q_model import _tm
-    tm = _tm(fx)
+    tm = _tm(fx, "ridge")
     cols = linear.feature_sets(tm.columns, "ridge")["price"]
     versions = []
     for stamp, end_year in (("2026-01-01 00:00:00", TRAIN_END_YEAR - 1), ("2026-02-01 00:00:00", TRAIN_END_YEAR)):

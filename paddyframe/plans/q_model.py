@@ -30,14 +30,35 @@ _TM_SQL_BODY = ("SELECT * EXCLUDE (entity_name), " + ", ".join(f"CAST(entity_nam
                 + " AND ".join(f"{c} IS NOT NULL" for c in _PANEL_COLS))
 _TM_CTE = f"tm AS ({_TM_SQL_BODY})"
 
+# the Ridge design: trailing windows instead of lags, growing season and season interaction
+_TRAIL_COLS = [f"{v}_{n}m" for v in W8 for n in (1, 2, 3)]
+_RPANEL_COLS = _PANEL_COLS[:_PANEL_COLS.index("month_cos") + 1] + _TRAIL_COLS
+_RTM_SQL_BODY = _TM_SQL_BODY[:_TM_SQL_BODY.index(" FROM panel")] + f" FROM rpanel WHERE year >= {PANEL_START_YEAR} AND " \
+    + " AND ".join(f"{c} IS NOT NULL" for c in _RPANEL_COLS)
+
+
+def _trail(v, n):
+    fn = "sum" if "sum" in v or "days" in v else "avg"
+    frame = f"(w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"{v} AS {v}_1m" if n == 1 else \
+        f"CASE WHEN count({v}) OVER {frame} = {n} THEN CAST({fn}({v}) OVER {frame} AS DOUBLE) END AS {v}_{n}m"
+
+
+_RPANEL_CTE = ("rpanel AS (SELECT *, " + ", ".join(_trail(v, n) for v in W8 for n in (1, 2, 3))
+               + " FROM combined WINDOW w AS (PARTITION BY entity_id ORDER BY year, month))")
+_RTM_CTE = f"rtm AS ({_RTM_SQL_BODY})"
+_RTM_DBL = (W6 + ["target_yield", "target_price", "target_production"] + LAGS + ["month_sin", "month_cos"]
+            + [f"{v}_{n}m" for v in W8 for n in (1, 2, 3) if n > 1 or v in W6] + [f'"prov_{n}"' for n in NATIONS])
+
 
 def _categories(fx):
     # one-hot categories from the entity dimension (bounded, sorted like get_dummies)
     return sorted(r[0] for r in fx.dim().select("entity_name").distinct().collect())
 
 
-def _tm(fx):
-    return linear.train_matrix(fx.panel(), "entity_name", _categories(fx), PANEL_START_YEAR)
+def _tm(fx, kind="lasso"):
+    panel = fx.panel() if kind == "lasso" else fx.ridge_panel()
+    return linear.train_matrix(panel, "entity_name", _categories(fx), PANEL_START_YEAR)
 
 
 @query("train_matrix", "H1 D5 B8 B10", oracle(["panel"], _TM_SQL_BODY, _TM_DBL))
@@ -45,6 +66,11 @@ def q_train_matrix(fx):
     return _tm(fx)
 
 
+@query("ridge_train_matrix", "H1 H6 F4", oracle(["combined"], _RTM_SQL_BODY, _RTM_DBL, extra=[_RPANEL_CTE]))
+def q_ridge_train_matrix(fx):
+    return _tm(fx, "ridge")
+
+
 @query("complete_cases", "B8", oracle(["panel"], "SELECT count(*) AS n FROM panel WHERE "
                                        + " AND ".join(f"{c} IS NOT NULL" for c in _PANEL_COLS)))
 def q_complete_cases(fx):
@@ -60,32 +86,41 @@ def q_temporal_split(fx):
 
 
 # the columns of each feature group, spelled out for the oracle
-_GROUP_COLS = {"weather": [f"{v}_lag{k}" for v in W8 for k in range(1, 5)] + W8 + [f"{v}_gs" for v in W8]
-               + ["precipitation_sum_gs_wet", "soil_moisture_0_to_100cm_mean_gs_wet"],
-               "prov_*": [f"prov_{n}" for n in NATIONS]}
+_GROUP_COLS = {
+    "lasso": {"weather": [f"{v}_lag{k}" for v in W8 for k in range(1, 5)] + W8 + [f"{v}_gs" for v in W8]
+              + ["precipitation_sum_gs_wet", "soil_moisture_0_to_100cm_mean_gs_wet"]},
+    "ridge": {"weather": W8 + _TRAIL_COLS},
+}
 
 
 def _feature_sets_sql():
-    sets = {(kind, t): [c for g in groups for c in _GROUP_COLS.get(g, [g])]
-            for kind, by_target in linear.FEATURE_GROUPS.items() for t, groups in by_target.items()}
-    every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
-    one = "\nUNION ALL\n".join(f"SELECT '{c}' AS feature, count(\"{c}\") AS n, avg(CAST(\"{c}\" AS DOUBLE)) AS mean FROM tm" for c in every)
-    return "\nUNION ALL\n".join(
-        f"SELECT '{kind}' AS model, '{t}' AS target, feature, n, mean FROM m WHERE feature IN ({', '.join(repr(c) for c in cols)})"
-        for (kind, t), cols in sets.items()), f"m AS ({one})"
-
-
-@query("feature_sets", "H3", oracle(["panel"], _feature_sets_sql()[0], ["mean"], extra=[_TM_CTE, _feature_sets_sql()[1]]))
+    parts, ctes = [], []
+    for kind, table in (("lasso", "tm"), ("ridge", "rtm")):
+        groups = _GROUP_COLS[kind] | {"prov_*": [f"prov_{n}" for n in NATIONS]}
+        sets = {t: [c for g in gs for c in groups.get(g, [g])] for t, gs in linear.FEATURE_GROUPS[kind].items()}
+        every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+        ctes.append(f"m_{kind} AS (" + "\nUNION ALL\n".join(
+            f"SELECT '{c}' AS feature, count(\"{c}\") AS n, avg(CAST(\"{c}\" AS DOUBLE)) AS mean FROM {table}" for c in every) + ")")
+        parts += [f"SELECT '{kind}' AS model, '{t}' AS target, feature, n, mean FROM m_{kind} WHERE feature IN ({', '.join(repr(c) for c in cols)})"
+                  for t, cols in sets.items()]
+    return "\nUNION ALL\n".join(parts), ctes
+
+
+@query("feature_sets", "H3", oracle(["panel"], _feature_sets_sql()[0], ["mean"],
+                                    extra=[_TM_CTE, _RPANEL_CTE, _RTM_CTE, *_feature_sets_sql()[1]]))
 def q_feature_sets(fx):
-    """Every feature of every set with its row count and mean over the training matrix."""
-    tm = _tm(fx)
-    sets = {kind: linear.feature_sets(tm.columns, kind) for kind in linear.FEATURE_GROUPS}
-    rows = [(kind, t, c) for kind, by_target in sets.items() for t, cols in by_target.items() for c in cols]
-    members = fx.spark.createDataFrame(rows, "model string, target string, feature string")
-    every = list(dict.fromkeys(c for _, _, c in rows))
-    long = tm.select(*[F.col(c).cast("double").alias(c) for c in every]).unpivot([], every, "feature", "value")
-    stats = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
-    return stats.join(members, "feature").select("model", "target", "feature", "n", "mean")
+    """Every feature of every set with its row count and mean over its family's training matrix."""
+    out = None
+    for kind in linear.FEATURE_GROUPS:
+        tm = _tm(fx, kind)
+        rows = [(kind, t, c) for t, cols in linear.feature_sets(tm.columns, kind).items() for c in cols]
+        members = fx.spark.createDataFrame(rows, "model string, target string, feature string")
+        every = list(dict.fromkeys(c for _, _, c in rows))
+        long = tm.select(*[F.col(c).cast("double").alias(c) for c in every]).unpivot([], every, "feature", "value")
+        stats = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+        one = stats.join(members, "feature").select("model", "target", "feature", "n", "mean")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _yield_feats(tm):
@@ -166,7 +201,7 @@ def q_baseline_metrics(fx):
 
 def _fit_all(fx, kind: str, full: bool = False):
     """Training matrix and models fitted on it now: no state outlives the query."""
-    tm = _tm(fx)
+    tm = _tm(fx, kind)
     cached = tm.cache()   # shared by the moments pass, the fold pass and the Gram pass
     try:
         train = cached if full else cached.filter(F.col("year") <= TRAIN_END_YEAR)
@@ -200,10 +235,14 @@ def q_ridge_cv(fx):
 
 @query("leaderboard", "H9 H7 H8")
 def q_leaderboard(fx):
+    """Baselines with each family's own test rows; the Lasso design serves the baselines, as it has fewer of them."""
     tm, lasso = _fit_all(fx, "lasso")
-    _, ridge = _fit_all(fx, "ridge")
-    return baseline_metrics(tm, {(t, kind): linear.predict_column(m) for kind, models in (("lasso", lasso), ("ridge", ridge))
-                                 for t, m in models.items()})
+    out = baseline_metrics(tm, {(t, "lasso"): linear.predict_column(m) for t, m in lasso.items()})
+    rtm, ridge = _fit_all(fx, "ridge")
+    scored = rtm.filter(F.col("year") >= TEST_START_YEAR).select(F.explode(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.lit("ridge").alias("model"), F.col(TARGET_COL[t]).cast("double").alias("y"),
+                 linear.predict_column(m).alias("yhat")) for t, m in ridge.items()])).alias("_p")).select("_p.*")
+    return out.unionByName(linear.regression_metrics(scored, "y", "yhat", ["target", "model"]))
 
 
 @query("top_features", "H10")
