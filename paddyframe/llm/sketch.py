@@ -18,6 +18,8 @@ result; further columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,27 +34,29 @@ def sketch(text: Column, k: int = SHINGLE, fraction: float = FRACTION) -> Column
     """Sorted distinct shingle hashes below the fraction (and the smallest one), as array<long>."""
     low = -(1 << 63)
     limit = F.lit(int(low + fraction * (1 << 64)) if fraction < 1 else (1 << 63) - 1).cast("long")
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[\s]+", " ")), " ")
-    hashes = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    none = F.array().cast("array<long>")
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
 
     def shingles(h: Column) -> Column:
         at = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
-        whole = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
         rolled = F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-        return F.when(F.size(h) <= k, whole).otherwise(rolled)
+        return F.when(F.size(h) > k, rolled).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(none)
+
+    def keep(s: Column) -> Column:
+        least = F.when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(none)
+        return F.array_sort(F.array_distinct(F.concat(F.filter(s, lambda x: x <= limit), least)))
 
-    # let-binding by a one-element transform: each array is computed once
-    all_of = F.transform(F.array(hashes), shingles)[0]
-    return F.transform(F.array(all_of), lambda s: F.array_sort(F.array_distinct(
-        F.filter(F.concat(s, F.when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(F.array().cast("array<long>"))),
-                 lambda x: (x <= limit) | (x == F.array_min(s))))))[0]
+    # a one-element transform binds each array once
+    return F.transform(F.transform(F.array(hashes), shingles), keep)[0]
 
 
 def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """Sketch of the two documents' shingles together."""
     limit = F.lit(int(-(1 << 63) + fraction * (1 << 64)) if fraction < 1 else (1 << 63) - 1).cast("long")
     both = F.array_sort(F.array_union(a, b))
-    return F.filter(both, lambda x: (x <= limit) | (x == F.array_min(both)))
+    low = F.filter(both, lambda x: x <= limit)
+    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -77,8 +81,10 @@ def _bucket(bounds: list[int], key: Column) -> Column:
         (at + s <= len(bounds)) & (F.try_element_at(arr, at + s) < key), at + s).otherwise(at))
 
 
-def with_next(docs: DataFrame, cols: list[str], key: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, cols: list[str], key: str = "doc_id",
+              derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Every row with ``next``: the struct of ``cols`` of the following row in ascending key order (last: first).
+    ``derive`` may add columns among them.
 
     Keys are cut into ranges at quantile bounds, each range is one window
     partition, and the first row of each range is repeated as a sentinel at the
@@ -94,11 +100,11 @@ def with_next(docs: DataFrame, cols: list[str], key: str = "doc_id") -> DataFram
     before = F.coalesce(F.lag("_bucket").over(order), F.last("_bucket").over(
         order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     heads = heads.select(before.alias("_before"), "_head")  # at most MAX_BUCKETS rows: small enough to broadcast
-    tie = F.xxhash64(*cols)
+    tie = F.xxhash64(*[c for c in cols if c in docs.columns])
     tails = (docs.join(F.broadcast(heads), F.col(key) == F.col("_head"))
              .withColumn("_n", F.row_number().over(W.partitionBy("_before").orderBy(tie))).filter("_n = 1")
              .drop("_n", "_head").withColumnRenamed("_before", "_bucket").withColumn("_tail", F.lit(1)))
-    both = rows.unionByName(tails)
+    both = derive(rows.unionByName(tails))
     nxt = F.lead(F.struct(*cols)).over(W.partitionBy("_bucket").orderBy("_tail", key, tie))
     return both.withColumn("next", nxt).filter("_tail = 0").drop("_bucket", "_tail")
 
@@ -108,8 +114,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, fraction: float = FRACTION)
     and their likeness."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = slim.withColumn("sketch", sketch(F.col("text"), k, fraction))
-    paired = with_next(own, ["text", "sketch"])
+    paired = with_next(slim, ["text", "sketch"], derive=lambda rows: rows.withColumn("sketch", sketch(F.col("text"), k, fraction)))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
