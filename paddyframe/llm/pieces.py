@@ -34,7 +34,7 @@ from . import chunks as C
 MARK = "▁"
 UNK_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)   # piece types of the file format: fixed values
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 18        # segmentations in each of a worker's two generations
 MEMO_CHARS = 32
 WORD_BATCH = 1 << 16        # characters segmented at once: bounds the match tables
 
@@ -146,6 +146,7 @@ class PieceModel:
         self.byte_ids = {int(self.pieces[i][3:5], 16): int(i) for i in np.flatnonzero(self.types == BYTE)}
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in usable)
         self.memo: dict[str, tuple[bytes, float, int]] = {}
+        self.older: dict[str, tuple[bytes, float, int]] = {}
 
     # --- encoding ---
 
@@ -198,33 +199,51 @@ class PieceModel:
             up = np.flatnonzero(cand > best[b[lo:hi]]) + lo
             best[b[up]] = cand[up - lo]
             back[b[up]], used[b[up]] = a[up], piece[up]
-        out = []
-        back_l, used_l = back.tolist(), used.tolist()
-        for s, n in zip(start.tolist(), size.tolist()):
-            ids, e, n_bytes, rest = [], s + n, 0, []
-            while e > s:
-                rest.append((used_l[e], back_l[e], e))
-                e = back_l[e]
-            for i, x, y in reversed(rest):
-                if i >= 0:
-                    ids.append(i)
+        # all words walk back from their ends together
+        word, at, step = np.arange(len(raw)), start + size, 0
+        steps = []
+        live = np.flatnonzero(at > start)
+        word, at = word[live], at[live]
+        while len(word):
+            steps.append((word, np.full(len(word), step), used[at], back[at], at))
+            at, step = back[at], step + 1
+            live = np.flatnonzero(at > start[word])
+            word, at = word[live], at[live]
+        word, step, piece, a, b = (np.concatenate(c) for c in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 5
+        order = np.lexsort((-step, word))
+        word, piece, a, b = word[order], piece[order], a[order], b[order]
+        flat = piece.astype("<u4").tobytes()
+        ends = (4 * np.searchsorted(word, np.arange(len(raw) + 1))).tolist()
+        odd = set(word[piece < 0].tolist())
+        total = best[start + size].tolist()
+        out = [(flat[x:y], t, 0) for x, y, t in zip(ends, ends[1:], total)]
+        for w in odd:   # characters that no piece covers
+            ids, n_bytes = [], 0
+            for k in range(ends[w] // 4, ends[w + 1] // 4):
+                if piece[k] >= 0:
+                    ids.append(int(piece[k]))
                 elif self.byte_ids:
-                    chars = text[x:y].tolist()
+                    chars = text[a[k]:b[k]].tolist()
                     ids += [self.byte_ids[c] for c in chars]
                     n_bytes += len(chars)
                 elif not ids or ids[-1] != self.unknown:
                     ids.append(self.unknown)
-            out.append((np.array(ids, "<u4").tobytes(), float(best[s + n]), n_bytes))
+            out[w] = (np.array(ids, "<u4").tobytes(), total[w], n_bytes)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, float, int]]:
         marked = [self.normalize(t) for t in texts]
         split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if self.apart else lambda t: [t] if t else []
         words = [split(t) for t in marked]
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in memo]
+        if len(self.memo) > MEMO_WORDS:
+            self.older, self.memo = self.memo, {}   # words not met since then go with the older half
+        memo, older, new = self.memo, self.older, []
+        for w in dict.fromkeys(w for ws in words for w in ws):
+            if w not in memo:
+                if w in older:
+                    memo[w] = older[w]
+                else:
+                    new.append(w)
         fresh: dict[str, tuple[bytes, float, int]] = {}
         part: list[str] = []
         size = 0
@@ -239,7 +258,7 @@ class PieceModel:
         memo.update((w, x) for w, x in fresh.items() if len(w) <= MEMO_CHARS)
         out = []
         for ws in words:
-            got = [fresh[w] if w in fresh else memo[w] for w in ws]
+            got = [memo[w] if w in memo else fresh[w] for w in ws]
             out.append((b"".join([g[0] for g in got]), sum([g[1] for g in got]), sum([g[2] for g in got])))
         return out
 
