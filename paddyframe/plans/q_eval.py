@@ -159,6 +159,16 @@ def q_pii_eval(fx):
     return ev.binary_metrics(d, "pred", "label")
 
 
+@query("trajectory_path", "L6", oracle([], """SELECT conv_id, array_to_string(list(role ORDER BY turn), '>') AS path,
+      list(role ORDER BY turn) = ['user', 'assistant', 'user', 'assistant'] AS path_ok FROM conversations GROUP BY conv_id"""))
+def q_trajectory_path(fx):
+    """Exact path equality: the ordered steps of every run against the expected path."""
+    runs = ev.trajectory(fx.t.conversations, "conv_id", "turn", "role").withColumns({
+        "exp": F.lit("general"), "want": F.array(*map(F.lit, ["user", "assistant", "user", "assistant"]))})
+    out = ev.trajectory_match(runs, expected_path_col="want")
+    return out.select("conv_id", F.array_join("tools", ">").alias("path"), "path_ok")
+
+
 @query("resolve_eval", "L9", oracle([], f"""SELECT
       {_pr("count(*) FILTER (WHERE exp_status = 'RESOLVED' AND province IS NOT NULL AND province = exp_province) / greatest(count(*) FILTER (WHERE exp_status = 'RESOLVED' AND province IS NOT NULL), 1)", 3)} AS entity_accuracy,
       {_pr("avg(CASE WHEN status = exp_status THEN 1.0 ELSE 0.0 END)", 3)} AS status_accuracy,

@@ -14,14 +14,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", False).csv(path)
 
 
-def read_wide_csv(spark: SparkSession, path: str, label_col: str | None = None) -> tuple[DataFrame, str, list[str]]:
+def read_wide_csv(spark: SparkSession, path: str, label_index: int = 0,
+                  label_cols: int = 1) -> tuple[DataFrame, str, list[str]]:
     """Statistical wide CSV (A2): all columns as strings; returns (df, label column, period columns).
 
-    The unpivot / missing-marker cleaning is ``operators.clean.wide_csv_to_long``.
+    The first ``label_cols`` columns describe a series; ``label_index`` says which of them names it
+    (production tables: the second of two, price tables: the first of two) and the others are
+    dropped.  The unpivot / missing-marker cleaning is ``operators.clean.wide_csv_to_long``.
     """
     df = spark.read.option("header", True).csv(path)
-    label = label_col or df.columns[0]
-    return df, label, [c for c in df.columns if c != label]
+    label, periods = df.columns[label_index], df.columns[label_cols:]
+    return df.select(label, *periods), label, periods
 
 
 def series_explode(df: DataFrame, keys: list[str], start_col: str, end_col: str, step_col: str,

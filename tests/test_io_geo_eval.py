@@ -20,6 +20,17 @@ def test_csv_scan_and_wide_csv(spark, tmpdir_path):
     assert clean.drop_cell_missing(long, "value").count() == 2
 
 
+def test_wide_csv_with_two_label_columns(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "two.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("Crop,Geolocation,2012 January,2012 February\nRice,..Tarlac,10,..\nRice,....Capas,7,5.5\n")
+    for index, names in ((1, {"Tarlac", "Capas"}), (0, {"Rice"})):
+        df, label, periods = io.read_wide_csv(spark, p, label_index=index, label_cols=2)
+        long = clean.wide_csv_to_long(df, label, periods)
+        assert periods == ["2012 January", "2012 February"] and {r[label] for r in long.collect()} == names
+        assert sorted(r["value"] for r in clean.drop_cell_missing(long, "value").collect()) == [5.5, 7.0, 10.0]
+
+
 def test_insert_or_ignore_and_partition_overwrite(spark, tmpdir_path):
     existing = spark.createDataFrame([(1, 2020, 1.0)], "k int, y int, v double")
     incoming = spark.createDataFrame([(1, 2020, 9.0), (2, 2020, 2.0), (2, 2020, 3.0)], "k int, y int, v double")
