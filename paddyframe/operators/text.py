@@ -19,6 +19,7 @@ from ..functions.columns import any_contains, col_
 EMAIL_REGEX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE_REGEX = r"(?<!\d)(?:09\d{2}[\s-]?\d{3}[\s-]?\d{4}|\+639\d{2}[\s-]?\d{3}[\s-]?\d{4})(?!\d)"
 NAME_REGEX = r"(?i)\b(?:my\s+name\s+is|i\s+am\s+named|i'm\s+named)"
+UNICODE = "(?U)"   # digits, spaces and word bounds of any script, as the patterns were written for
 EMAIL_TAG, PHONE_TAG, NAME_TAG = "[REDACTED-EMAIL]", "[REDACTED-PHONENUMBER]", "[REDACTED-NAME]"
 
 # --- fixed values: prompt-injection phrases ----------------------------------
@@ -195,11 +196,11 @@ def redact_email(c) -> Column:
 
 
 def redact_phone(c) -> Column:
-    return _guarded(col_(c), ["09", "+639"], PHONE_REGEX, PHONE_TAG)
+    return _guarded(col_(c), ["09", "+639"], UNICODE + PHONE_REGEX, PHONE_TAG)
 
 
 def redact_name(c) -> Column:
-    return _guarded(col_(c), ["name"], NAME_REGEX, NAME_TAG, lower=True)
+    return _guarded(col_(c), ["name"], UNICODE + NAME_REGEX, NAME_TAG, lower=True)
 
 
 def remove_pii(c) -> Column:

@@ -13,7 +13,7 @@ from .catalog import query
 from .fixtures import TRAIN_END_YEAR
 from ..functions.columns import py_round_sql as _pr
 from .oracle import oracle
-from .q_text import _POLICY_SQL, _RESOLVE_CTES, _TOPIC_OF, policy, resolved
+from .q_text import _KNN_CTES, RETRIEVAL_METRICS_SQL, _POLICY_SQL, _RESOLVE_CTES, _TOPIC_OF, policy, resolved
 
 _ELIG = "(role = 'user' OR (role = 'assistant' AND coalesce(length(text) > 0, FALSE)))"
 
@@ -327,7 +327,14 @@ def q_latest_model(fx):
     return io.latest_model(versions[0].unionByName(versions[1]))
 
 
-@query("metric_summary", "A11 L7 L10 E9")
+def _collated_sql():
+    classifier = _bin_sql("d.n_chars > 1000", "l.quality = 1", "labels l JOIN documents d ON l.doc_id = d.doc_id")
+    long = lambda layer, body: (f"SELECT '{layer}' AS layer, metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) "
+                                f"FROM ({body}) z) ON COLUMNS(*) INTO NAME metric VALUE value)")
+    return f"{long('classifier', classifier)} UNION ALL {long('retrieval', RETRIEVAL_METRICS_SQL)}"
+
+
+@query("metric_summary", "A11 L7 L10", oracle([], _collated_sql(), ["value"], extra=_KNN_CTES))
 def q_metric_summary(fx):
     from .q_text import q_retrieval_metrics
     b = ev.metrics_long(q_binary_metrics(fx), "classifier")

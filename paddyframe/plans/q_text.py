@@ -394,7 +394,7 @@ def q_assemble_context(fx):
     return ctx.select("query_id", F.md5("context").alias("context_md5"))
 
 
-@query("retrieval_metrics", "L10", oracle([], f"""SELECT {_pr('avg(p)', 3)} AS precision_at_k, {_pr('avg(r)', 3)} AS recall_at_k,
+RETRIEVAL_METRICS_SQL = f"""SELECT {_pr('avg(p)', 3)} AS precision_at_k, {_pr('avg(r)', 3)} AS recall_at_k,
       {_pr('avg(rr)', 3)} AS mrr, count(*) AS n_queries FROM (
     SELECT qs.query_id, sum(CASE WHEN h.label = h.query_id THEN 1 ELSE 0 END) / greatest(count(h.rank), 1) AS p,
            sum(CASE WHEN h.label = h.query_id THEN 1 ELSE 0 END) / greatest(max(nr.n), 1) AS r,
@@ -402,7 +402,10 @@ def q_assemble_context(fx):
     FROM (SELECT DISTINCT label AS query_id FROM embeddings) qs LEFT JOIN
          (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM hits) h ON h.query_id = qs.query_id
     LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) nr ON nr.label = qs.query_id
-    GROUP BY qs.query_id)""", ["precision_at_k", "recall_at_k", "mrr"], extra=_KNN_CTES))
+    GROUP BY qs.query_id)"""
+
+
+@query("retrieval_metrics", "L10", oracle([], RETRIEVAL_METRICS_SQL, ["precision_at_k", "recall_at_k", "mrr"], extra=_KNN_CTES))
 def q_retrieval_metrics(fx):
     hits = knn(fx).withColumn("item", F.col("vec_id"))
     relevant = fx.t.embeddings.select(F.col("label").alias("query_id"), F.col("vec_id").alias("item"))
