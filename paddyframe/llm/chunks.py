@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from paddyframe.session import checkpoint_dir
 
-BLOCK_BYTES = 4 << 20       # text bytes per block; a longer document is a block of its own
-SHARD_KEYS = 1 << 20        # keys a shard is sized for
+BLOCK_BYTES = 2 << 20       # text bytes per block; a longer document is a block of its own
+SHARD_KEYS = 1 << 18        # keys a shard is sized for
 BATCH_ROWS = 256            # Arrow rows per batch: bounds a worker's memory when texts are long
 
 BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, ids binary, lens binary, data binary, rest binary"
@@ -55,7 +55,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def squeeze(b: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b)
+    return zstandard.ZstdCompressor(level=3).compress(b)
 
 
 def unsqueeze(b: bytes) -> bytes:
@@ -120,7 +120,20 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes:
     block_bytes = block_bytes or BLOCK_BYTES
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
                        *[F.col(f"`{c}`").alias(f"carry{i}") for i, c in enumerate(carry)])
-    return materialize(slim.mapInArrow(lambda it: _blocks(it, block_bytes), BLOCK_SCHEMA), "blocks")
+    return _bucketed(slim.mapInArrow(lambda it: _blocks(it, block_bytes), BLOCK_SCHEMA))
+
+
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """Written to the shared folder in buckets by block, so that answers come to the blocks and the texts,
+    however often they are read, are never shuffled."""
+    spark = blocks.sparkSession
+    name = f"llm_blocks_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 100_000)
+    (blocks.write.bucketBy(buckets, "block").option("path", shared_path(spark, "blocks")).format("parquet")
+     .saveAsTable(name))
+    df = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")     # an external table: its files and the resolved plan stay
+    return df
 
 
 class Block:
