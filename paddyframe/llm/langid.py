@@ -280,7 +280,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     i = F.array_position("entropy", best)
     share = F.lit(1.0) / F.aggregate("entropy", F.lit(0.0), lambda a, x: a + F.exp(F.lit(model.temperature) * (best - x)))
     pick = lambda xs, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in xs]), i.cast("int"))
-    limit = pick(model.usual.tolist(), "double") + 6 * F.sqrt(pick(model.spread.tolist(), "double") / F.greatest("n_symbols", F.lit(1)))
+    limit = pick(model.usual.tolist(), "double") + 12 * F.sqrt(pick(model.spread.tolist(), "double") / F.greatest("n_symbols", F.lit(1)))
     some = F.col("n_symbols") > 0
     return scored.select("doc_id", F.when(some, pick(model.langs, "string")).otherwise(UNDETERMINED).alias("lang_pred"),
                          F.when(some, share).otherwise(0.0).alias("score"), F.when(some, best).alias("entropy"),
