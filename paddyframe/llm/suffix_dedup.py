@@ -65,6 +65,13 @@ def names(data: np.ndarray, base: int) -> np.ndarray:
     return h
 
 
+def _evenly(x: np.ndarray) -> np.ndarray:
+    """A bijection of names: elected ones are the least, and shards split the range of names evenly."""
+    x = (x ^ (x >> np.uint64(30))) * _ODD[7]
+    x = (x ^ (x >> np.uint64(27))) * _ODD[6]
+    return x ^ (x >> np.uint64(31))
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     span = 1
     while span * 2 <= width:
@@ -109,7 +116,7 @@ def elected(block: C.Block, threshold: int, base: int, windows: tuple[np.ndarray
         new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
         end = np.append(first[1:], len(start)) - 1
-        out.append((start[first] + seg, start[end] + seg, at[first] + seg, name[at[first]]))
+        out.append((start[first] + seg, start[end] + seg, at[first] + seg, _evenly(name[at[first]])))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64)
