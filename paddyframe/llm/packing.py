@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -36,51 +37,68 @@ from . import chunks as C
 
 CAPACITY = 2048
 END_ID = 0
-MEMO_WORDS = 1 << 18    # word encodings a worker remembers
-MEMO_BYTES = 64         # longer words are encoded anew
+MEMO_WORDS = 1 << 19    # word encodings in each of a worker's two generations (some 100 MB a generation)
+MEMO_CHARS = 64         # longer words are encoded anew
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long, num long"
 #: Two white-space characters around a space: the only place where cutting before the space could
 #: change the tokens (any character that either library counts as white space is in the class).
 _UNSAFE = re.compile("[\\s\x1c-\x1f\x85\u180e\u200b] (?:[\\s\x1c-\x1f\x85\u180e\u200b]|$)")
 
+_TAIL = ".,;:!?"   # signs that often close a word
+
+
+class _Memo(dict):
+    """Ids of words behind a given first character (a space, or nothing at a text's start)."""
+
+    def __init__(self, tok, before: str):
+        super().__init__()
+        self.tok, self.before = tok, before
+        self.older: dict[str, bytes] = {}   # words not met since the memo was last full go with it
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            base = word.rstrip(_TAIL)
+            if base and base != word and base[-1].isalpha():    # a pre-token ends between letter and sign
+                ids = self[base] + _pack(self.tok, word[len(base):])
+            else:
+                ids = _pack(self.tok, self.before + word)
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+def _pack(tok, text: str) -> bytes:
+    return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+
 
 class WordEncoder:
     """Token ids of whole texts, encoding each distinct word once.
 
     The tokenizer starts a new pre-token at every space between non-space
-    characters, so a text can be cut there and the parts' ids joined; texts with
-    runs of white space around a space are encoded whole.
+    characters, so a text can be cut there and the parts' ids joined, and
+    likewise between a letter and a closing sign; texts with runs of white space
+    around a space are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        self.first, self.rest = _Memo(self.tok, ""), _Memo(self.tok, " ")
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if _UNSAFE.search(text):
-            return self._encode([text])[0]
+            return _pack(self.tok, text)
         words = text.split(" ")
-        words[1:] = [" " + w for w in words[1:]]
-        memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        fresh = dict(zip(new, self._encode(new)))
-        memo.update((w, x) for w, x in fresh.items() if len(w) <= MEMO_BYTES)
-        return b"".join([fresh[w] if w in fresh else memo[w] for w in words])
+        return self.first[words[0]] + b"".join(map(self.rest.__getitem__, words[1:]))
 
 
 @lru_cache(2)

@@ -69,7 +69,8 @@ def test_best_fit_equals_one_by_one():
 
 @pytest.mark.parametrize("text", ["plain words here", "two  spaces   three", " lead", "trail ", "trail  ", "a\n b", "a \nb",
                                   "a\n\n  b\t c", "don't we'll  'tis", "x\u3000 y", "\u00a0 z", "日本 語", "<|endoftext|> x", "a <|endoftext|> b",
-                                  "1 23  4", " ", "  ", "\n", "a\x85 b", "a\x1c  b \x1c", "A\u200b \u200bB", "ends \n "])
+                                  "1 23  4", " ", "  ", "\n", "a\x85 b", "a\x1c  b \x1c", "A\u200b \u200bB", "ends \n ",
+                                  "don't. we'll, 's. a.b. ... ?! x.) y).", ". a", "a, <|endoftext|>. é. 1. x1. ª. \u02b0. e\u0301."])
 def test_word_encoding_equals_the_library(text):
     enc = P.WordEncoder(path)
     for _ in range(2):  # from the tokenizer, then from memory
@@ -80,7 +81,7 @@ def test_random_white_space_equals_the_library():
     random.seed(0)
     enc = P.WordEncoder(path)
     for _ in range(3000):
-        t = "".join(random.choice(["a", "bc", " ", "  ", "\n", "\t", "'s", "1", ".", "\u00a0", "é", "\x1f", "\u2003", "!"]) for _ in range(9))
+        t = "".join(random.choice(["a", "bc", " ", "  ", "\n", "\t", "'s", "1", ".", ",", "\u00a0", "é", "\x1f", "\u2003", "!"]) for _ in range(9))
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
 
