@@ -1,11 +1,12 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash cuts every text where its top bits are zero, so boundaries
-depend on nearby bytes only and an insertion shifts no other chunk.  Chunks are
+A gear rolling hash cuts every text where it is least among its neighbours, so
+boundaries depend on nearby bytes only and an insertion shifts no other chunk.  Chunks are
 compared by 128-bit digest across the corpus; the first copy (smallest doc_id,
 then earliest start) stays.  Single chunks are short, so a repeat counts only
-as part of a run of neighbouring repeated chunks of at least ``min_run`` bytes:
-phrases that recur by chance stay.
+as part of a run of neighbouring repeated chunks of at least ``min_run`` bytes, or
+of fewer that can be what whole chunks leave of a passage of over MAX_WORDS short
+words: phrases that recur by chance stay.
 
 Defined cases: null and empty texts come back as empty texts with no removals;
 rows that repeat a doc_id count as later documents, in block order; an empty
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame
 
 from . import chunks as C
 
-WINDOW = 16             # bytes the gear hash looks back on
-MASK_BITS = 4           # a cut every 2^4 bytes beyond the minimum, on average
-MIN_CHUNK, MAX_CHUNK = 16, 256
+WINDOW = 8              # bytes the gear hash looks back on
+HALF = 12               # a cut's hash is the least among so many on both sides: chunks of 25 bytes on average
+MAX_CHUNK = 256
 MIN_RUN = 160           # bytes of neighbouring repeated chunks that count as a repeat
+MAX_WORDS = 50          # and fewer, if with EDGE bytes on both sides they hold more words: a passage's ends are no whole chunks
+EDGE = 80
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, text string"
 
@@ -53,38 +56,45 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 def cut_points(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Chunk bounds of the joined texts (every text starts a chunk; no cut inside a character).
 
-    The minimum length is not below the hash window, so no boundary depends on
-    bytes before its own chunk, nor on another text.
+    A byte ends a chunk where its hash is the first least one among its HALF neighbours on both
+    sides, so whether there is a cut depends on WINDOW + 2 * HALF bytes of its own text only:
+    copies are cut alike from the first cut that is that far inside them.
     """
     n = len(data)
     if n == 0:
         return np.zeros(1, np.int64)
-    # the WINDOW-bit sum keeps the low WINDOW bits full: mix before testing bits
-    h = gear_hash(data) * np.uint32(0x9E3779B1)
+    none = np.uint32(0xFFFFFFFF)
+    # the WINDOW-bit sum keeps the low WINDOW bits full: mix before comparing
+    h = np.minimum(gear_hash(data) * np.uint32(0x9E3779B1), none - np.uint32(1))
     head = np.ones(n + 1, bool)
     head[:n] = (data & 0xC0) != 0x80
-    may = np.flatnonzero((h >> np.uint32(32 - MASK_BITS)) == 0) + 1
-    may = may[head[may]].tolist()
-    heads = head.tobytes()
-    cuts, k, m = [], 0, len(may)
-    ends = offs.tolist()
-    for start, end in zip(ends, ends[1:]):
-        cuts.append(start)
-        last = start
-        while True:
-            while k < m and may[k] < last + MIN_CHUNK:
-                k += 1
-            nxt = may[k] if k < m else end
-            if nxt > last + MAX_CHUNK:
-                nxt = last + MAX_CHUNK
-                while nxt < end and not heads[nxt]:
-                    nxt += 1
-            if nxt >= end:
-                break
-            cuts.append(nxt)
-            last = nxt
-    cuts.append(n)
-    return np.array(cuts, np.int64)
+    h[~head[1:]] = none                     # no cut inside a character
+    starts = offs[:-1]
+    for k in range(WINDOW - 1):             # nor where the hash would look at the text before
+        at = starts + k
+        h[at[at < offs[1:]]] = none
+    # texts apart by HALF empty places: none sees another's hashes
+    spread = np.arange(n) + HALF * (np.searchsorted(offs, np.arange(n), side="right"))
+    apart = np.full(n + HALF * (len(offs) + 1), none)
+    apart[spread] = h
+    least, span = apart, 1                  # least[i] = min of apart[i:i + HALF], by doubling
+    while span < HALF:
+        step = min(span, HALF - span)
+        least, span = np.minimum(least[:-step], least[step:]), span + step
+    before, after = least[spread - HALF], least[np.minimum(spread + 1, len(least) - 1)]
+    may = np.flatnonzero((h < before) & (h <= after) & (h != none)) + 1
+    bounds = np.union1d(may, offs.astype(np.int64))
+    if not len(wide := np.flatnonzero(np.diff(bounds) > MAX_CHUNK)):
+        return bounds
+    more, heads = [], head.tobytes()
+    for start, end in zip(bounds[wide].tolist(), bounds[wide + 1].tolist()):
+        at = start + MAX_CHUNK
+        while at < end:
+            while at < end and not heads[at]:
+                at += 1
+            more.append(at)
+            at += MAX_CHUNK
+    return np.union1d(bounds, np.array(more, np.int64))
 
 
 def _chunks(block: C.Block):
@@ -137,6 +147,9 @@ def remove(block: C.Block, answers: pd.DataFrame, shards: int, min_run: int) ->
     repeated[order[new]] = ~holds  # the first of each digest here stays where this block holds the first copy
     r, a, b = _runs(start, end, row, repeated)
     long_enough = (b - a) >= min_run
+    for i in np.flatnonzero(~long_enough).tolist():
+        o, n = block.offs[r[i]], block.offs[r[i] + 1]
+        long_enough[i] = len(block.data[max(o, a[i] - EDGE):min(n, b[i] + EDGE)].split()) > MAX_WORDS
     r, a, b = r[long_enough], a[long_enough], b[long_enough]
     by_doc: dict[int, list] = {}
     for i, s, e in zip(r.tolist(), a.tolist(), b.tolist()):

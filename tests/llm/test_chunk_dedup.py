@@ -58,3 +58,28 @@ def test_boundaries_resist_insertions():
 
 def test_empty(spark, docs):
     assert cd.dedup_substrings(docs.limit(0)).count() == 0
+
+
+def test_passages_of_51_short_words_go(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda most: "".join(rng.choice(letters, rng.integers(1, most + 1)))
+    say = lambda n, most: " ".join(word(most) for _ in range(n))
+    rows, planted = [], {}
+    for i in range(150):
+        passage = say(51, 3 + i % 5)
+        rows += [(2 * i, f"{say(60, 9)} {passage} {say(60, 9)}"), (2 * i + 1, f"{say(60, 9)} {passage} {say(60, 9)}")]
+        planted[2 * i + 1] = passage
+    phrase = say(12, 6)     # a phrase is no passage
+    rows += [(1000, f"{say(60, 9)} {phrase} {say(60, 9)}"), (1001, f"{say(60, 9)} {phrase} {say(60, 9)}")]
+    text = dict(rows)
+    for r in cd.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.doc_id not in planted:
+            assert r.n_removed == 0
+            continue
+        # by brute force: what went stands in the first copy, and all that is left of the passage are its ends
+        raw = text[r.doc_id].encode()
+        assert r.n_spans == 1 and raw[r.spans[0].start:r.spans[0].end] in text[r.doc_id - 1].encode()
+        at = raw.index(planted[r.doc_id].encode())
+        assert max(0, r.spans[0].start - at) <= cd.EDGE
+        assert max(0, at + len(planted[r.doc_id]) - r.spans[0].end) <= cd.EDGE
