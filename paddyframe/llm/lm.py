@@ -4,7 +4,7 @@ Every block of documents sends its distinct tokens and n-grams (with their
 training counts) to shards by hash; a shard sums the counts, builds its part of
 the trie (a memory-mapped file while the shard is answered), looks every asked
 n-gram up by successor search among its context's children, and returns 16-bit
-codes of the stored log-probabilities (up to the common constant log10 N).  N-grams
+codes of the stored counts (floor of CODE_STEP log10 c; smoothing is the block's).  N-grams
 are dealt by context and word together, so the children of a frequent context
 spread over all shards.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import chunks as C
 from .eliasfano import Level
 
-ORDER = 2
+ORDER = 3
 FOLDS = 10
 CODE_STEP = 1000        # codes per factor of ten
 END = b" "              # no word holds a space

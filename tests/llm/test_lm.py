@@ -114,3 +114,10 @@ def test_empty_and_all_held_out(spark, docs):
     held = next(i for i in range(100) if lm.is_held_out(i))
     r = lm.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0.0)
+
+
+def test_production_sees_two_words_back(spark):
+    # "p" and "q" follow "x" as often; only the word before it tells which
+    rows = [(i, ("a x p " if i % 2 else "b x q ") * 20) for i in range(200)] + [(1000, "a x p"), (1001, "a x q")]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] - got[1001] > 0.5
