@@ -80,8 +80,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_sentencepiece, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_html_extract, op8_substring_dedup, op9_nearest, op10_simhash)}
+#: The rules that op13 applies (fixed values): host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
-#: None of these operators can be stated in SQL (models, rolling hashes, tokenizers, components);
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import judge
+    rows = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+    return judge(_table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {rows} AS rules(host, path, verdict)"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_sentencepiece, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_html_extract, op8_substring_dedup, op9_nearest, op10_simhash,
+                                    op13_url_filter)}
+
+#: The other operators can't be stated in SQL (models, rolling hashes, tokenizers, components, CRC-32);
 #: tests/llm checks each against a brute-force version, an exact round trip or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op13_url_filter": """
+        WITH rest AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages),
+        parsed AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rest),
+        rules(rh, rp, verdict) AS (
+            VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        fits AS (
+            SELECT DISTINCT host, path, rh || rp AS rule, verdict FROM parsed, rules
+            WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+        best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+                 FROM fits GROUP BY host, path)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM parsed LEFT JOIN best USING (host, path)""",
+}
