@@ -80,6 +80,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conv_repair import COUNTS, damage, repair
+    rows = _table(spark, sf_dir, "conversations")
+    found = repair(damage(rows))
+    told = found.conversations().join(found.digests().withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
+    ids = rows.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    every = ids.join(told.drop("c"), F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ["gaps", *COUNTS, "cost"]]
+    return every.select(F.col("id").alias("conv_id"), *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 #: The rules that op13 applies (fixed values): host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -91,7 +103,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_sentencepiece, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_html_extract, op8_substring_dedup, op9_nearest, op10_simhash,
-                                    op13_url_filter)}
+                                    op11_structure_repair, op13_url_filter)}
 
 #: The other operators can't be stated in SQL (models, rolling hashes, tokenizers, components, CRC-32);
 #: tests/llm checks each against a brute-force version, an exact round trip or held-out accuracy.
