@@ -92,6 +92,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine, usable
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(usable(_table(spark, sf_dir, "embeddings"), label), "vec_id % 50 = 0")
+
+
 #: The rules that op13 applies (fixed values): host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -103,11 +109,30 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_sentencepiece, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_html_extract, op8_substring_dedup, op9_nearest, op10_simhash,
-                                    op11_structure_repair, op13_url_filter)}
+                                    op11_structure_repair, op12_hard_negatives, op13_url_filter)}
 
 #: The other operators can't be stated in SQL (models, rolling hashes, tokenizers, components, CRC-32);
 #: tests/llm checks each against a brute-force version, an exact round trip or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
+    "op12_hard_negatives": """
+        WITH fine AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                   list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN pairs USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
     "op13_url_filter": """
         WITH rest AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
