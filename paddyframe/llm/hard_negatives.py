@@ -39,7 +39,7 @@ from .ann import rotate
 POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95          # percent of the positive's score between which a negative is hard
 LEVELS = 4
-QUERY_BITS = 6
+QUERY_BITS = 7
 BLOCK_ROWS = 4096
 PACK_ROWS = 512             # anchors in a pack
 GROUP_PACKS = 16            # packs that meet a block in one task
@@ -76,21 +76,38 @@ def _words(up: np.ndarray) -> np.ndarray:
 class Asker:
     """An anchor: its direction in bit planes, against which codes are counted."""
 
-    def __init__(self, v: np.ndarray):
-        self.norm = float(np.linalg.norm(v.astype(float)))
-        y = rotate(v.astype(float)[None] if self.norm else np.ones((1, len(v))), 0, 1)[0]
-        self.width, self.low = len(y), float(y.min())
-        self.step = (float(y.max()) - self.low) / ((1 << QUERY_BITS) - 1) or 1.0
-        k = np.rint((y - self.low) / self.step).astype(np.int64)
-        self.sum = float((self.low + self.step * k).sum())
-        self.error = float(np.linalg.norm(y - (self.low + self.step * k)))
-        self.planes = [_words((k >> j & 1).astype(bool)[None])[0] for j in range(QUERY_BITS)]
+    def __init__(self, norm: float, width: int, low: float, step: float, total: float, error: float, planes: np.ndarray):
+        self.norm, self.width, self.low, self.step, self.sum, self.error, self.planes = norm, width, low, step, total, error, planes
 
     def along(self, bits: np.ndarray) -> np.ndarray:
         """<quantised direction, b> of each code by population counts."""
-        ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        got = sum((np.bitwise_count(bits & p).sum(axis=1, dtype=np.int64) << j) for j, p in enumerate(self.planes))
-        return (2 * (self.low * ones + self.step * got) - self.sum) / np.sqrt(self.width)
+        got = self.low * _ones(bits)
+        for j, plane in enumerate(self.planes):
+            got += self.step * (1 << j) * _ones(bits & plane)
+        return (2 * got - self.sum) / np.sqrt(self.width)
+
+
+def _ones(bits: np.ndarray) -> np.ndarray:
+    n = np.bitwise_count(bits)
+    return (n[:, 0] if n.shape[1] == 1 else n.sum(axis=1, dtype=np.int64)).astype(float)
+
+
+def askers(x: np.ndarray) -> Iterator[Asker]:
+    """The anchors of a pack, turned and quantised together."""
+    if not len(x):
+        return
+    x = x.astype(float)
+    norm = np.linalg.norm(x, axis=1)
+    y = rotate(np.where((norm == 0)[:, None], 1.0, x), 0, 1)
+    low = y.min(axis=1)
+    step = (y.max(axis=1) - low) / ((1 << QUERY_BITS) - 1)
+    step = np.where(step == 0, 1.0, step)
+    k = np.rint((y - low[:, None]) / step[:, None]).astype(np.int64)
+    near = low[:, None] + step[:, None] * k
+    planes = np.stack([_words((k >> j & 1).astype(bool)) for j in range(QUERY_BITS)], axis=1)
+    error = np.linalg.norm(y - near, axis=1)
+    for i in range(len(x)):
+        yield Asker(float(norm[i]), y.shape[1], float(low[i]), float(step[i]), float(near[i].sum()), float(error[i]), planes[i])
 
 
 class Block:
@@ -136,39 +153,41 @@ def _kth(values: np.ndarray, k: int) -> float:
     return float(np.partition(values, -k)[-k]) if len(values) >= k else -np.inf
 
 
-def best_of(block: Block, anchor: int, v: np.ndarray, label: int, k: int) -> Iterator[tuple[int, int]]:
-    """(id, score): the first k other rows of the anchor's label."""
+def best_of(block: Block, asker: Asker, anchor: int, v: np.ndarray, label: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores): the first k other rows of the anchor's label."""
     at = np.flatnonzero((block.labels == label) & (block.ids != anchor))
-    at = block.narrowed(Asker(v), at, lambda least, most: most >= _kth(least, k))
+    at = block.narrowed(asker, at, lambda least, most: most >= _kth(least, k))
     score = block.scores(v, at)
-    for j in np.lexsort((block.ids[at], -score))[:k]:
-        yield int(block.ids[at[j]]), int(score[j])
+    first = np.lexsort((block.ids[at], -score))[:k]
+    return block.ids[at[first]], score[first]
 
 
-def hard_of(block: Block, v: np.ndarray, label: int, positives: list[int], k: int) -> dict[int, list[tuple[int, int]]]:
-    """Positive score -> (id, score) of the first k rows of other labels between its bounds."""
-    bounds = [(LOW * p, HIGH * p) for p in positives if p >= 0]     # of 100 times the score
-    if not bounds:
-        return {}
+def bounds(positive: int) -> tuple[int, int]:
+    """The least and the largest hard score beside a positive's."""
+    return -(-LOW * positive // 100), HIGH * positive // 100
+
+
+def hard_of(block: Block, asker: Asker, v: np.ndarray, label: int, positives: list[int], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(positive score, ids, scores): for each positive score the first k rows of other labels between its bounds."""
+    wanted = [(p, *bounds(p)) for p in positives if p >= 0]
+    if not wanted:
+        return
 
     def keep(least, most):
         ok = np.zeros(len(least), bool)
-        for lo, hi in bounds:
-            lo, hi = lo / 100, hi / 100
+        for _, lo, hi in wanted:
             sure = (least >= lo) & (most <= hi)
             ok |= (most >= max(lo, _kth(least[sure], k))) & (least <= hi)
         return ok
 
-    at = block.narrowed(Asker(v), np.flatnonzero(block.labels != label), keep)
+    at = block.narrowed(asker, np.flatnonzero(block.labels != label), keep)
     score = block.scores(v, at)
     order = np.lexsort((block.ids[at], -score))
-    ranked = [(int(block.ids[at[j]]), int(score[j])) for j in order]
-    out = {}
-    for p in positives:
-        if p >= 0:
-            # Python integers: 100 times a score may pass a long
-            out[p] = [x for x in ranked if LOW * p <= 100 * x[1] <= HIGH * p][:k]
-    return out
+    ids, score = block.ids[at[order]], score[order]
+    for p, lo, hi in wanted:
+        first = np.searchsorted(-score, -hi)
+        last = min(first + k, np.searchsorted(-score, -lo, "right"))
+        yield p, ids[first:last], score[first:last]
 
 
 # --- packing -----------------------------------------------------------------------------------------
@@ -199,8 +218,9 @@ def _packs(rows: DataFrame, count: int) -> DataFrame:
 def _meet(blocks: DataFrame, n_blocks: int, packs: DataFrame, n_packs: int, compare, schema: str) -> DataFrame:
     """``compare(block row, pack rows)`` for every block and group of packs."""
     groups = -(-n_packs // GROUP_PACKS)
-    left = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = packs.withColumn("g", F.expr(f"at div {GROUP_PACKS}").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    tasks = n_blocks * groups   # named, so that small partitions are not merged: a task's work is in its pairs, not its bytes
+    left = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(tasks, "at", "g")
+    right = packs.withColumn("g", F.expr(f"at div {GROUP_PACKS}").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(tasks, "b", "g")
     return left.groupBy(left["at"], left["g"]).cogroup(right.groupBy("b", "g")).applyInPandas(compare, schema)
 
 
@@ -237,11 +257,13 @@ def mine(rows: DataFrame, is_anchor: Column | str) -> DataFrame:
         for b in left.itertuples(index=False):
             block = Block(*_unpack(b)[:3])
             for p in right.itertuples(index=False):
-                for anchor, label, v in zip(*_unpack(p)[:3]):
-                    out += [(int(anchor), int(label), i, s) for i, s in best_of(block, anchor, v, label, POSITIVES)]
-        return pd.DataFrame(out, columns=["anchor_id", "label", "vec_id", "score"])
+                ids, labels, x, _ = _unpack(p)
+                for asker, anchor, label, v in zip(askers(x), ids.tolist(), labels.tolist(), x):
+                    near, score = best_of(block, asker, anchor, v, label, POSITIVES)
+                    out += [(anchor, i, s) for i, s in zip(near.tolist(), score.tolist())]
+        return pd.DataFrame(out, columns=["anchor_id", "vec_id", "score"])
 
-    offers = _meet(blocks, n_blocks, _packs(anchors, n_packs), n_packs, positives, "anchor_id long, label long, vec_id long, score long")
+    offers = _meet(blocks, n_blocks, _packs(anchors, n_packs), n_packs, positives, "anchor_id long, vec_id long, score long")
     chosen = C.materialize(_ranked(offers, ["anchor_id"], POSITIVES).select(
         "anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
@@ -250,9 +272,10 @@ def mine(rows: DataFrame, is_anchor: Column | str) -> DataFrame:
         for b in left.itertuples(index=False):
             block = Block(*_unpack(b)[:3])
             for p in right.itertuples(index=False):
-                for anchor, label, v, scores in zip(*_unpack(p)):
-                    for score, found in hard_of(block, v, label, sorted(set(scores)), NEGATIVES).items():
-                        out += [(int(anchor), score, i, s) for i, s in found]
+                ids, labels, x, scores = _unpack(p)
+                for asker, anchor, label, v, of in zip(askers(x), ids.tolist(), labels.tolist(), x, scores):
+                    for positive, near, score in hard_of(block, asker, v, label, sorted(set(of)), NEGATIVES):
+                        out += [(anchor, positive, i, s) for i, s in zip(near.tolist(), score.tolist())]
         return pd.DataFrame(out, columns=["anchor_id", "positive_score", "vec_id", "score"])
 
     wanted = chosen.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_list("positive_score").alias("positives"))  # at most POSITIVES

@@ -44,7 +44,7 @@ def test_intervals_hold_the_score():
                 assert (least <= true + 1e-6).all() and (true <= most + 1e-6).all()
                 seen.append((most - least).mean())
                 return np.ones(len(least), bool)
-            assert len(block.narrowed(hn.Asker(v), np.arange(200), keep)) == 200
+            assert len(block.narrowed(*hn.askers(v[None]), np.arange(200), keep)) == 200
             assert seen == sorted(seen, reverse=True)
             assert (block.scores(v, np.arange(200)) == x @ v).all()
 
@@ -55,7 +55,7 @@ def test_codes_drop_most_rows():
     x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
     x[:7] = x[0]
     block = hn.Block(np.arange(4000), np.zeros(4000, int), x)
-    left = block.narrowed(hn.Asker(x[0]), np.arange(1, 4000), lambda least, most: most >= hn._kth(least, 5))
+    left = block.narrowed(*hn.askers(x[:1]), np.arange(1, 4000), lambda least, most: most >= hn._kth(least, 5))
     assert {1, 2, 3, 4, 5, 6} == set(left.tolist())
 
 
