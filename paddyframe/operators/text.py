@@ -3,8 +3,8 @@ topic policy, slot rules, heading chunker, query templates (survey 2.K).
 
 Everything is a column expression over whole texts (regexp_replace, instr over a
 literal phrase array, from_json), so it runs inside whole-stage codegen with
-no Python in the hot path.  Phrase lists are literal arrays: bounded by
-construction, no join.
+no Python in the hot path.  The fixed phrase lists are literal arrays: bounded by
+construction, no join; phrase lists that come as tables are ``phrases.phrase_hits``.
 """
 
 from __future__ import annotations
@@ -218,42 +218,6 @@ def is_out_of_scope(c) -> Column:
     return any_contains(c, OUT_OF_SCOPE_PATTERNS)
 
 
-PHRASE_KEY = 8     # characters of a phrase that candidates must share
-
-
-def _pieces(text: Column, sizes: list[Column]) -> Column:
-    """All substrings of the given lengths (over the characters as an array: linear in the text)."""
-    def cut(chars: Column) -> Column:
-        def one(size: Column) -> Column:
-            at = F.sequence(F.lit(1), F.greatest(F.size(chars) - size + 1, F.lit(1)))
-            return F.transform(at, lambda i: F.array_join(F.slice(chars, i, size), ""))
-        return F.flatten(F.array(*map(one, sizes)))
-    return F.transform(F.array(F.split(text, "")), cut)[0]
-
-
-def phrase_hits(texts: DataFrame, key: str, text_col: str, phrases: DataFrame, phrase_col: str = "phrase") -> DataFrame:
-    """Large phrase lists as a table: (key, phrase) pairs with a case-insensitive substring hit (K2).
-
-    One rule for phrases of any length: a phrase is keyed by one of its pieces of
-    ``PHRASE_KEY`` characters (all of it when shorter; the piece with the least
-    hash), which every text holding the phrase also holds.  Texts send (key,
-    piece) ids only, of the lengths that occur, and only pieces some phrase is
-    keyed by; each candidate pair is then verified once against the text.  An empty
-    phrase hits nothing.
-    """
-    ph = phrases.select(F.lower(F.col(phrase_col)).alias("_p")).filter(F.length("_p") > 0).distinct()
-    ph = ph.withColumn("_n", F.least(F.length("_p"), F.lit(PHRASE_KEY)))
-    hashed = F.transform(_pieces(F.col("_p"), [F.col("_n")]), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
-    ph = ph.withColumn("_k", F.array_min(hashed)["g"])
-    sizes = [r[0] for r in ph.select("_n").distinct().collect()]    # at most PHRASE_KEY numbers
-    low = texts.select(key, F.lower(F.col(text_col)).alias("_t")).filter(F.length("_t") > 0)
-    pieces = _pieces(F.col("_t"), [F.lit(n) for n in sizes or [1]])
-    grams = low.select(key, F.explode(F.array_distinct(pieces)).alias("_k"))
-    cand = grams.join(ph.select("_p", "_k"), "_k").select(key, "_p").distinct()
-    return (cand.join(low, key).filter(F.instr("_t", F.col("_p")) > 0)
-            .select(key, F.col("_p").alias(phrase_col)).distinct())
-
-
 # ---- K4 --------------------------------------------------------------------
 
 def guard_decision(c, topic_col: str | None = None, fallback_col: str | None = None):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geo, resolve, retrieval, text
+from ..operators import geo, phrases, resolve, retrieval, text
 from .catalog import query
 from ..functions.columns import py_round_sql as _pr
 from .oracle import oracle
@@ -203,7 +203,7 @@ def q_phrase_flag(fx):
 @query("phrase_hits", "K2", oracle([], """SELECT d.doc_id, lower(b.text) AS phrase FROM documents d
     JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY 1, 2"""))
 def q_phrase_hits(fx):
-    return text.phrase_hits(fx.t.documents, "doc_id", "text", fx.t.benchmark.select(F.col("text").alias("phrase")))
+    return phrases.phrase_hits(fx.t.documents, "doc_id", "text", fx.t.benchmark.select(F.col("text").alias("phrase")))
 
 
 @query("guard_decision", "K4 K1 K2 K3", oracle([], f"""SELECT doc_id,

@@ -1,6 +1,9 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from paddyframe.operators import resolve, text
+from paddyframe.operators import phrases, resolve, text
 
 
 def test_pii_redaction(spark):
@@ -27,7 +30,7 @@ def test_phrase_flags_and_guard(spark):
 def test_phrase_hits_equals_bruteforce(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox jumps"), (2, "no match here"), (3, "ab")], "k int, t string")
     ph = spark.createDataFrame([("quick brown fox",), ("ab",), ("JUMPS",), ("zz top x",)], "phrase string")
-    got = {(r[0], r[1]) for r in text.phrase_hits(docs, "k", "t", ph).collect()}
+    got = {(r[0], r[1]) for r in phrases.phrase_hits(docs, "k", "t", ph).collect()}
     want = {(k, p.lower()) for k, t in [(1, "The quick brown fox jumps"), (2, "no match here"), (3, "ab")]
             for p in ["quick brown fox", "ab", "JUMPS", "zz top x"] if p.lower() in t.lower()}
     assert got == want
@@ -118,15 +121,47 @@ def test_search_hierarchy_matches_bruteforce(spark):
 
 
 def test_phrase_hits_finds_phrases_of_any_length(spark):
-    from paddyframe.operators import text
     texts = spark.createDataFrame([(1, "AI is here"), (2, "we use ai now"), (3, "x"), (4, ""), (5, None), (6, "MIT License. released")],
                                   "id int, t string")
-    phrases = [("ai",), ("use ai",), ("x",), ("i",), ("mit license. rel",), ("",), ("absent phrase",), ("ai now ai",)]
-    got = {(r.id, r.phrase) for r in text.phrase_hits(texts, "id", "t", spark.createDataFrame(phrases, "phrase string")).collect()}
+    wanted = [("ai",), ("use ai",), ("x",), ("i",), ("mit license. rel",), ("",), ("absent phrase",), ("ai now ai",), (None,)]
+    got = {(r.id, r.phrase) for r in phrases.phrase_hits(texts, "id", "t", spark.createDataFrame(wanted, "phrase string")).collect()}
     want = {(i, p) for i, t in ((1, "ai is here"), (2, "we use ai now"), (3, "x"), (6, "mit license. released"))
-            for (p,) in phrases if p and p in t}
+            for (p,) in wanted if p and p in t}
     assert got == want
-    assert text.phrase_hits(texts, "id", "t", spark.createDataFrame([], "phrase string")).count() == 0
+    assert phrases.phrase_hits(texts, "id", "t", spark.createDataFrame([], "phrase string")).count() == 0
+
+
+def _substring_hits(rows, wanted):
+    """All substrings of every text, looked up."""
+    longest = max(map(len, wanted))
+    out = set()
+    for k, t in rows:
+        t = (t or "").lower()
+        out |= {(k, t[i:j]) for i in range(len(t)) for j in range(i + 1, min(i + longest, len(t)) + 1) if t[i:j] in wanted}
+    return out
+
+
+@pytest.mark.parametrize("chars", [None, 150_000])
+def test_many_phrases_in_one_automaton_and_in_parts(spark, monkeypatch, chars):
+    if chars:
+        monkeypatch.setattr(phrases, "AUTOMATON_CHARS", chars)
+        monkeypatch.setattr(phrases, "BLOCK_CHARS", 5_000)
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choice("ab cdé😀ſ") for _ in range(n))
+    wanted = {some(rng.randint(1, 14)) for _ in range(140_000)}
+    assert len(wanted) > 100_000
+    rows = [(i if i % 9 else None, rng.choice([str.upper, str.lower])(some(rng.randint(0, 400)))) for i in range(60)] + [(7, None), (7, "")]
+    df = spark.createDataFrame([(k, t, "p") for k, t in rows], "k long, t string, phrase string")
+    hits = phrases.phrase_hits(df, "k", "t", spark.createDataFrame([(p,) for p in wanted], "phrase string"))
+    got = [tuple(r) for r in hits.collect()]
+    low = {p.lower() for p in wanted}
+    assert len(got) == len(set(got)) > 1000 and set(got) == _substring_hits(rows, low)
+
+
+def test_phrase_plan_has_no_row_per_character(spark):
+    df = spark.createDataFrame([("k", "a b c")], "k string, t string")
+    plan = phrases.phrase_hits(df, "k", "t", spark.createDataFrame([("b",)], "phrase string"))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan and "Join" not in plan
 
 
 def test_retrieval_metrics_count_queries_without_hits(spark):
