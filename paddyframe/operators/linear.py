@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .features import WEATHER_VARS
+from .homotopy import kkt_violation, lasso_path
 
 # --- fixed values: model search settings ------------------------------------
 LASSO_CV_FOLDS = 5
@@ -33,6 +34,8 @@ LASSO_TOL = 1e-4
 RIDGE_ALPHAS = (0.1, 1.0, 10.0, 100.0, 500.0)
 # ---------------------------------------------------------------------------
 
+KKT_TOL = 1e-8      # share of the largest correlation by which a path's solution may miss the optimum
+
 
 @dataclass
 class LinearModel:
@@ -291,60 +294,71 @@ def _alpha_grid(G_all: np.ndarray, n_alphas: int, eps: float) -> np.ndarray:
     return np.logspace(np.log10(alpha_max), np.log10(alpha_max * eps), n_alphas)
 
 
-def _fold_path_mse(G_all: np.ndarray, G_test: np.ndarray, alphas: np.ndarray) -> np.ndarray:
-    """Held-out MSE along the warm-started alpha path fitted on all folds but one."""
-    nt, mzt, myt, ZZt, Zyt, yyt = _centered(G_all - G_test)
-    out = np.zeros(len(alphas))
-    w = None
-    for a_i, a in enumerate(alphas):
-        w = lasso_cd(ZZt, Zyt, nt, a, w, yy=yyt)
-        out[a_i] = _heldout_mse(G_test, w, myt - mzt @ w)
-    return out
+def _path(G: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Coefficients along the falling alphas (a row each): the homotopy's, which are checked against the
+    optimality conditions; coordinate descent mends what does not meet them."""
+    n, _, _, ZZ, Zy, yy = _centered(G)
+    path = lasso_path(ZZ, Zy, n * alphas)
+    if path is None:
+        path = np.full((len(alphas), len(Zy)), np.nan)
+    for k, a in enumerate(alphas):
+        if not kkt_violation(ZZ, Zy, path[k], n * a) <= KKT_TOL:
+            path[k] = lasso_cd(ZZ, Zy, n, a, path[k - 1] if k else None, yy=yy)
+    return path
+
+
+def _intercept(G: np.ndarray, w: np.ndarray) -> float:
+    _, mz, my, _, _, _ = _centered(G)
+    return float(my - mz @ w)
 
 
-def _lasso_cv_grid(spark: SparkSession, subs: dict[str, dict[int, np.ndarray]], n_alphas: int, eps: float):
-    """CV for several models at once: one Spark task per (model, held-out fold).
+_PATH_SCHEMA = "model string, fold int, a int, mse double, w array<double>"
 
-    The tasks carry only (d+2)^2 Gram numbers, so the grid is independent of the
-    row count; the paths run in parallel instead of one after another on the driver.
-    Returns {model: (alphas, mse[alpha, fold])}.
+
+def _lasso_paths(spark: SparkSession, subs: dict[str, dict[int, np.ndarray]], n_alphas: int, eps: float):
+    """All paths of several models at once: one Spark task per (model, held-out fold), whose rows tell the
+    held-out errors, and one per model on all rows (fold null), whose rows tell the coefficients.
+
+    The tasks carry only (d+2)^2 Gram numbers, independent of the row count.
+    Returns {model: (alphas, mse[alpha, fold], coefficients[alpha, feature])}.
     """
     grids = {name: _alpha_grid(sum(g.values()), n_alphas, eps) for name, g in subs.items()}
     rows = []
     for name, grams in subs.items():
         G_all = sum(grams.values())
-        for f, G_test in grams.items():
-            rows.append((name, int(f), int(G_all.shape[0]), G_all.ravel().tolist(), G_test.ravel().tolist(),
-                         grids[name].tolist()))
+        for f, G in [(None, np.zeros_like(G_all)), *grams.items()]:
+            rows.append((name, f, int(G_all.shape[0]), G_all.ravel().tolist(), G.ravel().tolist(), grids[name].tolist()))
     tasks = spark.createDataFrame(rows, "model string, fold int, dim int, g_all array<double>, "
                                         "g_test array<double>, alphas array<double>")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        k = int(r["dim"])
-        mse = _fold_path_mse(np.asarray(r["g_all"], float).reshape(k, k), np.asarray(r["g_test"], float).reshape(k, k),
-                             np.asarray(r["alphas"], float))
-        return pd.DataFrame({"model": r["model"], "fold": np.int32(r["fold"]), "a": np.arange(len(mse), dtype="int32"),
-                             "mse": mse})
-
-    n_tasks = max(len(rows), 1)
-    res = (tasks.repartition(n_tasks, "model", "fold").groupBy("model", "fold")
-           .applyInPandas(solve, "model string, fold int, a int, mse double").toPandas())
+    def solve(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                k, alphas = int(r.dim), np.asarray(r.alphas, float)
+                G_test = np.asarray(r.g_test, float).reshape(k, k)
+                G = np.asarray(r.g_all, float).reshape(k, k) - G_test
+                path = _path(G, alphas)
+                if G_test[0, 0]:
+                    told = [(r.model, int(r.fold), i, _heldout_mse(G_test, w, _intercept(G, w)), None) for i, w in enumerate(path)]
+                else:
+                    told = [(r.model, None, i, None, w.tolist()) for i, w in enumerate(path)]
+                out = pd.DataFrame(told, columns=["model", "fold", "a", "mse", "w"])
+                yield out.astype({"fold": "Int32", "a": "int32"})
+
+    res = tasks.repartition(len(rows), "model", "fold").mapInPandas(solve, _PATH_SCHEMA).collect()
     out = {}
-    for name, g in res.groupby("model"):
-        piv = g.pivot(index="a", columns="fold", values="mse").sort_index()
-        out[name] = (grids[name], piv.to_numpy())
+    for name, grid in grids.items():
+        folds = sorted(subs[name])
+        mse, coefs = np.zeros((len(grid), len(folds))), [None] * len(grid)
+        for r in res:
+            if r["model"] == name and r["fold"] is None:
+                coefs[r["a"]] = r["w"]
+            elif r["model"] == name:
+                mse[r["a"], folds.index(r["fold"])] = r["mse"]
+        out[name] = (grid, mse, np.array(coefs, float).reshape(len(grid), -1))
     return out
 
 
-def _lasso_refit(G_all: np.ndarray, alphas: np.ndarray, best: int):
-    n, mz, my, ZZ, Zy, yy = _centered(G_all)
-    w = None
-    for a in alphas[: best + 1]:           # warm-started path down to the chosen alpha
-        w = lasso_cd(ZZ, Zy, n, a, w, yy=yy)
-    return w, float(my - mz @ w)
-
-
 def fit_targets(df: DataFrame, specs: dict[str, tuple[list[str], str]], kind: str = "lasso",
                 entity_col: str | None = None, order_cols: list[str] | None = None,
                 folds: int = LASSO_CV_FOLDS, n_alphas: int = LASSO_N_ALPHAS, eps: float = LASSO_EPS,
@@ -382,59 +396,57 @@ def fit_targets(df: DataFrame, specs: dict[str, tuple[list[str], str]], kind: st
         if kind == "lasso":
             lasso_subs[name] = (fs, y, fi, sub)
         else:
-            n, mz, my, ZZ, Zy, _ = _centered(sub[0])
-            sols = []
-            for a in alphas:
-                A = np.linalg.inv(ZZ + a * np.eye(len(fs)))
-                w = A @ Zy
-                sols.append((a, A, w, float(my - mz @ w)))
-            ridge_sols[name] = (fs, y, n, mz, sols)
+            ridge_sols[name] = (fs, y, *_ridge_path(sub[0], alphas))
     if lasso_subs:
-        cv = _lasso_cv_grid(df.sparkSession, {k: v[3] for k, v in lasso_subs.items()}, n_alphas, eps)
+        paths = _lasso_paths(df.sparkSession, {k: v[3] for k, v in lasso_subs.items()}, n_alphas, eps)
         for name, (fs, y, fi, sub) in lasso_subs.items():
-            path, mse = cv[name]
+            grid, mse, coefs = paths[name]
             best = int(np.argmin(mse.mean(axis=1)))
-            w, b = _lasso_refit(sum(sub.values()), path, best)
-            out[name] = LinearModel(fs, mean[fi], std[fi], w, b, float(path[best]), "lasso", y,
-                                    {"alphas": path, "mse_path": mse})
+            w = coefs[best]
+            out[name] = LinearModel(fs, mean[fi], std[fi], w, _intercept(sum(sub.values()), w), float(grid[best]), "lasso", y,
+                                    {"alphas": grid, "mse_path": mse, "coef_path": coefs})
     if kind != "lasso":
         sse = _ridge_loo_pass(df, feats, mean, std, ridge_sols)
-        for name, (fs, y, n, mz, sols) in ridge_sols.items():
+        for name, (fs, y, _, mz, my, _, _, W) in ridge_sols.items():
             best = int(np.argmin(sse[name]))
-            a, _, w, b = sols[best]
             fi = [feats.index(f) for f in fs]
-            out[name] = LinearModel(fs, mean[fi], std[fi], w, b, float(a), "ridge", y, {"loo_sse": sse[name]})
+            out[name] = LinearModel(fs, mean[fi], std[fi], W[:, best], float(my - mz @ W[:, best]), float(alphas[best]), "ridge", y,
+                                    {"alphas": np.array(alphas, float), "loo_sse": sse[name], "coef_path": W.T})
     return out
 
 
+def _ridge_path(G: np.ndarray, alphas):
+    """(n, means, target mean, V, shrink[eigenvalue, alpha], W[feature, alpha]): Z'Z = V diag(e) V' once, then
+    every alpha divides by e + alpha."""
+    n, mz, my, ZZ, Zy, _ = _centered(G)
+    e, V = np.linalg.eigh(ZZ)
+    shrink = 1.0 / (np.maximum(e, 0.0)[:, None] + np.asarray(alphas, float)[None])
+    return n, mz, my, V, shrink, V @ (shrink * (V.T @ Zy)[:, None])
+
+
 def _ridge_loo_pass(df: DataFrame, feats: list[str], mean: np.ndarray, std: np.ndarray, ridge_sols: dict) -> dict:
-    """Sum of squared leave-one-out errors per (model, alpha) in one pass:
-    ``e_i / (1 - h_ii)`` with ``h_ii = 1/n + zc_i' A zc_i`` (A broadcast, d x d per model and alpha)."""
+    """Sum of squared leave-one-out errors per (model, alpha) in one pass: ``e_i / (1 - h_ii)`` with
+    ``h_ii = 1/n + sum_k (zc_i V)_k^2 / (e_k + alpha)``, so all leverages of all alphas are one matrix product
+    (V, d x d, is broadcast per model)."""
     names = list(ridge_sols)
-    ys = []
-    for n_ in names:
-        if ridge_sols[n_][1] not in ys:
-            ys.append(ridge_sols[n_][1])
+    ys = list(dict.fromkeys(ridge_sols[n_][1] for n_ in names))
     fidx = {n_: [feats.index(f) for f in ridge_sols[n_][0]] for n_ in names}
     src = df.select(*[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)],
                     *[F.col(y).cast("double").alias(f"_y{j}") for j, y in enumerate(ys)])
     m_b, s_b = mean.astype(float), std.astype(float)
 
     def loo(it):
-        acc = {n_: np.zeros(len(ridge_sols[n_][4])) for n_ in names}
+        acc = {n_: np.zeros(ridge_sols[n_][-1].shape[1]) for n_ in names}
         for pdf in it:
             if pdf.empty:
                 continue
             Z = (pdf[[f"_x{i}" for i in range(len(feats))]].to_numpy(dtype=float) - m_b) / s_b
             for n_ in names:
-                fs, y, n, mz, sols = ridge_sols[n_]
-                Zs = Z[:, fidx[n_]]
-                yv = pdf[f"_y{ys.index(y)}"].to_numpy(dtype=float)
-                Zc = Zs - mz
-                for k, (a, A, w, b) in enumerate(sols):
-                    e = yv - (Zs @ w + b)
-                    h = np.einsum("ij,jk,ik->i", Zc, A, Zc) + 1.0 / n
-                    acc[n_][k] += np.sum((e / (1.0 - h)) ** 2)
+                _, y, n, mz, my, V, shrink, W = ridge_sols[n_]
+                Zc = Z[:, fidx[n_]] - mz
+                e = (pdf[f"_y{ys.index(y)}"].to_numpy(dtype=float) - my)[:, None] - Zc @ W
+                h = 1.0 / n + np.square(Zc @ V) @ shrink
+                acc[n_] = acc[n_] + np.square(e / (1.0 - h)).sum(axis=0)
         rows = [(n_, k, float(v)) for n_ in names for k, v in enumerate(acc[n_])]
         yield pd.DataFrame(rows, columns=["model", "k", "sse"]).astype({"k": "int32"})
 
@@ -453,9 +465,8 @@ def lasso_fixed(df: DataFrame, features: list[str], target: str, alpha: float) -
     """Lasso at a given alpha on all rows (one Gram pass)."""
     mean, std = standardize_stats(df, features)
     G = fold_grams(df, features, target, mean, std, fold_col=None)[0]
-    n, mz, my, ZZ, Zy, yy = _centered(G)
-    w = lasso_cd(ZZ, Zy, n, alpha, yy=yy)
-    return LinearModel(features, mean, std, w, float(my - mz @ w), float(alpha), "lasso", target)
+    w = _path(G, np.array([float(alpha)]))[0]
+    return LinearModel(features, mean, std, w, _intercept(G, w), float(alpha), "lasso", target)
 
 
 def ridge_cv(df: DataFrame, features: list[str], target: str, alphas=RIDGE_ALPHAS) -> LinearModel:
@@ -463,6 +474,85 @@ def ridge_cv(df: DataFrame, features: list[str], target: str, alphas=RIDGE_ALPHA
     return fit_targets(df, {target: (features, target)}, "ridge", alphas=alphas)[target]
 
 
+# ---- optimality, told from the rows ------------------------------------------
+
+def _rows_of(df: DataFrame, model: LinearModel):
+    """(select, batch -> Z, y) of the model's standardised rows."""
+    cols = [*model.features, model.target]
+    src = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+
+    def unpack(pdf: pd.DataFrame):
+        x = pdf.to_numpy(dtype=float)
+        return (x[:, :-1] - model.mean) / model.std, x[:, -1]
+    return src, unpack
+
+
+def residual_products(df: DataFrame, model: LinearModel) -> np.ndarray:
+    """Z'(y - b - Zw) over the rows, a row per alpha of the model's path: one pass, d numbers per alpha."""
+    src, unpack = _rows_of(df, model)
+    paths = model.extra["coef_path"]
+    center = _center_of(df, model)
+
+    def products(it):
+        acc = np.zeros_like(paths)
+        for pdf in it:
+            if len(pdf):
+                Z, y = unpack(pdf)
+                Z = Z - center[:-1]
+                acc += ((y - center[-1])[:, None] - Z @ paths.T).T @ Z
+        a, j = np.indices(acc.shape)
+        yield pd.DataFrame({"a": a.ravel(), "j": j.ravel(), "v": acc.ravel()})
+
+    tot = src.mapInPandas(products, "a int, j int, v double").groupBy("a", "j").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros_like(paths)
+    out[tot["a"], tot["j"]] = tot["v"]
+    return out
+
+
+def _center_of(df: DataFrame, model: LinearModel) -> np.ndarray:
+    """Means of the standardised features and of the target over the rows."""
+    cols = [*model.features, model.target]
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    x = np.array(row, float)
+    return np.concatenate([(x[:-1] - model.mean) / model.std, x[-1:]])
+
+
+def optimality(df: DataFrame, model: LinearModel) -> np.ndarray:
+    """Per alpha of the path, how far the coefficients miss the optimum on the rows, as a share of the largest
+    correlation: a Lasso's by its KKT conditions, a Ridge's by its normal equations."""
+    n = df.count()
+    g, w, alphas = residual_products(df, model), model.extra["coef_path"], model.extra["alphas"][:, None]
+    if model.kind == "ridge":
+        off = np.abs(g - alphas * w)
+    else:
+        off = np.where(w != 0, np.abs(g - n * alphas * np.sign(w)), np.maximum(0.0, np.abs(g) - n * alphas))
+    largest = np.abs(g + (alphas * w if model.kind == "ridge" else 0.0)).max()
+    return off.max(axis=1, initial=0.0) / max(float(largest), 1e-300)
+
+
+def refitted_loo(df: DataFrame, model: LinearModel) -> np.ndarray:
+    """Sum of squared leave-one-out errors per alpha by leaving every row out of the Gram and solving anew: the
+    definition, against which the leverage formula is held.  Work is rows x alphas x d^3, in tasks."""
+    src, unpack = _rows_of(df, model)
+    alphas, d = model.extra["alphas"], len(model.features)
+    G = fold_grams(df, model.features, model.target, model.mean, model.std, fold_col=None)[0]
+
+    def left_out(it):
+        acc = np.zeros(len(alphas))
+        for pdf in it:
+            if not len(pdf):
+                continue
+            for z, y in zip(*unpack(pdf)):
+                a = np.concatenate([[1.0], z, [y]])
+                _, mz, my, ZZ, Zy, _ = _centered(G - np.outer(a, a))
+                for k, alpha in enumerate(alphas):
+                    acc[k] += (y - my - (z - mz) @ np.linalg.solve(ZZ + alpha * np.eye(d), Zy)) ** 2
+        yield pd.DataFrame({"k": np.arange(len(alphas)), "v": acc})
+
+    tot = src.mapInPandas(left_out, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    return tot.sort_values("k")["v"].to_numpy()
+
+
 # ---- H7 / H8 / H9 / H10 -----------------------------------------------------
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, keys: list[str] | None = None) -> DataFrame:

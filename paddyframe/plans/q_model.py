@@ -233,16 +233,95 @@ def q_ridge_cv(fx):
     return _coef_table(fx, models)
 
 
+def _checked_sql(rows):
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ")"
+
+
+@query("lasso_kkt", "H5 H4 H10 H11", oracle([], _checked_sql(
+    [f"('{rows}', '{t}', {linear.LASSO_N_ALPHAS}, 0)" for rows in ("train", "full") for t in TARGET_COL])
+    + " AS t(fitted_on, target, n_alphas, n_off)"))
+def q_lasso_kkt(fx):
+    """Per target, alphas of the path and how many miss the optimality conditions by over KKT_TOL of the largest
+    correlation, told from the rows: for the fit on the training years and for the refit on all years."""
+    out = []
+    for rows, full in (("train", False), ("full", True)):
+        tm, models = _fit_all(fx, "lasso", full)
+        used = tm if full else tm.filter(F.col("year") <= TRAIN_END_YEAR)
+        used = used.cache()
+        for t, m in models.items():
+            off = linear.optimality(used, m)
+            out.append((rows, t, len(off), int((off > linear.KKT_TOL).sum())))
+        used.unpersist()
+    return fx.spark.createDataFrame(out, "fitted_on string, target string, n_alphas int, n_off int")
+
+
+@query("ridge_check", "H6 H4", oracle([], _checked_sql([f"('{t}', {len(linear.RIDGE_ALPHAS)}, 0, 0)" for t in TARGET_COL])
+                                      + " AS t(target, n_alphas, n_off, n_loo_off)"))
+def q_ridge_check(fx):
+    """Per target, how many alphas miss the normal equations, and how many sums of squared leave-one-out errors
+    differ from those of models refitted without each row, by over KKT_TOL."""
+    tm, models = _fit_all(fx, "ridge")
+    used, out = tm.filter(F.col("year") <= TRAIN_END_YEAR).cache(), []
+    for t, m in models.items():
+        off, loo = linear.optimality(used, m), linear.refitted_loo(used, m)
+        far = abs(m.extra["loo_sse"] - loo) > linear.KKT_TOL * loo
+        out.append((t, len(off), int((off > linear.KKT_TOL).sum()), int(far.sum())))
+    used.unpersist()
+    return fx.spark.createDataFrame(out, "target string, n_alphas int, n_off int, n_loo_off int")
+
+
+def leaderboard(tm, lasso: dict, rtm, ridge: dict):
+    """Baselines and models (prediction columns by target), each family on its own test rows; the Lasso
+    design serves the baselines, as it has fewer of them."""
+    out = baseline_metrics(tm, {(t, "lasso"): p for t, p in lasso.items()})
+    scored = rtm.filter(F.col("year") >= TEST_START_YEAR).select(F.explode(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.lit("ridge").alias("model"), F.col(TARGET_COL[t]).cast("double").alias("y"),
+                 p.alias("yhat")) for t, p in ridge.items()])).alias("_p")).select("_p.*")
+    return out.unionByName(linear.regression_metrics(scored, "y", "yhat", ["target", "model"]))
+
+
 @query("leaderboard", "H9 H7 H8")
 def q_leaderboard(fx):
-    """Baselines with each family's own test rows; the Lasso design serves the baselines, as it has fewer of them."""
     tm, lasso = _fit_all(fx, "lasso")
-    out = baseline_metrics(tm, {(t, "lasso"): linear.predict_column(m) for t, m in lasso.items()})
     rtm, ridge = _fit_all(fx, "ridge")
-    scored = rtm.filter(F.col("year") >= TEST_START_YEAR).select(F.explode(F.array(*[
-        F.struct(F.lit(t).alias("target"), F.lit("ridge").alias("model"), F.col(TARGET_COL[t]).cast("double").alias("y"),
-                 linear.predict_column(m).alias("yhat")) for t, m in ridge.items()])).alias("_p")).select("_p.*")
-    return out.unionByName(linear.regression_metrics(scored, "y", "yhat", ["target", "model"]))
+    return leaderboard(tm, {t: linear.predict_column(m) for t, m in lasso.items()},
+                       rtm, {t: linear.predict_column(m) for t, m in ridge.items()})
+
+
+# models with stated coefficients: (intercept, {column: coefficient}) by target
+_STATED = {
+    "lasso": {"yield": (2.0, {"hist_yield": 0.7, "month_sin": -0.25}), "price": (40000.0, {"price_lag1": 0.5, "price_lag12": 0.25}),
+              "production": (25.0, {"production_lag1": 0.75, "precipitation_sum_gs": 0.001})},
+    "ridge": {"yield": (3.5, {"hist_yield": 0.5, "precipitation_sum_2m": 0.0005}), "price": (50000.0, {"price_lag1": 0.375, "hist_yield": 12.0}),
+              "production": (60.0, {"production_lag1": 0.5})},
+}
+
+
+def _stated_sql():
+    parts = []
+    for kind, table in (("lasso", "test"), ("ridge", "rtest")):
+        for t, (b, terms) in _STATED[kind].items():
+            yh = " + ".join([f"{b}", *[f"{c} * CAST({f} AS DOUBLE)" for f, c in terms.items()]])
+            y = TARGET_COL[t]
+            parts.append(f"""SELECT '{t}' AS target, '{kind}' AS model, avg(abs({y} - ({yh}))) AS mae, sqrt(avg(pow({y} - ({yh}), 2))) AS rmse,
+                1 - sum(pow({y} - ({yh}), 2)) / (count({y}) * var_pop({y})) AS r2 FROM {table} q""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("leaderboard_stated", "H9 H7 H8", oracle(["panel"], _baseline_sql() + "\nUNION ALL\n" + _stated_sql(), ["mae", "rmse", "r2"],
+       extra=[_TM_CTE, f"test AS (SELECT * FROM tm WHERE year >= {TEST_START_YEAR})", _RPANEL_CTE, _RTM_CTE,
+              f"rtest AS (SELECT * FROM rtm WHERE year >= {TEST_START_YEAR})"]))
+def q_leaderboard_stated(fx):
+    """The leaderboard over models whose coefficients are stated."""
+    def columns(kind):
+        out = {}
+        for t, (b, terms) in _STATED[kind].items():
+            p = F.lit(b)
+            for f, c in terms.items():
+                p = p + F.lit(c) * F.col(f).cast("double")
+            out[t] = p
+        return out
+    return leaderboard(_tm(fx), columns("lasso"), _tm(fx, "ridge"), columns("ridge"))
 
 
 @query("top_features", "H10")

@@ -50,6 +50,18 @@ def test_lasso_kkt_and_cv(spark):
     assert abs(cv.coef[2]) < 0.2 and abs(cv.coef[0]) > 1
 
 
+def test_optimality_is_told_from_the_rows(spark):
+    df, _, _ = _data(spark, seed=2)
+    feats = [f"x{i}" for i in range(5)]
+    lasso, ridge = linear.lasso_cv(df, feats, "y", "entity_id", ["year", "month"]), linear.ridge_cv(df, feats, "y")
+    for m in (lasso, ridge):
+        assert (linear.optimality(df, m) < 1e-10).all()
+    assert np.allclose(linear.refitted_loo(df, ridge), ridge.extra["loo_sse"], rtol=1e-9)
+    for m in (lasso, ridge):
+        m.extra["coef_path"] = m.extra["coef_path"] + 1e-3
+        assert (linear.optimality(df, m) > linear.KKT_TOL).all()
+
+
 def test_fold_sizes_like_unshuffled_kfold(spark):
     df, _, _ = _data(spark, n=303)
     f = linear.fold_ids(df, ["year", "month"], "entity_id").groupBy("fold").count().orderBy("fold").collect()
