@@ -566,11 +566,13 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, keys: list[str] | None
 
 
 def predict_column(model: LinearModel, clamp: bool = False, digits: int | None = None):
-    """Column expression ``intercept + sum(coef * (x - mean) / std)`` (d terms, driver-bounded)."""
+    """Column expression ``intercept + sum(coef * (x - mean) / std)``: the terms are an array that is summed,
+    as a nested sum of many terms takes the optimizer minutes."""
+    terms = [F.lit(float(c)) * (F.col(f).cast("double") - F.lit(float(m))) / F.lit(float(s))
+             for f, m, s, c in zip(model.features, model.mean, model.std, model.coef) if c != 0]
     expr = F.lit(float(model.intercept))
-    for f, m, s, c in zip(model.features, model.mean, model.std, model.coef):
-        if c != 0:
-            expr = expr + F.lit(float(c)) * (F.col(f).cast("double") - F.lit(float(m))) / F.lit(float(s))
+    if terms:
+        expr = F.aggregate(F.array(*terms), expr, lambda a, x: a + x)
     if clamp:
         expr = F.greatest(F.lit(0.0), expr)
     if digits is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import linear, score
 from ..operators import features as feat
+from ..session import written
 from .catalog import query
 from .fixtures import DAILY_VARS, MONTHLY_VARS, PANEL_START_YEAR, TRAIN_END_YEAR
 from ..functions.columns import py_round_sql
@@ -200,17 +201,15 @@ def q_baseline_metrics(fx):
 
 
 def _fit_all(fx, kind: str, full: bool = False):
-    """Training matrix and models fitted on it now: no state outlives the query."""
-    tm = _tm(fx, kind)
-    cached = tm.cache()   # shared by the moments pass, the fold pass and the Gram pass
-    try:
-        train = cached if full else cached.filter(F.col("year") <= TRAIN_END_YEAR)
-        sets = linear.feature_sets(tm.columns, kind)
-        specs = {t: (cols, TARGET_COL[t]) for t, cols in sets.items()}
-        # all three targets share one moments pass and one Gram pass over the training rows
-        return tm, linear.fit_targets(train, specs, kind, "entity_id", ["year", "month"])
-    finally:
-        cached.unpersist()
+    """Training matrix and models fitted on it now.  The matrix (a row per entity and month) is computed once and
+    written to the shared folder: the passes of the fit and whoever scores its rows read it, and the optimizer does not carry the
+    constraints of its hundred derived columns into their plans."""
+    tm = written(_tm(fx, kind))
+    train = tm if full else tm.filter(F.col("year") <= TRAIN_END_YEAR)
+    sets = linear.feature_sets(tm.columns, kind)
+    specs = {t: (cols, TARGET_COL[t]) for t, cols in sets.items()}
+    # all three targets share one moments pass and one Gram pass over the training rows
+    return tm, linear.fit_targets(train, specs, kind, "entity_id", ["year", "month"])
 
 
 def _coef_table(fx, models):
@@ -247,11 +246,9 @@ def q_lasso_kkt(fx):
     for rows, full in (("train", False), ("full", True)):
         tm, models = _fit_all(fx, "lasso", full)
         used = tm if full else tm.filter(F.col("year") <= TRAIN_END_YEAR)
-        used = used.cache()
         for t, m in models.items():
             off = linear.optimality(used, m)
             out.append((rows, t, len(off), int((off > linear.KKT_TOL).sum())))
-        used.unpersist()
     return fx.spark.createDataFrame(out, "fitted_on string, target string, n_alphas int, n_off int")
 
 
@@ -261,12 +258,11 @@ def q_ridge_check(fx):
     """Per target, how many alphas miss the normal equations, and how many sums of squared leave-one-out errors
     differ from those of models refitted without each row, by over KKT_TOL."""
     tm, models = _fit_all(fx, "ridge")
-    used, out = tm.filter(F.col("year") <= TRAIN_END_YEAR).cache(), []
+    used, out = tm.filter(F.col("year") <= TRAIN_END_YEAR), []
     for t, m in models.items():
         off, loo = linear.optimality(used, m), linear.refitted_loo(used, m)
         far = abs(m.extra["loo_sse"] - loo) > linear.KKT_TOL * loo
         out.append((t, len(off), int((off > linear.KKT_TOL).sum()), int(far.sum())))
-    used.unpersist()
     return fx.spark.createDataFrame(out, "target string, n_alphas int, n_off int, n_loo_off int")
 
 
