@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ci_equals, month_ordinal, safe_ratio
@@ -580,14 +581,29 @@ def q_target_or_last(fx):
     return feat.target_or_last(s, targets)
 
 
-@query("disaggregate", "F9")
-def q_disaggregate(fx):
+def _complete_quarters(fx):
     p = fx.production()
     qtr = p.groupBy("entity_id", "year", F.floor((F.col("month") - 1) / 3).cast("int").alias("_q0")).agg(
         F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("_n"))
     # complete quarters only (each of the 3 months present), quarters numbered 1..4
-    qtr = qtr.filter("_n = 3").select("entity_id", "year", (F.col("_q0") + 1).alias("quarter"), "volume")
-    return feat.disaggregate(qtr, ["entity_id"], "volume")
+    return qtr.filter("_n = 3").select("entity_id", "year", (F.col("_q0") + 1).alias("quarter"), "volume")
+
+
+@query("disaggregate", "F9")
+def q_disaggregate(fx):
+    return feat.disaggregate(_complete_quarters(fx), ["entity_id"], "volume")
+
+
+@query("disaggregate_check", "F9", oracle(["production"], """SELECT entity_id, year, quarter, volume, 0 AS sum_off, 0 AS stationarity_off FROM (
+       SELECT entity_id, year, (month - 1) // 3 + 1 AS quarter, sum(volume) AS volume, count(*) AS n
+       FROM production GROUP BY ALL) WHERE n = 3""", ["volume"]))
+def q_disaggregate_check(fx):
+    """Every quarter, and whether its months miss its total or the optimality condition by over 1e-9 of the largest total."""
+    q = _complete_quarters(fx)
+    told = feat.disaggregation_errors(feat.disaggregate(q, ["entity_id"], "volume"), q, ["entity_id"], "volume")
+    off = lambda c: (F.col(c) > F.max("volume").over(Window.partitionBy("entity_id")) * 1e-9).cast("int")
+    return told.select("entity_id", "year", "quarter", "volume", off("sum_error").alias("sum_off"),
+                       off("stationarity_error").alias("stationarity_off"))
 
 
 @query("month_ordinal", "F10", oracle(["production"],

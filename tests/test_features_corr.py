@@ -50,6 +50,35 @@ def test_disaggregation_preserves_quarter_sums(spark):
     assert np.allclose(flat.toPandas()["v"], 3.0)
 
 
+def test_disaggregation_against_the_dense_system():
+    rng = np.random.default_rng(0)
+    for nq in (1, 2, 3, 17):
+        q = rng.normal(size=nq) * 50
+        n = nq * 3
+        D, C = np.diff(np.eye(n), axis=0), np.kron(np.eye(nq), np.ones((1, 3)))
+        kkt = np.block([[2 * D.T @ D, C.T], [C, np.zeros((nq, nq))]])
+        want = np.linalg.lstsq(kkt, np.r_[np.zeros(n), q], rcond=None)[0][:n]
+        assert np.allclose(feat._denton_cholette(q), want, atol=1e-9)
+    assert len(feat._denton_cholette(np.zeros(0))) == 0
+
+
+def test_disaggregation_of_a_long_series(spark):
+    import time
+    q = 100 + np.cumsum(np.random.default_rng(1).normal(size=100_000))
+    t0 = time.time()
+    x = feat._denton_cholette(q)
+    assert time.time() - t0 < 30 and np.allclose(x.reshape(-1, 3).sum(1), q)
+    slope = np.convolve(x, [-1, 2, -1], "same")
+    slope[0], slope[-1] = x[0] - x[1], x[-1] - x[-2]
+    assert np.ptp(slope.reshape(-1, 3), axis=1).max() < 1e-8
+    df = spark.createDataFrame([(1, 2000 + i // 4, i % 4 + 1, float(v)) for i, v in enumerate(q[:40])], "s int, year int, quarter int, v double")
+    months = feat.disaggregate(df, ["s"], "v")
+    err = feat.disaggregation_errors(months, df, ["s"], "v").agg(F.max("sum_error"), F.max("stationarity_error"), F.count("*")).first()
+    assert err[0] < 1e-9 and err[1] < 1e-9 and err[2] == 40
+    bent = feat.disaggregation_errors(months.withColumn("v", F.col("v") + F.col("month") % 2), df, ["s"], "v")
+    assert bent.filter("sum_error > 0.5 and stationarity_error > 0.5").count() == 40
+
+
 def test_next_month_rollover(spark):
     df = spark.createDataFrame([(2023, 12), (2024, 1)], "year int, month int")
     y, m = feat.next_month()
