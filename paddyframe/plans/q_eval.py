@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import conversation as conv
 from ..operators import evaluate as ev
 from ..operators import linear, quality, text
-from ..sources import io
+from ..session import shared_folder, written
+from ..sources import io, registry
 from .catalog import query
 from .fixtures import TRAIN_END_YEAR
 from ..functions.columns import py_round_sql as _pr
 from .oracle import oracle
+from .q_model import FIXED_TERMS
 from .q_text import _KNN_CTES, RETRIEVAL_METRICS_SQL, _POLICY_SQL, _RESOLVE_CTES, _TOPIC_OF, policy, resolved
 
 _ELIG = "(role = 'user' OR (role = 'assistant' AND coalesce(length(text) > 0, FALSE)))"
@@ -314,17 +316,79 @@ def q_upsert_ignore(fx):
     return io.insert_or_ignore(existing, incoming, ["entity_id", "year", "month"], ["volume", "area"])
 
 
+@query("insert_sink", "A6", oracle(["production"], """SELECT entity_id, year, month, volume FROM production WHERE year <= 1998
+    UNION ALL SELECT entity_id, year, month, volume + 1 FROM production WHERE year > 1998""", ["volume"]))
+def q_insert_sink(fx):
+    """Insert-or-ignore run against a folder: rows up to 1998 are there, rows from 1997 on come in twice."""
+    p, path = fx.production().select("entity_id", "year", "month", "volume"), shared_folder(fx.spark)
+    p.filter("year <= 1998").write.parquet(path)
+    incoming = p.filter("year >= 1997").withColumn("volume", F.col("volume") + 1)
+    io.append_new(incoming.unionByName(incoming.withColumn("volume", F.col("volume") + 1)), path, ["entity_id", "year", "month"], ["volume"])
+    return fx.spark.read.schema(incoming.schema).parquet(path)
+
+
+@query("replace_sink", "A7", oracle(["production"], """SELECT entity_id, year, month,
+    CASE WHEN entity_id % 5 = 0 THEN volume + 1 ELSE volume END AS volume, entity_id % 5 = 0 AS rewritten
+    FROM production WHERE entity_id % 5 <> 0 OR year > 1995""", ["volume"]))
+def q_replace_sink(fx):
+    """Replace some entities' rows in a folder; ``rewritten`` tells whether a row's file is another than before."""
+    p, path = fx.production().select("entity_id", "year", "month", "volume"), shared_folder(fx.spark)
+    io.replace_partitions(p, path, ["entity_id"])
+    read = lambda: fx.spark.read.schema(p.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("file"))
+    before = written(read().select("file").distinct().withColumn("same", F.lit(True)))
+    new = p.filter("entity_id % 5 = 0 and year > 1995").withColumn("volume", F.col("volume") + 1)
+    io.replace_partitions(new, path, ["entity_id"])
+    return read().join(before, "file", "left").select("entity_id", "year", "month", "volume", F.col("same").isNull().alias("rewritten"))
+
+
+@query("csv_roundtrip", "A1 A8", oracle([], """SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars, FALSE AS corrupt FROM documents"""))
+def q_csv_roundtrip(fx):
+    """All documents exported to CSV and scanned again by their schema."""
+    d, path = fx.t.documents.select("doc_id", "text", "lang", "source", "n_chars"), shared_folder(fx.spark)
+    io.write_csv(d, path)
+    back = io.read_csv(fx.spark, path, d.schema, keep_corrupt=True)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars", F.col(io.CORRUPT).isNotNull().alias("corrupt"))
+
+
+@query("json_cases", "A10", oracle([], "SELECT conv_id, turn, role, md5(text) AS text_md5, FALSE AS corrupt FROM conversations"))
+def q_json_cases(fx):
+    """All conversations exported as JSON objects that hold arrays of turns, and scanned again by their schema."""
+    c, path = fx.t.conversations, shared_folder(fx.spark)
+    c.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns")).write.json(path)
+    back = io.read_cases(fx.spark, path, "turns", "turn:bigint,role:string,text:string", "conv_id long", multi_line=False, keep_corrupt=True)
+    return back.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"), F.col(io.CORRUPT).isNotNull().alias("corrupt"))
+
+
+_COEFS = "feature string, mean double, std double, coef double"
+_VERSIONS = [("2026-01-01 00:00:00", TRAIN_END_YEAR - 1), ("2026-02-01 00:00:00", TRAIN_END_YEAR)]
+
+
 @query("latest_model", "A9 H6")
 def q_latest_model(fx):
+    """Ridge price models of two stamps, saved and loaded through the registry."""
     from .q_model import _tm
-    tm = _tm(fx, "ridge")
-    cols = linear.feature_sets(tm.columns, "ridge")["price"]
-    versions = []
-    for stamp, end_year in (("2026-01-01 00:00:00", TRAIN_END_YEAR - 1), ("2026-02-01 00:00:00", TRAIN_END_YEAR)):
+    tm = written(_tm(fx, "ridge"))
+    cols, where = linear.feature_sets(tm.columns, "ridge")["price"], shared_folder(fx.spark)
+    for stamp, end_year in reversed(_VERSIONS):
         m = linear.ridge_cv(tm.filter(F.col("year") <= end_year), cols, "target_price")
-        versions.append(m.coefficients(fx.spark).withColumn("model_type", F.lit("ridge_price"))
-                        .withColumn("trained_at", F.to_timestamp(F.lit(stamp))))
-    return io.latest_model(versions[0].unionByName(versions[1]))
+        registry.save(m.coefficients(fx.spark).select("feature", "mean", "std", "coef"), where, "ridge_price", stamp)
+    return registry.load_latest(fx.spark, where, _COEFS)
+
+
+@query("latest_model_stated", "A9", oracle(["features"], "\nUNION ALL\n".join(
+    f"""SELECT '{f}' AS feature, avg(CAST({f} AS DOUBLE)) AS mean, stddev_pop(CAST({f} AS DOUBLE)) AS std, {c} AS coef, 'stated' AS model_type,
+        '{_VERSIONS[-1][0]}' AS trained_at FROM features WHERE year <= {_VERSIONS[-1][1]}""" for f, _, _, c in FIXED_TERMS), ["mean", "std", "coef"]))
+def q_latest_model_stated(fx):
+    """Models of stated coefficients, scaled by the rows up to a year: the later stamp is saved first, and a still later
+    one is written but never committed."""
+    rows, where = written(fx.market_features()), shared_folder(fx.spark)
+    names = [f for f, *_ in FIXED_TERMS]
+    coef = F.element_at(F.create_map(*[F.lit(x) for f, _, _, c in FIXED_TERMS for x in (f, float(c))]), F.col("feature"))
+    table = lambda year: linear.moments_long(rows.filter(F.col("year") <= year), names).withColumn("coef", coef)
+    for stamp, year in reversed(_VERSIONS):
+        registry.save(table(year), where, "stated", stamp)
+    registry.write_version(table(_VERSIONS[0][1]), where, "stated")
+    return registry.load_latest(fx.spark, where, _COEFS).withColumn("trained_at", F.date_format("trained_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _collated_sql():

@@ -91,6 +91,11 @@ def written(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared checkpoint folder and read back: cuts the lineage like a checkpoint and
     gives the optimizer a plain scan (a checkpoint keeps the constraints of the plan it cuts, which
     take minutes to propagate where a hundred columns are derived)."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a fresh folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"

@@ -1,5 +1,5 @@
 """Sources and sinks (survey 2.A): CSV scans, series arrays, insert-or-ignore,
-partition overwrite, CSV export, model registry, JSON case files."""
+partition overwrite, CSV export, JSON case files.  The model registry is ``registry``."""
 
 from __future__ import annotations
 
@@ -8,10 +8,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Headered UTF-8 CSV (A1); an explicit schema avoids an inference pass."""
-    r = spark.read.option("header", True).option("encoding", "UTF-8")
-    return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", False).csv(path)
+CORRUPT = "_corrupt"    # column that holds a row which does not fit the schema, whole
+NO_CELL = "\u0000"      # what stands for an unquoted empty cell while it is read; so "" in quotes stays an empty text
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, keep_corrupt: bool = False) -> DataFrame:
+    """Headered UTF-8 CSV (A1); quoted cells may hold quotes (doubled) and line breaks.
+
+    An explicit schema avoids an inference pass; with ``keep_corrupt`` rows that do not fit it are kept as text
+    in the column ``_corrupt``, which is null for all others.  Files are the unit of parallelism.
+    """
+    r = spark.read.options(header=True, encoding="UTF-8", multiLine=True, quote='"', escape='"', nullValue=NO_CELL, inferSchema=False)
+    if schema is None:
+        return r.csv(path)
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    if keep_corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        r = r.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    return r.schema(schema).csv(path)
 
 
 def read_wide_csv(spark: SparkSession, path: str, label_index: int = 0,
@@ -68,14 +82,19 @@ def replace_partitions(df: DataFrame, path: str, partition_cols: list[str], fmt:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV export with a header and no index column."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV export with a header and no index column (A8): what ``read_csv`` reads back cell by cell, blanks at the
+    ends, quotes, line breaks, empty cells and nulls included."""
+    df.write.mode("overwrite").options(header=True, encoding="UTF-8", quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                                       ignoreTrailingWhiteSpace=False, emptyValue='""').csv(path)
 
 
-def register_model(coefs: DataFrame, registry_path: str, model_type: str, trained_at: str) -> None:
-    """Append a model's coefficient table to the registry, stamped with ``trained_at``."""
-    (coefs.withColumn("model_type", F.lit(model_type)).withColumn("trained_at", F.to_timestamp(F.lit(trained_at)))
-     .write.mode("append").partitionBy("model_type").parquet(registry_path))
+def append_new(incoming: DataFrame, path: str, keys: list[str], order_cols: list[str]) -> None:
+    """Insert-or-ignore into a Parquet folder (A6): only rows whose key it lacks are written, in one append.
+    One writer at a time: two at once may both insert a key."""
+    existing = incoming.sparkSession.read.schema(incoming.schema).parquet(path)
+    w = Window.partitionBy(*keys).orderBy(*order_cols)
+    first = incoming.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    first.join(existing.select(*keys), keys, "left_anti").select(incoming.columns).write.mode("append").parquet(path)
 
 
 def latest_model(registry: DataFrame, model_type_col: str = "model_type", stamp_col: str = "trained_at") -> DataFrame:
@@ -84,7 +103,20 @@ def latest_model(registry: DataFrame, model_type_col: str = "model_type", stamp_
     return registry.join(latest, [model_type_col, stamp_col], "left_semi")
 
 
-def read_cases(spark: SparkSession, path: str, array_field: str, schema: str) -> DataFrame:
-    """Labelled-case JSON file (A10): one object holding arrays of cases -> one row per case."""
-    raw = spark.read.option("multiLine", True).schema(f"{array_field} array<struct<{schema}>>").json(path)
-    return raw.select(F.explode(array_field).alias("c")).select("c.*")
+def read_cases(spark: SparkSession, path: str, array_field: str, schema: str, keys: str = "", multi_line: bool = True,
+               keep_corrupt: bool = False) -> DataFrame:
+    """Labelled-case JSON (A10): objects holding an array of cases -> one row per case.
+
+    ``keys`` names further fields of the object, which every case carries; without ``multi_line`` a line is an object.  With
+    ``keep_corrupt`` text that does not parse is one row with the text in ``_corrupt``.
+    """
+    fields = [f"{keys}, " if keys else "", f"{array_field} array<struct<{schema}>>", f", {CORRUPT} string" if keep_corrupt else ""]
+    r = spark.read.option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT)
+    raw = r.schema("".join(fields)).json(path)
+    outer = [k.split()[0] for k in keys.split(",")] if keys else []
+    cases = F.explode_outer(array_field) if keep_corrupt else F.explode(array_field)
+    extra = [CORRUPT] if keep_corrupt else []
+    out = raw.select(*outer, *extra, cases.alias("c"))
+    if keep_corrupt:
+        out = out.filter(F.col("c").isNotNull() | F.col(CORRUPT).isNotNull())
+    return out.select(*outer, "c.*", *extra)
