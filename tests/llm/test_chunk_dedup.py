@@ -1,9 +1,16 @@
+import re
+
 import numpy as np
 
 from paddyframe.llm import chunk_dedup as cd
 from paddyframe.llm import chunks as C
 
 
+def goes(raw, start, end, min_run):
+    """A run of repeated chunks goes if it is long, or if it and the 80 bytes on either side (of its document) hold over 50 words."""
+    return end - start >= min_run or len(re.findall(rb"[^\x20\x09-\x0D]+", raw[max(0, start - 80):end + 80])) > 50
+
+
 def slow(rows, min_run):
     """One pass over all documents in order, with a dictionary of first copies."""
     seen, out = {}, []
@@ -23,7 +30,7 @@ def slow(rows, min_run):
             if b <= len(raw) and flags[order, a]:
                 run.append((a, b))
                 continue
-            if run and run[-1][1] - run[0][0] < min_run:
+            if run and not goes(raw, run[0][0], run[-1][1], min_run):
                 kept += raw[run[0][0]:run[-1][1]]
             run = []
             kept += raw[a:b]
