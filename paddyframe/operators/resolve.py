@@ -177,6 +177,31 @@ def resolve(requests: DataFrame, index: DataFrame, req_key: str = "request_id",
         F.when(res, F.col("m.node_id")).alias("node_id"))
 
 
+def place_points(l1: DataFrame, l2: DataFrame, l3: DataFrame) -> DataFrame:
+    """(level, node_id, latitude, longitude, province_id, province_latitude, province_longitude, region) of every node; the
+    levels' tables have latitude and longitude, level 1 the region as well."""
+    top = l1.select("l1_id", F.col("l1_id").cast("long").alias("province_id"), F.col("latitude").alias("province_latitude"),
+                    F.col("longitude").alias("province_longitude"), "region")
+    up = ["province_id", "province_latitude", "province_longitude", "region"]
+    p1 = top.select(F.lit(1).alias("level"), F.col("province_id").alias("node_id"), F.col("province_latitude").alias("latitude"),
+                    F.col("province_longitude").alias("longitude"), *up)
+    mid = l2.join(top, "l1_id")
+    p2 = mid.select(F.lit(2).alias("level"), F.col("l2_id").cast("long").alias("node_id"), "latitude", "longitude", *up)
+    leaf = l3.join(mid.select("l2_id", *up), "l2_id")
+    p3 = leaf.select(F.lit(3).alias("level"), F.col("l3_id").cast("long").alias("node_id"), "latitude", "longitude", *up)
+    return p1.unionByName(p2).unionByName(p3)
+
+
+def resolved_records(resolved: DataFrame, points: DataFrame, regions: list[str]) -> DataFrame:
+    """The resolved record in full (J4): ``resolve``'s columns with the region, the place's own point, its province's id and
+    point.  Places outside ``regions`` are UNSUPPORTED_REGION and have no record."""
+    told = resolved.join(points, ["level", "node_id"], "left")
+    outside = (F.col("status") == "RESOLVED") & ~F.coalesce(F.col("region").isin(regions), F.lit(False))
+    told = told.withColumn("status", F.when(outside, "UNSUPPORTED_REGION").otherwise(F.col("status")))
+    record = ["granularity", "resolved_name", "province", "node_id", *points.columns[2:]]
+    return told.withColumns({c: F.when(F.col("status") == "RESOLVED", F.col(c)) for c in record})
+
+
 def choose_point(action_col, own_lat, own_lon, top_lat, top_lon, own_action: str = "GET_WEATHER_DATA"):
     """Own point for weather actions, the top-level (province) point otherwise."""
     own = F.col(action_col) == own_action

@@ -664,6 +664,13 @@ def q_corr_detailed(fx):
     return coeffs
 
 
+@query("corr_observations", "G4", oracle(["weather", "production", "prices", "dim"], f"SELECT *, {LAG} AS lag FROM ({_aligned_sql(LAG)})", W6 + MARKET))
+def q_corr_observations(fx):
+    """The observations behind corr_detailed's coefficients."""
+    obs, _ = corr.corr_detailed(fx.weather(), fx.production(), fx.prices(), W6, OUTCOMES, START, END, fx.dim(), LAG)
+    return obs.withColumn("lag", F.lit(LAG))
+
+
 @query("corr_lag_scan", "G5", _corr_long_sql(["lag", "entity_name"], "aligned", [_LAG_SCAN_CTE]))
 def q_corr_lag_scan(fx):
     return corr.corr_lag_scan(fx.weather(), fx.production(), fx.prices(), W6, OUTCOMES, range(0, 7),

@@ -86,6 +86,46 @@ def q_resolve_entity(fx):
     return resolved(fx)
 
 
+_REGIONS = ["Region 0", "Region 2"]
+
+
+def _located(fx):
+    """The hierarchy with points and regions."""
+    l1, l2, l3 = fx.places()
+    return (l1.withColumns({"latitude": F.col("l1_id") * 1.5, "longitude": F.col("l1_id") + 100.25,
+                            "region": F.concat(F.lit("Region "), (F.col("l1_id") % 3).cast("string"))}),
+            l2.withColumns({"latitude": F.col("l2_id") * 0.25, "longitude": F.col("l2_id") + 120.5}),
+            l3.withColumns({"latitude": F.col("l3_id") * 0.125, "longitude": F.col("l3_id") * -0.5}))
+
+
+@query("resolve_record", "J4 J5", oracle([], f"""WITH pts AS (
+    SELECT 1 AS level, CAST(r_regionkey AS BIGINT) AS node_id, r_regionkey * 1.5 AS latitude, r_regionkey + 100.25 AS longitude, r_regionkey AS p FROM region
+    UNION ALL SELECT 2, n_nationkey, n_nationkey * 0.25, n_nationkey + 120.5, n_regionkey FROM nation
+    UNION ALL SELECT 3, s_suppkey, s_suppkey * 0.125, s_suppkey * -0.5, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  hit AS (SELECT rq.request_id, h.*, pts.latitude, pts.longitude, p, 'Region ' || CAST(p % 3 AS VARCHAR) AS region FROM rq
+    LEFT JOIN (SELECT * EXCLUDE (request_id), request_id AS rid FROM (SELECT * FROM ex UNION ALL SELECT * FROM fb)) h ON rq.request_id = h.rid
+    LEFT JOIN pts ON h.level = pts.level AND h.node_id = pts.node_id),
+  told AS (SELECT *, CASE WHEN level IS NULL THEN 'NOT_FOUND' WHEN n_match > 1 THEN 'AMBIGUOUS'
+    WHEN region NOT IN ({', '.join(map(repr, _REGIONS))}) THEN 'UNSUPPORTED_REGION' ELSE 'RESOLVED' END AS status FROM hit),
+  rec AS (SELECT request_id, status, CASE WHEN status = 'RESOLVED' THEN 1 END AS ok, level, node_id, resolved_name, l1_name, region, latitude, longitude, p FROM told)
+  SELECT request_id, status, CASE WHEN ok = 1 THEN CASE level WHEN 1 THEN 'province' WHEN 2 THEN 'municipality_city' ELSE 'barangay' END END AS granularity,
+    CASE WHEN ok = 1 THEN resolved_name END AS resolved_name, CASE WHEN ok = 1 THEN l1_name END AS province, CASE WHEN ok = 1 THEN region END AS region,
+    ok * CAST(latitude AS DOUBLE) AS latitude, ok * CAST(longitude AS DOUBLE) AS longitude, CAST(ok * p AS BIGINT) AS province_id,
+    ok * CAST(p * 1.5 AS DOUBLE) AS province_latitude, ok * CAST(p + 100.25 AS DOUBLE) AS province_longitude,
+    ok * CAST(CASE WHEN request_id % 2 = 0 THEN latitude ELSE p * 1.5 END AS DOUBLE) AS action_latitude,
+    ok * CAST(CASE WHEN request_id % 2 = 0 THEN longitude ELSE p + 100.25 END AS DOUBLE) AS action_longitude FROM rec""",
+    ["latitude", "longitude", "province_latitude", "province_longitude", "action_latitude", "action_longitude"], extra=_RESOLVE_CTES))
+def q_resolve_record(fx):
+    """Resolved places with region and both points, and the point that an action (by the request) needs."""
+    l1, l2, l3 = _located(fx)
+    found = resolve.resolve(_requests(fx), resolve.paths(l1.select("l1_id", "l1_name"), l2.drop("latitude", "longitude"), l3.drop("latitude", "longitude")))
+    told = resolve.resolved_records(found, resolve.place_points(l1, l2, l3), _REGIONS)
+    told = told.withColumn("action", F.when(F.col("request_id") % 2 == 0, "GET_WEATHER_DATA").otherwise("PREDICT_YIELD"))
+    lat, lon = resolve.choose_point("action", "latitude", "longitude", "province_latitude", "province_longitude")
+    return told.select("request_id", "status", "granularity", "resolved_name", "province", "region", "latitude", "longitude", "province_id",
+                       "province_latitude", "province_longitude", lat.alias("action_latitude"), lon.alias("action_longitude"))
+
+
 @query("resolve_exact", "J1", oracle([], "SELECT request_id, status, level, node_id FROM resolved WHERE method = 'exact'",
                                      extra=_RESOLVE_CTES))
 def q_resolve_exact(fx):
