@@ -9,7 +9,8 @@ layout's wrapper (in a rare layout, that of the host's commonest), and its block
 text if they are no template, lie in no element made for something else
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 comments, by tag, role or class), and lie in the article where the page marks
-one.  Pages without such a mark lose blocks that are mostly links.
+one that holds a quarter of what is left at least.  Pages without such a mark lose blocks that are mostly links.  A form, like an
+element with a menu's or a notice's name, goes only if it holds neither the article nor most of the text.
 
 Character references are decoded, white space in a block becomes one space,
 blocks are joined by an empty line; nothing is cut.
@@ -28,6 +29,7 @@ import pickle
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,7 +41,8 @@ MIN_PAGES = 4
 NEARLY_ALL = 0.9        # share of a layout's pages that hold a template text
 LEAST_ALIGNED = 0.2     # share of them that align with the layout's first one, at least
 SAME_LAYOUT = 0.5       # share of nodes that must align for a page to count for the wrapper
-MAX_PAIRS = 40_000      # node pairs aligned exactly; larger trees are aligned level by level
+LEAST_MARKED = 0.25     # share of the text that lies in articles from which on they mark the main text
+ROWS_AT_ONCE = 4096     # child pairs from which a table of alignments is computed by whole rows
 
 # fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,7 +56,7 @@ IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
            "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = frozenset("table ul ol dl select article section main div body html".split())
 # what is no main text
-NOT_TEXT = frozenset("nav footer aside form script style noscript template head button select option input textarea iframe dialog menu "
+NOT_TEXT = frozenset("nav footer aside script style noscript template head button select option input textarea iframe dialog menu "
                      "svg canvas object audio video title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu "
@@ -69,17 +72,17 @@ _NUMBER = re.compile(r"\d{3,}")      # a page's own number in a class name
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
     """An element (or a run of folded siblings): label, texts of its blocks, children."""
 
-    __slots__ = ("label", "texts", "kids", "const")
+    __slots__ = ("label", "texts", "kids", "const", "shape", "size")
 
     def __init__(self, label: str):
-        self.label, self.texts, self.kids, self.const = label, [], [], None
+        self.label, self.texts, self.kids, self.const, self.shape, self.size = label, [], [], None, None, 1
 
 
 class Block:
@@ -97,9 +100,11 @@ def _is_skipped(tag: str, attrs: dict[str, str], inside: bool) -> bool:
 
 
 def _is_named(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """By a word of its class or id; what holds the main text is never."""
+    """A form, or by a word of its class or id; what holds the main text is never."""
     if tag in WHOLE:
         return False
+    if tag == "form":
+        return True
     words = {w.lower() for k in ("class", "id") for w in _SPLIT.split(attrs.get(k, "")) if w}
     return bool(words & WORDS) or (not inside and bool(words & TOP_WORDS))
 
@@ -232,7 +237,14 @@ def key(text: str) -> int:
 def layout(tree: Node) -> int:
     """Signature of the two outermost levels at which containers differ, whatever their order and number."""
     def frames(n: Node) -> list[Node]:
-        return [x for k in n.kids for x in (frames(k) if k.label in ("html", "body") else [k] if k.label.split(".")[0] in FRAME else [])]
+        out, todo = [], n.kids[::-1]
+        while todo:
+            k = todo.pop()
+            if k.label in ("html", "body"):
+                todo += k.kids[::-1]
+            elif k.label.split(".")[0] in FRAME:
+                out.append(k)
+        return out
 
     path, outer = [], frames(tree)
     while len(outer) == 1 and outer[0].label.split(".")[0] not in ARTICLE and frames(outer[0]):
@@ -243,7 +255,12 @@ def layout(tree: Node) -> int:
 
 
 def _nodes(n: Node) -> list[Node]:
-    return [n, *(x for k in n.kids for x in _nodes(k))]
+    """All nodes in page order."""
+    out, todo = [], [n]
+    while todo:
+        out.append(todo.pop())
+        todo += out[-1].kids[::-1]
+    return out
 
 
 def _slim(n: Node) -> Node:
@@ -253,33 +270,139 @@ def _slim(n: Node) -> Node:
     return n
 
 
+def _flat(n: Node) -> tuple:
+    """The tree as lists in page order: labels, numbers of children, texts, template texts."""
+    nodes = _nodes(n)
+    return [x.label for x in nodes], [len(x.kids) for x in nodes], [x.texts for x in nodes], [x.const for x in nodes]
+
+
+def _tree(flat: tuple) -> Node:
+    """``_flat``'s tree."""
+    root, open_ = None, []      # open_: [node, children to come]
+    for label, kids, texts, const in zip(*flat):
+        node = Node(label)
+        node.texts, node.const = texts, const
+        while open_ and not open_[-1][1]:
+            open_.pop()
+        if open_:
+            open_[-1][0].kids.append(node)
+            open_[-1][1] -= 1
+        else:
+            root = node
+        open_.append([node, kids])
+    return root
+
+
 def _size(n: Node) -> int:
-    return 1 + sum(map(_size, n.kids))
+    return _measured(n).size
+
+
+def _measured(n: Node) -> Node:
+    """The tree with every node's size and shape (equal for trees of equal labels)."""
+    if n.shape is None:
+        for x in reversed(_nodes(n)):
+            x.size = 1 + sum(k.size for k in x.kids)
+            x.shape = hash((x.label, *(k.shape for k in x.kids)))
+    return n
+
+
+def _ends(a: Node, b: Node) -> tuple[int, int]:
+    """How many first and last children have equal trees: some largest alignment pairs those."""
+    x, y, n = a.kids, b.kids, min(len(a.kids), len(b.kids))
+    first = 0
+    while first < n and x[first].shape == y[first].shape:
+        first += 1
+    last = 0
+    while last < n - first and x[-1 - last].shape == y[-1 - last].shape:
+        last += 1
+    return first, last
 
 
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the largest order-preserving alignment of two trees, and its node pairs."""
+    """Simple tree matching: the largest order-preserving alignment of two trees, and its node pairs.
+
+    Trees may be of any depth and width: pairs of nodes wait on a stack until those of their children are told.
+    """
     if a.label != b.label:
         return 0, []
-    m, n = len(a.kids), len(b.kids)
-    if m * n > MAX_PAIRS:   # very long child lists without runs: align equal positions
-        got = [match(x, y) for x, y in zip(a.kids, b.kids)]
-        return 1 + sum(g[0] for g in got), [(a, b), *(p for g in got for p in g[1])]
-    pair = [[match(x, y) if x.label == y.label else (0, []) for y in b.kids] for x in a.kids]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        for j in range(n):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + pair[i][j][0])
-    pairs, i, j = [(a, b)], m, n
+    _measured(a), _measured(b)
+    told: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}    # (score, aligned children)
+    todo = [(a, b, False)]
+    while todo:
+        x, y, ready = todo.pop()
+        if x.shape == y.shape or (id(x), id(y)) in told:
+            continue
+        first, last = _ends(x, y)
+        xs, ys = x.kids[first:len(x.kids) - last], y.kids[first:len(y.kids) - last]
+        if ready:
+            ends = [*zip(x.kids[:first], y.kids[:first]), *zip(x.kids[len(x.kids) - last:], y.kids[len(y.kids) - last:])]
+            score, middle = _aligned(xs, ys, told)
+            told[id(x), id(y)] = (1 + sum(k.size for k, _ in ends) + score, middle + ends)
+            continue
+        todo.append((x, y, True))
+        with_kids: dict[str, list[Node]] = {}
+        for k in ys:
+            if k.kids:
+                with_kids.setdefault(k.label, []).append(k)
+        todo += [(k, j, False) for k in xs if k.kids for j in with_kids.get(k.label, ())]
+    pairs, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x.shape == y.shape:
+            pairs += zip(_nodes(x), _nodes(y))
+        else:
+            pairs.append((x, y))
+            todo += told.get((id(x), id(y)), (1, []))[1]     # a node without children aligns alone
+    return _score(a, b, told), pairs
+
+
+def _score(x: Node, y: Node, told: dict) -> int:
+    """Score of two nodes of one label."""
+    if x.shape == y.shape:
+        return x.size
+    return told[id(x), id(y)][0] if x.kids and y.kids else 1
+
+
+def _aligned(xs: list[Node], ys: list[Node], told: dict) -> tuple[int, list[tuple[Node, Node]]]:
+    """The best order-preserving alignment of two lists of children: a row of the table at a time; of the table only
+    two bits a cell are kept, whether it equals the one above and the one before."""
+    m, n = len(xs), len(ys)
+    at: dict[str, list[int]] = {}
+    for j, y in enumerate(ys):
+        at.setdefault(y.label, []).append(j)
+    if not any(x.label in at for x in xs):
+        return 0, []
+    wide = m * n > ROWS_AT_ONCE
+    best, above, before = np.zeros(n + 1, np.int64) if wide else [0] * (n + 1), [], []
+    for x in xs:
+        if wide:
+            new = best.copy()
+            if j := at.get(x.label):
+                j = np.array(j)
+                new[j + 1] = np.maximum(new[j + 1], best[j] + np.array([_score(x, ys[k], told) for k in j.tolist()]))
+                new = np.maximum.accumulate(new)
+            above.append(np.packbits(new == best))
+            before.append(np.packbits(np.append(False, new[1:] == new[:-1])))
+        else:
+            new = best[:]
+            for j in at.get(x.label, ()):
+                new[j + 1] = max(new[j + 1], best[j] + _score(x, ys[j], told))
+            for j in range(n):
+                new[j + 1] = max(new[j + 1], new[j])
+            above.append([p == q for p, q in zip(new, best)])
+            before.append([False] + [p == q for p, q in zip(new[1:], new)])
+        best = new
+    bit = (lambda row, j: row[j >> 3] >> (7 - (j & 7)) & 1) if wide else (lambda row, j: row[j])
+    pairs, i, j = [], m, n
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        if bit(above[i - 1], j):
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif bit(before[i - 1], j):
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs += pair[i][j][1]
-    return 1 + best[m][n], pairs
+            pairs.append((xs[i], ys[j]))
+    return int(best[n]), pairs
 
 
 def induce(pages: list[str]) -> Node | None:
@@ -288,14 +411,9 @@ def induce(pages: list[str]) -> Node | None:
     if len(trees) < MIN_PAGES:
         return None
     ref, seen = trees[0], 1
-    nodes = []
-
-    def walk(n: Node):
-        nodes.append(n)
+    nodes = _nodes(ref)
+    for n in nodes:
         n.const = set(n.texts)
-        for k in n.kids:
-            walk(k)
-    walk(ref)
     for t in trees[1:]:
         score, pairs = match(ref, t)
         if score < SAME_LAYOUT * max(_size(ref), _size(t)):
@@ -319,8 +437,9 @@ def main_text(html: str | None, wrapper: Node | dict | None) -> str:
     if isinstance(wrapper, dict):
         wrapper = wrapper.get(layout(tree), wrapper[None])
     kept = [b for b in blocks if not b.skip]
-    if any(b.inside for b in kept):
-        kept = [b for b in kept if b.inside]
+    marked = [b for b in kept if b.inside]
+    if marked and LEAST_MARKED * sum(len(b.text) for b in kept) <= sum(len(b.text) for b in marked):
+        kept = marked       # a mark around less (a teaser's, say) does not mark the main text
     else:
         kept = [b for b in kept if b.links <= 0.6 * len(b.text)]
     if wrapper is not None:
@@ -337,13 +456,13 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             trees = [_slim(parse(h)[0]) for h in pdf.html]
             yield pd.DataFrame({"host": pdf.host, "h": pdf.h, "layout": [layout(t) for t in trees],
-                                "tree": [C.squeeze(pickle.dumps(t)) for t in trees]})
+                                "tree": [C.squeeze(pickle.dumps(_flat(t))) for t in trees]})
 
     def align(batches):
         for pdf in batches:
             rows = []
             for host, lay, n, first, tree in zip(pdf.host, pdf.layout, pdf.n, pdf["first"], pdf.tree):
-                ref, own = _load(first), pickle.loads(C.unsqueeze(tree))
+                ref, own = _load(first), _tree(pickle.loads(C.unsqueeze(tree)))
                 score, pairs = match(ref, own)
                 if score < SAME_LAYOUT * max(_size(ref), _size(own)):
                     continue
@@ -359,14 +478,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
             rows = rows[(rows.node >= 0) & (rows.c >= max(MIN_PAGES, NEARLY_ALL * aligned))]
             if aligned < MIN_PAGES or not len(rows):
                 continue
-            ref = pickle.loads(C.unsqueeze(rows["first"].iloc[0]))
+            ref = _tree(pickle.loads(C.unsqueeze(rows["first"].iloc[0])))
             nodes = _nodes(ref)
             for x in nodes:
                 x.texts, x.const = [], set()
             for i, t in zip(rows.node.tolist(), rows.text.tolist()):
                 nodes[i].const.add(t)
-            known[rows.layout.iloc[0]] = ref
-            known.setdefault(None, ref)
+            known[rows.layout.iloc[0]] = _flat(ref)
+            known.setdefault(None, _flat(ref))
         out = [(pdf.host.iloc[0], C.squeeze(pickle.dumps(known)))] if known else []
         return pd.DataFrame(out, columns=["host", "wrapper"], dtype=object)
 
@@ -386,7 +505,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 @lru_cache(256)
 def _load(raw: bytes):
-    return pickle.loads(C.unsqueeze(raw))
+    got = pickle.loads(C.unsqueeze(raw))
+    return {k: _tree(v) for k, v in got.items()} if isinstance(got, dict) else _tree(got)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -126,3 +126,65 @@ def test_layouts_of_one_host(spark):
 ])
 def test_words_remove_no_main_text(html, want):
     assert text(html) == want
+
+
+def slow_score(a, b):
+    """Score by the plain recursion."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + slow_score(x, y))
+    return 1 + best[-1][-1]
+
+
+def wide(labels):
+    n = X.Node("r")
+    for x in labels:
+        k = X.Node(x[0])
+        k.kids = [X.Node(c) for c in x[1:]]
+        n.kids.append(k)
+    return n
+
+
+@pytest.mark.parametrize("n", [5, 63, 64, 65, 199, 201, 230])
+def test_wide_lists_align_at_any_size(n):
+    rng = random.Random(n)
+    a = [rng.choice(["a", "b", "cx", "cxy", "d", "dz"]) for _ in range(n)]
+    x, y = wide(["q", *a]), wide([*a, "q"])
+    assert X.match(x, y)[0] == len(X.match(x, y)[1]) == X._size(x) - 1      # a shift by one
+    b = [s if rng.random() < .6 else rng.choice(["a", "b", "cx", "dzz"]) for s in a if rng.random() < .9]
+    score, pairs = X.match(wide(a), wide(b))
+    assert score == slow_score(wide(a), wide(b)) == len(pairs) == len({id(p) for p, _ in pairs}) == len({id(q) for _, q in pairs})
+
+
+def test_deep_pages(spark):
+    deep = lambda i, n: "<html><body>" + "".join(f"<div class=c{k}>" for k in range(n)) + f"<p>Deep words {i}</p><p>Note</p>"
+    pages = [deep(i, 1200) for i in range(6)] + [deep(9, 5000)]
+    assert X.main_text(pages[0], X.induce(pages[:6])) == "Deep words 0"
+    df = spark.createDataFrame([(i, "http://deep.example/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in X.extract(df).collect()}
+    assert got[0] == "Deep words 0" and got[6].startswith("Deep words 9")
+
+
+def test_trees_survive_being_flat():
+    tree, _ = X.parse(page(3)[0])
+    again = X._tree(X._flat(X._slim(tree)))
+    assert X._flat(again) == X._flat(tree) and X.match(tree, again)[0] == X._size(tree)
+
+
+STORY = "<p>" + "Some words of the story go here. " * 4 + "</p>"
+SAID = "Some words of the story go here. " * 3 + "Some words of the story go here."
+
+
+@pytest.mark.parametrize("html,want", [
+    (f"<body><form id=main><div>{STORY}</div><input></form></body>", SAID),
+    (f"<form action=/find><label>Find</label></form>{STORY}", SAID),
+    (f"<div style='overflow: hidden'>{STORY}</div>", SAID),
+    (f"<div title='a hidden gem' data-role=dialog data-id=ad data-hidden>{STORY}</div>", SAID),
+    (f"<div hidden>gone</div><div aria-hidden = 'true'>gone</div><div role=dialog>gone</div>{STORY}", SAID),
+    (f"<div>{STORY}</div><article><h3>Other story</h3></article>", SAID + "\n\nOther story"),
+])
+def test_ordinary_markup(html, want):
+    assert text(html) == want
