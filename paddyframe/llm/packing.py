@@ -73,7 +73,8 @@ class _Memo(dict):
 
 
 def _pack(tok, text: str) -> bytes:
-    return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+    """Ids by the call that leaves out the offsets of the tokens."""
+    return array("I", tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes() if text else b""
 
 
 class WordEncoder:
