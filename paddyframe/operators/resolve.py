@@ -6,11 +6,9 @@ the leaf.  Requests are resolved in batch: one requests table in, one status
 row per request out.
 
 Substring predicates ("every word is a substring of the path") are not
-evaluated as a nested-loop join.  Each path is indexed by its distinct
-1-4 character grams; a request is joined through its rarest gram (an
-equi-join), which every true match necessarily contains, and the candidates
-are then verified with the exact predicate.  No candidate is ever dropped, so
-the result equals the brute-force theta join.
+evaluated as a nested-loop join: the paths' gram index (``gram_index``) gives
+each different list of words its candidates, which are verified with the exact
+predicate.  The result equals the brute-force theta join.
 """
 
 from __future__ import annotations
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import gram_index
 
 # --- fixed values: words dropped before the word-fallback match -------------
 FALLBACK_STOPWORDS = ["in", "the", "of", "city", "municipality", "province"]
@@ -76,56 +75,6 @@ def _words(clean: Column, stop: list[str]) -> Column:
     return F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop_arr, w))
 
 
-GRAM_MAX = 4
-
-
-def _grams(text: Column, qmax: int = GRAM_MAX) -> Column:
-    """Distinct substrings of length 1..qmax of ``text`` (the candidate index keys)."""
-    n = F.length(text)
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    g = F.flatten(F.transform(idx, lambda i: F.array(*[F.substring(text, i, k) for k in range(1, qmax + 1)])))
-    return F.array_distinct(F.filter(g, lambda s: s != ""))
-
-
-def _word_keys(word: Column, qmax: int = GRAM_MAX) -> Column:
-    """All substrings of length min(qmax, len(word)) of a word: each is contained in every match."""
-    q = F.least(F.length(word), F.lit(qmax))
-    idx = F.sequence(F.lit(1), F.greatest(F.length(word) - q + 1, F.lit(1)))
-    return F.transform(idx, lambda i: F.substring(word, i, q))
-
-
-def substring_match(requests: DataFrame, req_key: str, words_col: str, index: DataFrame,
-                    text_col: str, mode: str = "all") -> DataFrame:
-    """Pairs (request, node) where every (``all``) / any (``any``) word is a substring of text.
-
-    Exact, without a nested-loop join: the index is exploded into its distinct
-    1..4-character grams and the gram frequencies are counted (a vocabulary-sized
-    table).  Every true match contains every gram of every word, so each request
-    (or each word, in ``any`` mode) joins only through its rarest gram; the
-    candidates are then verified with the exact predicate.
-    """
-    idx = index.select("*", F.explode(_grams(F.col(text_col))).alias("_g"))
-    freq = idx.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    if mode == "all":
-        unit = requests.select(req_key, words_col)
-        unit_key = [req_key]
-        keys = unit.select(req_key, F.explode(F.flatten(F.transform(F.col(words_col), lambda w: _word_keys(w))))
-                           .alias("_g"))
-    else:
-        unit = requests.select(req_key, words_col, F.explode(F.col(words_col)).alias("_w"))
-        unit_key = [req_key, "_w"]
-        keys = unit.select(req_key, "_w", F.explode(_word_keys(F.col("_w"))).alias("_g"))
-    # rarest key per unit; a gram absent from the index means no match at all
-    best = (keys.join(freq, "_g", "left").groupBy(*unit_key)
-            .agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "_g")).alias("_m"))
-            .filter(F.col("_m.f") > 0).select(*unit_key, F.col("_m._g").alias("_g")))
-    cand = unit.join(best, unit_key, "inner").join(idx, "_g", "inner").drop("_g")
-    if mode == "all":
-        return cand.filter(F.forall(F.col(words_col), lambda w: F.instr(F.col(text_col), w) > 0))
-    return (cand.filter(F.instr(F.col(text_col), F.col("_w")) > 0)
-            .drop("_w").dropDuplicates([req_key, "level", "node_id"]))
-
-
 def _pick(matches: DataFrame, req_key: str) -> DataFrame:
     """First level with any match; its match count and (when single) the match."""
     per = matches.groupBy(req_key, "level").agg(
@@ -158,8 +107,9 @@ def resolve(requests: DataFrame, index: DataFrame, req_key: str = "request_id",
     # Every remaining word must be a substring of the concatenated path
     rest = live.join(ex.select(req_key), req_key, "left_anti") \
         .withColumn("_words", _words(F.col("_clean"), FALLBACK_STOPWORDS))
-    fb = _pick(substring_match(rest.filter(F.size("_words") > 0), req_key, "_words", index, "path_text"),
-               req_key).withColumn("method", F.lit("fallback"))
+    # requests of the same words are searched for once
+    found = _pick(gram_index.containing(rest.filter(F.size("_words") > 0), "_words", gram_index.of(index, "path_text")), "_words")
+    fb = rest.join(found, "_words").select(req_key, "level", "n_match", "m").withColumn("method", F.lit("fallback"))
     hit = ex.unionByName(fb)
     out = req.join(hit, req_key, "left")
     status = (F.when(F.col("level").isNull(), "NOT_FOUND")
@@ -236,8 +186,10 @@ def search_hierarchy(prompts: DataFrame, l1: DataFrame, l2: DataFrame, l3: DataF
     # one any-word match over a level-tagged index serves all levels and the flat fallback
     nodes = lvl(l1, "l1_id", "l1_name", 1).unionByName(lvl(l2, "l2_id", "l2_name", 2)) \
         .unionByName(lvl(l3, "l3_id", "l3_name", 3))
+    words = p.select(key, F.explode("_words").alias("_w")).distinct().select(key, F.array("_w").alias("_word"))
+    met = gram_index.containing(words, "_word", gram_index.of(nodes, "_text")).select("_word", "level", "node_id")
     # materialised once (reliable checkpoint in the shared checkpoint folder): five consumers below
-    hits = cut_lineage(substring_match(p, key, "_words", nodes, "_text", "any").select(key, "level", "node_id"))
+    hits = cut_lineage(words.join(met, "_word").select(key, "level", "node_id").distinct())
     c1, c2, c3 = caps
     m1 = hits.filter("level = 1").select(key, F.col("node_id").alias("l1_id"))
     m1 = m1.withColumn("r1", F.row_number().over(Window.partitionBy(key).orderBy("l1_id"))).filter(F.col("r1") <= c1)
@@ -276,8 +228,9 @@ def search_hierarchy(prompts: DataFrame, l1: DataFrame, l2: DataFrame, l3: DataF
                                           F.lit("municipality_city").alias("kind"), "line")
             .unionByName(fm3.join(l3c, "l3_id").select(key, F.lit(0).alias("seq1"), F.lit(0).alias("seq2"),
                                                        F.col("r").alias("seq3"), F.lit("barangay").alias("kind"), "line")))
-    # One line per key (first-seen order kept by the seq columns)
-    return hier.unionByName(flat).dropDuplicates([key, "kind", "line"])
+    # Equal lines of a prompt are one, at the place where it is first seen
+    seen = hier.unionByName(flat).groupBy(key, "kind", "line").agg(F.min(F.struct("seq1", "seq2", "seq3")).alias("_at"))
+    return seen.select(key, "_at.*", "kind", "line")
 
 
 # ---- J6: dimension seeding ---------------------------------------------------

@@ -149,7 +149,37 @@ def _prompts(fx):
     return a.unionByName(b).unionByName(c)
 
 
-@query("search_hierarchy", "J3 D7 D9 K12")
+_NOISE = ", ".join(f"'{w}'" for w in resolve.SEARCH_NOISE)
+_STRIP = "".join("''" if c == "'" else c for c in resolve.SEARCH_STRIP)
+_SEARCH_SQL = f"""prompts AS (
+  SELECT CAST(n_nationkey AS BIGINT) * 10 + 1 AS prompt_id, 'weather in ' || r_name || ' ' || n_name || ' supplier#00000000' AS prompt
+    FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 10 + 2, 'show me ' || lower(n_name) || '?' FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 10 + 3, 'rain for supplier#0000000' || CAST(n_nationkey AS VARCHAR) FROM nation JOIN region ON n_regionkey = r_regionkey),
+word AS (SELECT DISTINCT prompt_id, w FROM (SELECT prompt_id, unnest(list_transform(string_split_regex(prompt, '\\s+'), lambda x: trim(lower(x), '{_STRIP}'))) AS w FROM prompts)
+  WHERE length(w) >= 4 AND w NOT IN ({_NOISE})),
+node AS (SELECT 1 AS level, CAST(r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent, r_name AS name FROM region
+  UNION ALL SELECT 2, CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT), n_name FROM nation
+  UNION ALL SELECT 3, s_suppkey, CAST(s_nationkey AS BIGINT), s_name FROM supplier),
+hit AS (SELECT DISTINCT prompt_id, level, id, parent, name FROM word JOIN node ON contains(lower(name), w)),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY id) AS seq1 FROM hit WHERE level = 1 QUALIFY seq1 <= {resolve.SEARCH_CAPS[0]}),
+m2 AS (SELECT h.*, seq1, row_number() OVER (PARTITION BY h.prompt_id, h.parent ORDER BY h.id) AS seq2
+  FROM hit h JOIN m1 ON h.level = 2 AND h.prompt_id = m1.prompt_id AND h.parent = m1.id QUALIFY seq2 <= {resolve.SEARCH_CAPS[1]}),
+m3 AS (SELECT h.*, seq1, seq2, row_number() OVER (PARTITION BY h.prompt_id, h.parent ORDER BY h.id) AS seq3
+  FROM hit h JOIN m2 ON h.level = 3 AND h.prompt_id = m2.prompt_id AND h.parent = m2.id QUALIFY seq3 <= {resolve.SEARCH_CAPS[2]}),
+flat AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, level ORDER BY id) AS r FROM hit
+  WHERE level > 1 AND prompt_id NOT IN (SELECT prompt_id FROM m1) QUALIFY r <= CASE level WHEN 2 THEN {resolve.FLAT_CAPS[0]} ELSE {resolve.FLAT_CAPS[1]} END),
+told AS (SELECT prompt_id, seq1, 0 AS seq2, 0 AS seq3, level, id, parent, name FROM m1
+  UNION ALL SELECT prompt_id, seq1, seq2, 0, level, id, parent, name FROM m2
+  UNION ALL SELECT prompt_id, seq1, seq2, seq3, level, id, parent, name FROM m3
+  UNION ALL SELECT prompt_id, 0, CASE level WHEN 2 THEN r ELSE 0 END, CASE level WHEN 3 THEN r ELSE 0 END, level, id, parent, name FROM flat),
+lines AS (SELECT prompt_id, CAST(seq1 AS INTEGER) AS seq1, CAST(seq2 AS INTEGER) AS seq2, CAST(seq3 AS INTEGER) AS seq3,
+  CASE level WHEN 1 THEN 'province' WHEN 2 THEN 'municipality_city' ELSE 'barangay' END AS kind,
+  '[' || kind || '] ' || concat_ws(' | ', CAST(id AS VARCHAR), name, CAST(parent AS VARCHAR)) AS line FROM told)"""
+
+
+@query("search_hierarchy", "J3 D7 D9 K12", oracle([], """SELECT * FROM lines
+  QUALIFY row_number() OVER (PARTITION BY prompt_id, kind, line ORDER BY seq1, seq2, seq3) = 1""", extra=[_SEARCH_SQL]))
 def q_search_hierarchy(fx):
     l1, l2, l3 = fx.places()
     return resolve.search_hierarchy(_prompts(fx), l1, l2, l3)

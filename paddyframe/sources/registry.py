@@ -22,11 +22,16 @@ COMMITS = "model_type string, version string, trained_at timestamp"
 
 def write_version(coefs: DataFrame, registry: str, model_type: str) -> str:
     """Write a coefficient table as a version that does not count yet; returns the version's name."""
-    version = uuid.uuid4().hex
-    coefs.write.mode("error").parquet(_folder(registry, model_type, version))
+    version = new_version()
+    coefs.write.mode("error").parquet(folder(registry, model_type, version))
     return version
 
 
+def new_version() -> str:
+    """A name that no other writer has."""
+    return uuid.uuid4().hex
+
+
 def commit(spark: SparkSession, registry: str, model_type: str, version: str, trained_at: str) -> None:
     """From now on the version counts."""
     row = [(model_type, version, datetime.datetime.fromisoformat(trained_at))]
@@ -55,10 +60,10 @@ def load_latest(spark: SparkSession, registry: str, schema: str) -> DataFrame:
     newest = commits(spark, registry).groupBy("model_type").agg(F.max(F.struct("trained_at", "version")).alias("v"))
     out = spark.createDataFrame([], f"{schema}, model_type string, trained_at timestamp")
     for r in newest.select("model_type", "v.*").collect():      # a row per model type
-        table = spark.read.schema(schema).parquet(_folder(registry, r["model_type"], r["version"]))
+        table = spark.read.schema(schema).parquet(folder(registry, r["model_type"], r["version"]))
         out = out.unionByName(table.withColumns({"model_type": F.lit(r["model_type"]), "trained_at": F.lit(r["trained_at"])}))
     return out
 
 
-def _folder(registry: str, model_type: str, version: str) -> str:
+def folder(registry: str, model_type: str, version: str) -> str:
     return f"{registry}/versions/{model_type}/{version}"

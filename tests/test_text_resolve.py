@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paddyframe.operators import phrases, resolve, text
+from paddyframe.operators import gram_index, phrases, resolve, text
+from paddyframe.operators.gram_index import build as _build
 
 
 def test_pii_redaction(spark):
@@ -197,3 +198,56 @@ def test_unsupported_region_and_absent_words(spark):
     assert (got[1].status, got[1].method, got[1].resolved_name) == ("RESOLVED", "exact", "Old Town, North")
     assert got[2].status == "UNSUPPORTED_REGION" and got[2].resolved_name is None and got[2].province is None and got[2].node_id is None
     assert got[3].status == "AMBIGUOUS" and got[4].status == "NOT_FOUND" and got[5].status == "RESOLVED" and got[6].status == "NOT_FOUND"
+
+
+def _nodes(spark, n=900):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("abcdé😀 #") for _ in range(rng.randint(0, 12)))
+    rows = [(i, ("hot " if i % 3 == 0 else "") + name()) for i in range(n)] + [(n, None), (n + 1, ""), (5, "hot ab"), (5, "hot ab")]
+    return rows, spark.createDataFrame(rows, "node_id long, t string")
+
+
+def test_gram_index_equals_comparing_every_word_with_every_text(spark, monkeypatch):
+    monkeypatch.setattr(gram_index, "PART_NODES", 100)
+    rows, nodes = _nodes(spark)
+    index = gram_index.of(nodes, "t")
+    lists = [["hot"], ["a"], ["hot", "ab"], ["é😀"], ["abcd", "dcba"], ["hot ab"], ["zzz"], ["hot", "zzz"], [], ["#", "b", "c"], ["hot", "ab"]]
+    wanted = spark.createDataFrame([(w,) for w in lists], "words array<string>")
+    got = sorted((tuple(r.words), r.node_id, r.t) for r in gram_index.containing(wanted, "words", index).collect())
+    each = {tuple(w) for w in lists if w}
+    assert got == sorted((w, i, t) for w in each for i, t in rows if t and all(x in t for x in w))
+    # a gram of a third of all rows is many short lists
+    hot = index.postings.filter("gram = 'hot '").selectExpr("size(ids) n").collect()
+    assert len(hot) == 10 and max(r.n for r in hot) < 60 and sum(r.n for r in hot) == 301
+    # two lists leave fewer candidates than the rarer one
+    some = wanted.filter("words = array('hot', 'ab')")
+    rarer = index.grams.filter("gram in ('hot', 'ab')").agg({"n": "min"}).first()[0]
+    both = gram_index.candidates(some, "words", index).count()
+    assert both == len({(i, t) for i, t in rows if t and "hot" in t and "ab" in t}) < rarer
+
+
+def test_gram_index_is_built_once_and_anew_for_other_rows(spark, monkeypatch):
+    rows, nodes = _nodes(spark, 50)
+    first = gram_index.of(nodes, "t").postings.inputFiles()
+    built = []
+    monkeypatch.setattr(gram_index, "build", lambda *a: built.append(a) or _build(*a))
+    assert gram_index.of(nodes.repartition(3), "t").postings.inputFiles() == first and not built
+    other = nodes.filter("node_id <> 7")
+    assert gram_index.of(other, "t").nodes.count() == sum(1 for i, t in rows if i != 7 and t is not None) and len(built) == 1
+    # a writer that dies before its commit row leaves nothing that a search would read
+    monkeypatch.setattr(gram_index, "build", _dies)
+    third = nodes.filter("node_id <> 8")
+    with pytest.raises(RuntimeError):
+        gram_index.of(third, "t")
+    monkeypatch.setattr(gram_index, "build", _build)
+    assert gram_index.of(third, "t").nodes.count() == sum(1 for i, t in rows if i != 8 and t is not None)
+
+
+def _dies(nodes, text_col, folder):
+    _build(nodes, text_col, folder)
+    raise RuntimeError("lost")
+
+
+def test_gram_index_of_no_rows(spark):
+    index = gram_index.of(spark.createDataFrame([], "node_id long, t string"), "t")
+    assert gram_index.containing(spark.createDataFrame([(["a"],)], "w array<string>"), "w", index).count() == 0
