@@ -181,8 +181,8 @@ def test_vector_topk_in_many_blocks(spark):
     c = spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(x)] + [(999, None, 0)], "cid int, embedding array<double>, label int")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:40] + 0.25)], "qid int, embedding array<double>")
     want = {(i, k + 1, int(j)) for i in range(40) for k, j in enumerate(np.lexsort((np.arange(300), ((x - x[i] - 0.25) ** 2).sum(1)))[:3])}
-    for size in (1 << 20, 400):
-        df = retrieval.vector_topk(q, c, "qid", "cid", k=3, query_block_bytes=size, corpus_blocks=5)
+    for size, part in ((1 << 20, 4096), (400, 10)):
+        df = retrieval.vector_topk(q, c, "qid", "cid", k=3, query_block_bytes=size, part_rows=part)
         assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()
         assert {(r.qid, r["rank"], r.cid) for r in df.collect()} == want
 
@@ -251,3 +251,37 @@ def _dies(nodes, text_col, folder):
 def test_gram_index_of_no_rows(spark):
     index = gram_index.of(spark.createDataFrame([], "node_id long, t string"), "t")
     assert gram_index.containing(spark.createDataFrame([(["a"],)], "w array<string>"), "w", index).count() == 0
+
+
+def _nearest(qs, x, k):
+    import numpy as np
+    keys = np.arange(len(x))
+    return {(i, r + 1, int(j)) for i, v in enumerate(qs) for r, j in enumerate(np.lexsort((keys, ((x - v) ** 2).sum(1)))[:k])}
+
+
+def test_pivot_topk_is_exact_and_scores_few_pairs_of_clusters(spark):
+    import numpy as np
+    from paddyframe.operators import retrieval
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 6)) * 20
+    x = np.concatenate([centres[rng.integers(0, 30, 1600)] + rng.normal(size=(1600, 6)), np.repeat(centres[:1], 800, axis=0)])   # a third: copies of one vector
+    qs = np.concatenate([centres[rng.integers(0, 30, 60)] + rng.normal(size=(60, 6)), rng.normal(size=(10, 6)) * 60, centres[:1]])
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cid long, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "qid long, embedding array<double>")
+    top, scored = retrieval.pivot_topk(q, c, "qid", "cid", k=4, query_block_bytes=2000, part_rows=16)
+    assert {(r._1, r._2, r._3) for r in top.toDF("_1", "_2", "_3", "_4").collect()} == _nearest(qs, x, 4)
+    n = {r[0]: r[1] for r in scored.collect()}
+    assert set(n) == set(range(71)) and sum(n[i] for i in range(60)) < 0.3 * 60 * len(x)
+
+
+def test_pivot_topk_odd_rows(spark):
+    from paddyframe.operators import retrieval
+    nan, inf = float("nan"), float("inf")
+    c = spark.createDataFrame([(1, [0.0, 0.0]), (2, [nan, 0.0]), (3, [inf, 1.0]), (4, None), (5, [None, 1.0]), (6, [0.0, 0.0]), (None, [0.0, 0.0])],
+                              "cid long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 0.0]), (3, None), (None, [1.0, 1.0])], "qid long, embedding array<double>")
+    got = retrieval.vector_topk(q, c, "qid", "cid", k=3)
+    assert sorted((r.qid, r["rank"], r.cid, r.distance) for r in got.collect()) == [(1, 1, 1, 1.0), (1, 2, 6, 1.0)]
+    for empty in (got.sparkSession.createDataFrame([], c.schema), c.filter("cid = 4")):
+        assert retrieval.vector_topk(q, empty, "qid", "cid").count() == 0
+    assert retrieval.vector_topk(q.limit(0), c, "qid", "cid").count() == 0
