@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,36 @@ EXPLANATION_KEYWORDS = ["why", "explain", "how does", "interpretation", "interpr
 
 # ---- 2.B -----------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Months:
+    """Whole months from the first of ``start`` (year, month) to the end of ``end``; None leaves a side open.
+
+    ``year`` and ``month`` of a fact are computed from a date, so a bound on them reaches no scan.  ``rows`` puts the same
+    bound on the date itself, as a range of literals that the scan uses to skip files and row groups.  It keeps
+    exactly the rows of those months, so what is grouped by month is whole; rows without a date belong to no month
+    and go where a side is bounded, as they do when years are compared.
+    """
+    start: tuple[int, int] | None = None
+    end: tuple[int, int] | None = None
+
+    @classmethod
+    def years(cls, first: int | None = None, last: int | None = None) -> Months:
+        return cls((first, 1) if first is not None else None, (last, 12) if last is not None else None)
+
+    @classmethod
+    def dates(cls, start: str, end: str) -> Months:
+        """From the month of one ISO date to that of another."""
+        return cls(*((int(d[:4]), int(d[5:7])) for d in (start, end)))
+
+    def rows(self, df: DataFrame, date_col: str) -> DataFrame:
+        if self.start is not None:
+            df = df.filter(F.col(date_col) >= F.lit(datetime.date(*self.start, 1)))
+        if self.end is not None:
+            year, month = self.end
+            df = df.filter(F.col(date_col) < F.lit(datetime.date(year + month // 12, month % 12 + 1, 1)))
+        return df
+
+
 def period_filter(df: DataFrame, start_year: int | None = None, end_year: int | None = None,
                   end_month: int | None = None, year_col: str = "year", month_col: str = "month") -> DataFrame:
     """``year >= start AND (year < Y OR (year = Y AND month <= M))`` (B2)."""

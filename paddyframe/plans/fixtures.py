@@ -10,6 +10,8 @@ V3  price fact        orders x customer per (nation, year, month)
 V4  market features   C1 then F1 over V2, V3, nation, region
 V5  training panel    V1 x V4 (C2) + F2..F6
 V7  place hierarchy   region > nation > supplier
+
+Facts take the months that a query needs, and put them on the date of the scanned table.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import safe_ratio
 from ..operators import features as feat
 from ..operators import joins, rollup
+from ..operators.clean import Months
 from ..sources.tables import Tables
 
 DAILY_VARS = ["precipitation_sum", "temperature_2m_mean", "temperature_2m_max",
@@ -27,6 +30,7 @@ DAILY_VARS = ["precipitation_sum", "temperature_2m_mean", "temperature_2m_max",
 MONTHLY_VARS = DAILY_VARS + ["extreme_rain_days", "extreme_heat_days"]
 TRAIN_END_YEAR = 1999      # fixture temporal split: train <= 1999, test >= 2000
 PANEL_START_YEAR = 1996
+ALL = Months()
 
 
 class Fixtures:
@@ -43,13 +47,13 @@ class Fixtures:
             F.col("r_name").alias("group_name"))
 
     # ---- facts ----------------------------------------------------------
-    def _ship(self) -> DataFrame:
-        li, s = self.t.lineitem, self.t.supplier
+    def _ship(self, months: Months = ALL) -> DataFrame:
+        li, s = months.rows(self.t.lineitem, "l_shipdate"), self.t.supplier
         return li.join(s, li.l_suppkey == s.s_suppkey, "inner").withColumnRenamed("s_nationkey", "entity_id")
 
-    def daily(self) -> DataFrame:
+    def daily(self, months: Months = ALL) -> DataFrame:
         """V1d: one row per (entity, day)."""
-        return (self._ship().groupBy("entity_id", F.to_date("l_shipdate").alias("day"))
+        return (self._ship(months).groupBy("entity_id", F.to_date("l_shipdate").alias("day"))
                 .agg(F.sum("l_quantity").alias("precipitation_sum"),
                      F.avg("l_extendedprice").alias("temperature_2m_mean"),
                      F.max("l_extendedprice").alias("temperature_2m_max"),
@@ -57,37 +61,43 @@ class Fixtures:
                      F.max("l_quantity").alias("wind_gusts_10m_max"),
                      F.avg("l_discount").alias("soil_moisture_0_to_100cm_mean")))
 
-    def weather(self) -> DataFrame:
+    def weather(self, months: Months = ALL) -> DataFrame:
         """V1: monthly rollup of V1d (E1 + E2)."""
-        return rollup.monthly_rollup(self.daily(), ["entity_id"], "day", DAILY_VARS)
+        return rollup.monthly_rollup(self.daily(months), ["entity_id"], "day", DAILY_VARS)
 
-    def production(self) -> DataFrame:
+    def production(self, months: Months = ALL) -> DataFrame:
         """V2: volume, area, yield per (entity, year, month)."""
-        d = self._ship()
+        d = self._ship(months)
         agg = (d.groupBy("entity_id", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
                .agg(F.sum("l_quantity").alias("volume"),
                     F.count_distinct("l_orderkey").cast("double").alias("area")))
         return agg.withColumn("yield_rate", safe_ratio("volume", "area"))
 
-    def prices(self) -> DataFrame:
+    def prices(self, months: Months = ALL) -> DataFrame:
         """V3: average order price per (entity, year, month)."""
-        o, c = self.t.orders, self.t.customer
+        o, c = months.rows(self.t.orders, "o_orderdate"), self.t.customer
         d = o.join(c, o.o_custkey == c.c_custkey, "inner")
         return (d.groupBy(F.col("c_nationkey").alias("entity_id"), F.year("o_orderdate").alias("year"),
                           F.month("o_orderdate").alias("month"))
                 .agg(F.avg("o_totalprice").alias("price")))
 
     # ---- views ----------------------------------------------------------
-    def market_summary(self) -> DataFrame:
-        return joins.market_summary(self.production(), self.dim(), self.prices())
+    def market_summary(self, months: Months = ALL) -> DataFrame:
+        return joins.market_summary(self.production(months), self.dim(), self.prices(months))
+
+    def market_features(self, end: tuple[int, int] | None = None) -> DataFrame:
+        """V4: C1 + row-based lags per entity ordered by (year, month).  Lags look back over any number of months, so
+        only an end bounds the scans."""
+        return feat.lag_features(self.market_summary(Months(end=end)), feat.MARKET_LAGS)
 
-    def market_features(self) -> DataFrame:
-        """V4: C1 + row-based lags per entity ordered by (year, month)."""
-        return feat.lag_features(self.market_summary(), feat.MARKET_LAGS)
+    def lag_inputs(self, start_date: str, end_date: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Weather of the months, production and prices of the whole years of a lag-aligned frame."""
+        years = Months.years(int(start_date[:4]), int(end_date[:4]))
+        return self.weather(Months.dates(start_date, end_date)), self.production(years), self.prices(years)
 
     def combined(self, start_year: int = PANEL_START_YEAR - 1) -> DataFrame:
         """Training query: weather INNER dim LEFT V4 by entity name, period filter, cyclical month."""
-        w = self.weather().filter(F.col("year") >= start_year)
+        w = self.weather(Months.years(start_year))
         v4 = self.market_features().select(
             "entity_name", "year", "month",
             F.col("yield_rate").alias("target_yield"), F.col("price").alias("target_price"),

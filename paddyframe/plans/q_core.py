@@ -46,7 +46,7 @@ def _aligned_sql(lag: int, start=START, end=END, lag_expr: str | None = None, ex
 @query("scan_filter", "A3", oracle(["production"], "SELECT * FROM production WHERE entity_id = 7 AND year BETWEEN 1996 AND 1999",
                                    ["volume", "area", "yield_rate"]))
 def q_scan_filter(fx):
-    return scan_filter(fx.production(), "entity_id", 7, "year", 1996, 1999)
+    return scan_filter(fx.production(clean.Months.years(1996, 1999)), "entity_id", 7, "year", 1996, 1999)
 
 
 # ============================ 2.B predicates ===============================
@@ -54,13 +54,13 @@ def q_scan_filter(fx):
 @query("period_filter", "B2", oracle(["features"], "SELECT * FROM features WHERE year >= 1996 AND (year < 2001 OR (year = 2001 AND month <= 6))",
                                      MARKET + LAGS))
 def q_period_filter(fx):
-    return clean.period_filter(fx.market_features(), 1996, 2001, 6)
+    return clean.period_filter(fx.market_features(end=(2001, 6)), 1996, 2001, 6)
 
 
 @query("year_between", "B3", oracle(["production"], "SELECT * FROM production WHERE year BETWEEN 1996 AND 1999",
                                     ["volume", "area", "yield_rate"]))
 def q_year_between(fx):
-    return clean.year_between(fx.production(), "1996-03-01", "1999-12-31")
+    return clean.year_between(fx.production(clean.Months.years(1996, 1999)), "1996-03-01", "1999-12-31")
 
 
 @query("ci_equals", "B4", oracle([], "SELECT * FROM nation WHERE lower(trim(n_name)) = lower(trim('  nation_1 '))"))
@@ -239,12 +239,12 @@ def q_prod_price_inner(fx):
 
 @query("lag_join", "C5 G1", oracle(["weather", "production", "prices", "dim"], _aligned_sql(LAG), W6 + MARKET))
 def q_lag_join(fx):
-    return corr.aligned_frame(fx.weather(), fx.production(), fx.prices(), LAG, START, END, fx.dim())
+    return corr.aligned_frame(*fx.lag_inputs(START, END), LAG, START, END, fx.dim())
 
 
 @query("lag_join_0", "C5 G1", oracle(["weather", "production", "prices", "dim"], _aligned_sql(0), W6 + MARKET))
 def q_lag_join_0(fx):
-    return corr.aligned_frame(fx.weather(), fx.production(), fx.prices(), 0, START, END, fx.dim())
+    return corr.aligned_frame(*fx.lag_inputs(START, END), 0, START, END, fx.dim())
 
 
 @query("key_lookup", "C6", oracle([],
@@ -629,13 +629,13 @@ def _corr_matrix_sql(group: bool, lag: int = LAG) -> str:
 
 @query("corr_pooled", "G2 D4", _corr_matrix_sql(False))
 def q_corr_pooled(fx):
-    al = corr.aligned_frame(fx.weather(), fx.production(), fx.prices(), LAG, START, END)
+    al = corr.aligned_frame(*fx.lag_inputs(START, END), LAG, START, END)
     return corr.corr_pooled(al, W6, OUTCOMES)
 
 
 @query("corr_by_entity", "G3 D4", _corr_matrix_sql(True))
 def q_corr_by_entity(fx):
-    al = corr.aligned_frame(fx.weather(), fx.production(), fx.prices(), LAG, START, END, fx.dim())
+    al = corr.aligned_frame(*fx.lag_inputs(START, END), LAG, START, END, fx.dim())
     return corr.corr_by_entity(al, W6, OUTCOMES)
 
 
@@ -660,14 +660,14 @@ _LAG_SCAN_CTE = ("aligned AS (" + _aligned_sql(0, "1900-01-01", "2999-12-31", la
 @query("corr_detailed", "G4", _corr_long_sql(["entity_name", "lag"], "aligned",
                                              [f"aligned AS (SELECT *, {LAG} AS lag FROM ({_aligned_sql(LAG)}))"]))
 def q_corr_detailed(fx):
-    obs, coeffs = corr.corr_detailed(fx.weather(), fx.production(), fx.prices(), W6, OUTCOMES, START, END, fx.dim(), LAG)
+    obs, coeffs = corr.corr_detailed(*fx.lag_inputs(START, END), W6, OUTCOMES, START, END, fx.dim(), LAG)
     return coeffs
 
 
 @query("corr_observations", "G4", oracle(["weather", "production", "prices", "dim"], f"SELECT *, {LAG} AS lag FROM ({_aligned_sql(LAG)})", W6 + MARKET))
 def q_corr_observations(fx):
     """The observations behind corr_detailed's coefficients."""
-    obs, _ = corr.corr_detailed(fx.weather(), fx.production(), fx.prices(), W6, OUTCOMES, START, END, fx.dim(), LAG)
+    obs, _ = corr.corr_detailed(*fx.lag_inputs(START, END), W6, OUTCOMES, START, END, fx.dim(), LAG)
     return obs.withColumn("lag", F.lit(LAG))
 
 

@@ -109,3 +109,25 @@ def test_parse_period(spark):
     s, e = corr.parse_period("p")
     out = [r[0] for r in df.select(s).collect()]
     assert out == ["2024-01-01", "2012-01-01", "2019-01-01"]
+
+
+def test_month_bounds_reach_the_scans_and_keep_whole_months(spark):
+    import datetime
+    from paddyframe.operators.clean import Months
+    from paddyframe.plans import catalog
+    days = [(datetime.datetime(y, m, d, 23, 59),) for y in (1999, 2000, 2001) for m in (1, 6, 7, 12) for d in (1, 30 if m != 12 else 31)] + [(None,)]
+    df = spark.createDataFrame(days, "t timestamp")
+    kept = lambda months: sorted(r.t for r in months.rows(df, "t").collect())
+    given = sorted(d for d, in days if d)
+    assert kept(Months((1999, 7), (2001, 6))) == [d for d in given if (1999, 7) <= (d.year, d.month) <= (2001, 6)]
+    assert kept(Months.years(2000, 2000)) == [d for d in given if d.year == 2000]
+    assert kept(Months.dates("2000-06-15", "2000-12-02")) == [d for d in given if d.year == 2000 and d.month >= 6]
+    assert kept(Months(end=(1999, 12))) == [d for d in given if d.year == 1999] and Months().rows(df, "t").count() == len(days)
+    q = catalog.queries()
+    for name, dates, sides in (("scan_filter", ["l_shipdate"], "<>"), ("year_between", ["l_shipdate"], "<>"), ("corr_pooled", ["l_shipdate", "o_orderdate"], "<>"),
+                               ("lag_join", ["l_shipdate", "o_orderdate"], "<>"), ("period_filter", ["l_shipdate", "o_orderdate"], "<"), ("train_matrix", ["l_shipdate"], ">")):
+        plan = q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        pushed = [x for x in plan.splitlines() if "PushedFilters" in x]
+        for c in dates:
+            for op in sides:
+                assert any({"<": "LessThan", ">": "GreaterThanOrEqual"}[op] + f"({c}," in x for x in pushed), (name, c, op)
