@@ -10,7 +10,7 @@ from ..session import written
 from .catalog import query
 from .fixtures import DAILY_VARS, MONTHLY_VARS, PANEL_START_YEAR, TRAIN_END_YEAR
 from ..functions.columns import py_round_sql
-from .oracle import oracle
+from .oracle import CTE, oracle
 
 W6, W8 = DAILY_VARS, MONTHLY_VARS
 NATIONS = [f"NATION_{i}" for i in range(25)]
@@ -385,7 +385,36 @@ def q_explain_top(fx):
 _SCORE_TARGETS = [(2001, 10), (2002, 3), (1990, 1)]
 
 
-@query("score_features", "I1 D10 E6 F7 F8 B16")
+_OVER = "OVER (PARTITION BY entity_id ORDER BY year, month ROWS BETWEEN"
+_SCORE_NUM = [c for c in _PANEL_COLS if c not in ("entity_id", "year", "month", "entity_name", "group_name", "is_wet", "month_sin", "month_cos")]
+_SCORE_CTES = [
+    "base AS (SELECT * REPLACE (" + ", ".join(
+        f"coalesce(last_value({c} IGNORE NULLS) {_OVER} UNBOUNDED PRECEDING AND CURRENT ROW), "
+        f"first_value({c} IGNORE NULLS) {_OVER} CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}" for c in LAGS) + ") FROM combined)",
+    "clim AS (SELECT entity_id, month, " + ", ".join(f"avg({v}) AS {v}" for v in W8) + " FROM base GROUP BY 1, 2)",
+    "tgt AS (SELECT entity_id, y AS target_year, m AS target_month FROM dim, (VALUES " + ", ".join(map(str, _SCORE_TARGETS)) + ") t(y, m))",
+    """ext AS (SELECT entity_id, CAST(unnest(range(a + 1, b + 1)) AS INTEGER) AS o
+      FROM (SELECT entity_id, max(year * 12 + month - 1) AS a FROM base GROUP BY 1)
+      JOIN (SELECT entity_id, max(target_year * 12 + target_month - 1) AS b FROM tgt GROUP BY 1) USING (entity_id))""",
+    "final AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY year DESC, month DESC) = 1)",
+    "future AS (SELECT l.* REPLACE (CAST(o // 12 AS INTEGER) AS year, CAST(o % 12 + 1 AS INTEGER) AS month, "
+    + ", ".join(f"coalesce(c.{v}, 0) AS {v}" for v in W8)
+    + ") FROM final l JOIN ext ON l.entity_id = ext.entity_id LEFT JOIN clim c ON c.entity_id = ext.entity_id AND c.month = o % 12 + 1)",
+    "calendar AS (SELECT *, 0 AS later FROM base UNION ALL BY NAME SELECT *, 1 AS later FROM future)",
+    CTE["panel0"].replace("panel0 AS", "lagged AS", 1).replace("FROM combined", "FROM calendar"),
+    CTE["panel"].replace("panel AS", "full_panel AS", 1).replace("FROM panel0", "FROM lagged"),
+    """picked AS (SELECT f.*, target_year, target_month FROM full_panel f JOIN tgt USING (entity_id)
+      QUALIFY row_number() OVER (PARTITION BY entity_id, target_year, target_month
+        ORDER BY year = target_year AND month = target_month DESC, later, year DESC, month DESC) = 1)"""]
+_SCORE_SQL = oracle(["combined"], "SELECT entity_id, entity_name, group_name, year, month, is_wet, target_year, target_month, "
+                    "NOT (year = target_year AND month = target_month) AS is_fallback, "
+                    "sin(2 * pi() * month / 12) AS month_sin, cos(2 * pi() * month / 12) AS month_cos, "
+                    + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in _SCORE_NUM) + ", "
+                    + ", ".join(f"CAST(entity_name = '{n}' AS DOUBLE) AS \"prov_{n}\"" for n in NATIONS) + " FROM picked",
+                    _SCORE_NUM + ["month_sin", "month_cos"] + [f'"prov_{n}"' for n in NATIONS], extra=_SCORE_CTES)
+
+
+@query("score_features", "I1 D10 E6 F7 F8 B16", _SCORE_SQL)
 def q_score_features(fx):
     t = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.lit(m).alias("month")) for y, m in _SCORE_TARGETS]))
     targets = fx.dim().select("entity_id", t.alias("t")).select("entity_id", "t.year", "t.month")

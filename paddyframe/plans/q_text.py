@@ -400,7 +400,21 @@ def _docs_with_headings(fx):
     return d.select("doc_id", "source", t.alias("text"))
 
 
-@query("chunk_headings", "K8")
+_CHUNK_CTES = [
+    """typed AS (SELECT doc_id, source, CASE WHEN lang = 'en' THEN '# Section ' || source || chr(10) || body ELSE body END AS text
+      FROM (SELECT *, replace(text, chr(10), chr(10) || '## Part' || chr(10)) AS body FROM documents))""",
+    """line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM typed)""",
+    """headed AS (SELECT *, regexp_matches(line, '^#+ ') AS head FROM line)""",
+    """numbered AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM headed)""",
+    r"""chunk AS (SELECT doc_id, part, max(line) FILTER (WHERE head) AS heading,
+      regexp_replace(string_agg(CASE WHEN head THEN '' ELSE line END, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS text FROM numbered GROUP BY 1, 2)"""]
+
+
+@query("chunk_headings", "K8", oracle([], r"""SELECT doc_id, 'chunk_' || CASE WHEN part = 0 THEN 0
+      ELSE row_number() OVER (PARTITION BY doc_id, part = 0 ORDER BY part) END AS chunk_id,
+    CASE WHEN part = 0 THEN 'General' ELSE regexp_replace(regexp_replace(heading, '^#+', ''), '^\s+|\s+$', '', 'g') END AS section, md5(text) AS text_md5
+  FROM chunk WHERE text <> ''""", extra=_CHUNK_CTES))
 def q_chunk_headings(fx):
     c = text.chunk_headings(_docs_with_headings(fx), "doc_id", "text", "source")
     return c.select("doc_id", "chunk_id", "section", F.md5("text").alias("text_md5"))
