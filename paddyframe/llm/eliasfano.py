@@ -8,6 +8,7 @@ one memory-mapped file.
 
 from __future__ import annotations
 
+import struct
 from typing import BinaryIO
 
 import numpy as np
@@ -108,6 +109,28 @@ class EliasFano:
         return out
 
 
+def dump(values: np.ndarray) -> bytes:
+    """Sorted distinct uint64 values as bytes, Elias-Fano coded from the least one on."""
+    if not len(values):
+        return b""
+    ef = EliasFano(values - values[0], int(values[-1] - values[0]) + 1)
+    return struct.pack("<QQB", ef.n, int(values[0]), ef.width) + ef.low.tobytes() + ef.upper.tobytes()
+
+
+def load(coded: bytes) -> np.ndarray:
+    """The values that ``dump`` coded."""
+    if not coded:
+        return np.zeros(0, np.uint64)
+    n, least, width = struct.unpack_from("<QQB", coded)
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :width] = np.frombuffer(coded, np.uint8, n * width, 17).reshape(n, width)
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(coded, np.uint8, offset=17 + n * width), bitorder="little"))
+    values = low.view(np.uint64).ravel()
+    if width < 8:
+        values |= (ones - np.arange(n)).astype(np.uint64) << np.uint64(8 * width)
+    return values + np.uint64(least)
+
+
 class Level:
     """Children of contexts: contexts and pointers Elias-Fano coded, children stored relative to their
     context's rank so that the whole level is one monotone sequence, and a 16-bit code per child."""

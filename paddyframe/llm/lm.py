@@ -1,7 +1,7 @@
 """Language-model scores from n-gram counts of the whole training corpus, held in sharded Elias-Fano tries.
 
-Every block of documents sends its distinct tokens and n-grams (with their
-training counts) to shards by hash; a shard sums the counts, builds its part of
+Every block of documents sends its distinct tokens and n-grams (Elias-Fano coded,
+with their training counts) to shards by hash; a shard sums the counts, builds its part of
 the trie (a memory-mapped file while the shard is answered), looks every asked
 n-gram up by successor search among its context's children, and returns 16-bit
 codes of the stored counts (floor of CODE_STEP log10 c; smoothing is the block's).  N-grams
@@ -26,6 +26,7 @@ read.
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import zlib
 from collections import defaultdict
@@ -38,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .eliasfano import Level
+from .eliasfano import Level, dump, load
 
 ORDER = 3
 FOLDS = 10
 CODE_STEP = 1000        # codes per factor of ten
+BLOCK_BYTES = 8 << 20   # larger blocks hold fewer distinct n-grams a byte, and their sorted keys code shorter
 END = b" "              # no word holds a space
 BUCKETS = 40            # powers of two of context counts for the Heaps fit
 
@@ -132,23 +134,29 @@ def ask(block: C.Block, shards: int, order: int) -> list:
         if n == 2:
             heaps = _heaps(t, inverse, cs)
         rows: list = []
-        C.ask_rows(rows, block.id, keys, shards, lambda a, b, k=keys, c=cs: C.squeeze(c[a:b].tobytes()) + k[a:b].tobytes())
+        C.ask_rows(rows, block.id, keys, shards, lambda a, b, k=keys, c=cs: _write(k[a:b], c[a:b]))
         out += [(s + (n - 1) * shards, b, p) for s, b, p in rows]
     rows = []
-    C.ask_rows(rows, block.id, names, shards, lambda a, b: C.squeeze(counts[a:b].tobytes()) + names[a:b].tobytes())
+    C.ask_rows(rows, block.id, names, shards, lambda a, b: _write(names[a:b], counts[a:b]))
     if heaps is not None and rows:
         rows[0] = (*rows[0][:2], rows[0][2] + b"HEAPS" + heaps.tobytes())
     return out + rows
 
 
+def _write(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys, Elias-Fano coded, and their counts in the smallest type that holds them."""
+    c = C.squeeze(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes())
+    return struct.pack("<I", len(c)) + c + dump(keys)
+
+
 def _read(p: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     heaps = None
     tail = 8 * 3 * BUCKETS
     if p[-tail - 5:-tail] == b"HEAPS":
         heaps, p = np.frombuffer(p[-tail:], np.float64), p[:-tail - 5]
-    size = C.zstandard.frame_content_size(p)    # counts lead, as one zstd frame; as many keys follow
-    keys = np.frombuffer(p[len(p) - size:], np.uint64)
-    return keys, np.frombuffer(C.unsqueeze(p[:len(p) - size]), np.int64), heaps
+    cut = 4 + struct.unpack_from("<I", p)[0]
+    keys, counts = load(p[cut:]), C.unsqueeze(p[4:cut])
+    return keys, np.frombuffer(counts, f"u{len(counts) // len(keys)}").astype(np.int64), heaps
 
 
 def answer(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
@@ -229,7 +237,7 @@ def _collect(answers: pd.DataFrame, level: int, shards: int, keys: np.ndarray, d
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Token counts, unigram base score and model score (log10) of every document."""
-    blocks = C.pack(docs)
+    blocks = C.pack(docs, block_bytes=BLOCK_BYTES)
     shards = C.shard_count(blocks, 10)
     answers = C.materialize(C.asks(blocks, lambda b: ask(b, shards, order)).groupBy("shard").applyInPandas(
         lambda pdf: answer(pdf, shards), _ANSWERS), "model")

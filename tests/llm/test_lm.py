@@ -8,7 +8,7 @@ import pytest
 
 from paddyframe.llm import chunks as C
 from paddyframe.llm import lm
-from paddyframe.llm.eliasfano import EliasFano, Level
+from paddyframe.llm.eliasfano import EliasFano, Level, dump, load
 
 
 @pytest.mark.parametrize("n,u", [(0, 10), (1, 1), (1, 1 << 40), (300, 300), (2000, 1 << 32), (5000, 70), (3000, 1 << 60)])
@@ -30,6 +30,17 @@ def test_elias_fano_is_compact():
     assert sum(getattr(ef, a).nbytes for a in ef.arrays) < 2.6 * len(v)
 
 
+@pytest.mark.parametrize("n,u", [(0, 9), (1, 1 << 63), (2, 1 << 63), (300, 400), (5000, 1 << 63), (4000, 1 << 40)])
+def test_coded_sorted_values(n, u):
+    v = np.unique(np.random.default_rng(n).integers(0, u, n, dtype=np.uint64) * np.uint64(2 if u >> 63 else 1))
+    assert (load(dump(v)) == v).all() and load(dump(v)).dtype == np.uint64
+    ends = np.array([0, (1 << 64) - 1], np.uint64)
+    assert (load(dump(ends)) == ends).all()
+    # whole low bytes of the gaps' size, and at most about two bits and a byte's rounding more
+    gap = max(int(v[-1] - v[0]) // len(v), 1).bit_length() if n else 0
+    assert len(dump(v)) <= (gap / 8 + 1 + 0.4) * len(v) + 40
+
+
 def test_level_in_a_mapped_file():
     rng = np.random.default_rng(2)
     pairs = sorted({(int(a) * 77_777, int(b) * 1000) for a, b in zip(rng.zipf(1.3, 4000) % 50_000, rng.integers(0, 4_000_000, 4000))})
