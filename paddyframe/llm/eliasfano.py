@@ -110,24 +110,39 @@ class EliasFano:
 
 
 def dump(values: np.ndarray) -> bytes:
-    """Sorted distinct uint64 values as bytes, Elias-Fano coded from the least one on."""
-    if not len(values):
+    """Sorted distinct uint64 values as bytes, Elias-Fano coded from the least one on: their number, the least, the half bytes
+    of a low part, the low parts (whole bytes, then an odd half byte of each, two to a byte) and the high parts."""
+    n = len(values)
+    if not n:
         return b""
-    ef = EliasFano(values - values[0], int(values[-1] - values[0]) + 1)
-    return struct.pack("<QQB", ef.n, int(values[0]), ef.width) + ef.low.tobytes() + ef.upper.tobytes()
+    v = values - values[0]
+    halves = -(-max(0, (int(v[-1]) // n).bit_length() - 1) // 4)
+    high = (v >> np.uint64(4 * halves)).astype(np.int64) if halves < 16 else np.zeros(n, np.int64)
+    ones = np.zeros(n + int(high[-1]), np.uint8)
+    ones[high + np.arange(n)] = 1
+    each = v.view(np.uint8).reshape(-1, 8)
+    odd = np.append(each[:, halves // 2] & 15, np.zeros(n % 2, np.uint8)) if halves % 2 else np.zeros(0, np.uint8)
+    return (struct.pack("<QQB", n, int(values[0]), halves) + each[:, :halves // 2].tobytes() + (odd[::2] | odd[1::2] << 4).tobytes()
+            + np.packbits(ones, bitorder="little").tobytes())
 
 
 def load(coded: bytes) -> np.ndarray:
     """The values that ``dump`` coded."""
     if not coded:
         return np.zeros(0, np.uint64)
-    n, least, width = struct.unpack_from("<QQB", coded)
+    n, least, halves = struct.unpack_from("<QQB", coded)
+    raw, whole = np.frombuffer(coded, np.uint8, offset=17), n * (halves // 2)
     low = np.zeros((n, 8), np.uint8)
-    low[:, :width] = np.frombuffer(coded, np.uint8, n * width, 17).reshape(n, width)
-    ones = np.flatnonzero(np.unpackbits(np.frombuffer(coded, np.uint8, offset=17 + n * width), bitorder="little"))
+    low[:, :halves // 2] = raw[:whole].reshape(n, halves // 2)
+    if halves % 2:
+        odd = raw[whole:whole + (n + 1) // 2]
+        low[0::2, halves // 2] = odd & 15
+        low[1::2, halves // 2] = odd[:n // 2] >> 4
+        whole += len(odd)
     values = low.view(np.uint64).ravel()
-    if width < 8:
-        values |= (ones - np.arange(n)).astype(np.uint64) << np.uint64(8 * width)
+    if halves < 16:
+        ones = np.flatnonzero(np.unpackbits(raw[whole:], bitorder="little"))
+        values |= (ones - np.arange(n)).astype(np.uint64) << np.uint64(4 * halves)
     return values + np.uint64(least)
 
 
