@@ -44,11 +44,16 @@ def block_of(df: DataFrame, order_col: str, blocks: int | None = None) -> Column
 
 
 def _with_offsets(rows: DataFrame, totals: DataFrame, group_cols: list[str], agg, total: str) -> DataFrame:
-    """Rows with ``_off``: the aggregate of all earlier blocks of their group (NULL-safe in the keys)."""
+    """Rows with ``_off``: the aggregate of all earlier blocks of their group (NULL-safe in the keys).
+
+    Blocks, never NULL, are compared NULL-safely too: from a plain equality the optimizer infers a filter
+    on the totals out of the block's formula, and where the order column's attribute id equals one that Spark
+    gives lambda variables for comparing plans (the first ids of a session), that filter keeps a column the totals lack.
+    """
     w = Window.partitionBy(*group_cols).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     b = totals.withColumn("_off", agg(total).over(w)).select(
         F.col("_block").alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in group_cols], "_off")
-    cond = [rows["_block"] == b["_b"]] + [rows[c].eqNullSafe(b[f"_b_{c}"]) for c in group_cols]
+    cond = [rows["_block"].eqNullSafe(b["_b"])] + [rows[c].eqNullSafe(b[f"_b_{c}"]) for c in group_cols]
     return rows.join(b, cond, "inner").drop("_b", *[f"_b_{c}" for c in group_cols])
 
 

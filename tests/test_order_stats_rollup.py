@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -113,6 +117,29 @@ def test_rank_and_scan_keep_null_groups(spark):
     assert s == {(None, 1): 1.0, (None, 2): 3.0, ("a", 1): 5.0}
 
 
+FIRST_QUERY = """
+import sys
+from pyspark.sql import functions as F
+from paddyframe.operators import conversation as conv
+from paddyframe.session import build_session
+spark = build_session("local[2]", 8, extra={"spark.driver.memory": "1g", "spark.driver.host": "127.0.0.1"})
+c = spark.read.parquet(sys.argv[1])
+blk = conv.latest_tool_block(c, F.col("role") == "assistant", F.col("role") == "user").select("conv_id", "turn")
+print("rows", sorted(tuple(r) for r in blk.collect()))
+"""
+
+
+def test_scan_as_the_first_query_of_a_session(spark, tmpdir_path):
+    """The first attribute ids of a session are those that Spark gives lambda variables for comparing plans."""
+    rows = [(k, t, "assistant" if t % 3 == k else "user", "x") for k in (0, 1) for t in range(8)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmpdir_path}/c")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    got = subprocess.run([sys.executable, "-c", FIRST_QUERY, f"{tmpdir_path}/c"], cwd=root, capture_output=True, text=True,
+                         timeout=300, env={**os.environ, "PYTHONPATH": root})
+    assert got.returncode == 0, got.stderr[-2000:]
+    assert got.stdout.splitlines()[-1].endswith("rows [(0, 7), (1, 5), (1, 6)]")
+
+
 def test_statistic_rules():
     assert rollup.statistics_of("precipitation_sum") == ["total"]
     assert rollup.statistics_of("temperature_2m_max") == ["highest"]
