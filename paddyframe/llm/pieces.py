@@ -23,6 +23,7 @@ import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from . import chunks as C
 MARK = "▁"
 UNK_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)   # piece types of the file format: fixed values
-MEMO_WORDS = 1 << 18        # segmentations in each of a worker's two generations
+MEMO_WORDS = 1 << 19        # segmentations that a worker keeps; half stay, those met again, where it is full
+MEMO_IDS = 1 << 22          # ids of them all
 MEMO_CHARS = 32
+TEXT_BATCH = 1 << 20        # characters of texts (one at least) put together at once
 WORD_BATCH = 1 << 16        # characters segmented at once: bounds the match tables
 
 
@@ -105,6 +108,33 @@ class DoubleArray:
         self.value = np.array(self.value + [-1] * 257, np.int32)
 
 
+class Words(dict):
+    """Number of every word, those met for the first time listed in ``new``."""
+
+    def __init__(self, words: list[str]):
+        super().__init__(zip(words, range(len(words))))
+        self.n, self.new = len(words), []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.n
+        self.n += 1
+        self.new.append(word)
+        return n
+
+
+def _put(array: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """The array with ``more`` from place n on, doubled where it is full."""
+    if n + len(more) > len(array):
+        array = np.concatenate([array[:n], np.zeros(max(n, len(more)), array.dtype)])
+    array[n:n + len(more)] = more
+    return array
+
+
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each span, count of them."""
+    return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+
+
 @dataclass
 class PieceModel:
     pieces: list[str]
@@ -145,8 +175,12 @@ class PieceModel:
         self.unknown = int(np.flatnonzero(self.types == UNKNOWN)[0]) if (self.types == UNKNOWN).any() else 0
         self.byte_ids = {int(self.pieces[i][3:5], 16): int(i) for i in np.flatnonzero(self.types == BYTE)}
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in usable)
-        self.memo: dict[str, tuple[bytes, float, int]] = {}
-        self.older: dict[str, tuple[bytes, float, int]] = {}
+        self.byte_table = np.array([self.byte_ids.get(c, -1) for c in range(256)])
+        # segmentations by word number: the ids lie in flat from first on
+        self.memo = Words([])
+        self.flat, self.n_flat = np.zeros(0, np.uint32), 0
+        self.first, self.count, self.n_bytes = (np.zeros(0, np.int64) for _ in range(3))
+        self.total, self.again = np.zeros(0), np.zeros(0, bool)
 
     # --- encoding ---
 
@@ -157,33 +191,32 @@ class PieceModel:
             return ""
         return (MARK if self.prefix else "") + text.replace(" ", MARK)
 
-    def segment(self, words: list[str]) -> list[tuple[bytes, float, int]]:
-        """Best segmentation of each word: ids (unsigned 32-bit), score, number of byte pieces."""
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best segmentation of each word: all ids in turn; by word their number, score, number of byte pieces."""
         raw = [w.encode("utf-8", "replace") for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         start = np.cumsum(size + 1) - size - 1              # one slot past each word: its end
-        text = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
-        slot_end = np.repeat(start + size, size + 1)
-        offset = np.arange(len(text)) - np.repeat(start, size + 1)
+        # no UTF-8 text, and so no piece, holds the byte between the words: no match runs past it
+        text = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
         head = (text & 0xC0) != 0x80                        # starts of characters (and word ends)
-        head[start + size] = True
-        at = np.flatnonzero(head & (np.arange(len(text)) < slot_end))
-        nxt = np.append(np.flatnonzero(head)[1:], len(text))[np.cumsum(head)[at] - 1]
-        single = np.zeros(len(text), bool)
+        edge = np.flatnonzero(head)
+        ends = text[edge] == 255
+        at, nxt = edge[~ends], np.append(edge[1:], len(text))[~ends]
         found = []
-        pos, node, begin = at.copy(), np.zeros(len(at), np.int64), at
+        node, begin, depth = np.zeros(len(at), np.int32), at, 0
         base, check, value = self.trie.base, self.trie.check, self.trie.value
-        step_of = nxt
-        while len(pos):
-            child = base[node].astype(np.int64) + text[pos] + 1
-            ok = (check[child] == node) & (pos < slot_end[begin])
-            node, begin, pos, step_of = child[ok], begin[ok], pos[ok] + 1, step_of[ok]
-            hit = value[node] >= 0
-            if hit.any():
-                found.append((begin[hit], pos[hit], self.ids[value[node[hit]]]))
-                single[begin[hit & (pos == step_of)]] = True
-            live = pos < slot_end[begin]
-            node, begin, pos, step_of = node[live], begin[live], pos[live], step_of[live]
+        while len(begin):
+            child = base[node] + text[begin + depth] + 1
+            ok = check[child] == node
+            node, begin, depth = child[ok], begin[ok], depth + 1
+            got = value[node]
+            hit = got >= 0
+            found.append((begin[hit], begin[hit] + depth, self.ids[got[hit]]))
+        single = np.zeros(len(text), bool)
+        char_end = np.zeros(len(text), np.int64)
+        char_end[at] = nxt
+        for x, y, _ in found[:4]:                           # a character has four bytes at most
+            single[x[y == char_end[x]]] = True
         lone = ~single[at]
         found.append((at[lone], nxt[lone], np.full(int(lone.sum()), -1)))
         a, b, piece = (np.concatenate(c) for c in zip(*found))
@@ -191,76 +224,118 @@ class PieceModel:
         best = np.full(len(text), -np.inf)
         best[start] = 0.0
         back, used = np.full(len(text), -1, np.int64), np.full(len(text), -1, np.int64)
-        order = np.argsort(offset[a], kind="stable")
-        a, b, piece, gain = a[order], b[order], piece[order], gain[order]
-        cuts = np.flatnonzero(np.diff(offset[a])) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)]):  # by start offset: each end once a start
+        offset = (np.arange(len(text)) - np.repeat(start, size + 1))[a]
+        if size.max(initial=0) < 1 << 15:
+            offset = offset.astype(np.int16)                # sorted in one pass
+        order = np.argsort(offset, kind="stable")
+        a, b, piece, gain, offset = a[order], b[order], piece[order], gain[order], offset[order]
+        cuts = (np.flatnonzero(np.diff(offset)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(a)]):     # by start offset: each end once a start
             cand = best[a[lo:hi]] + gain[lo:hi]
             up = np.flatnonzero(cand > best[b[lo:hi]]) + lo
             best[b[up]] = cand[up - lo]
             back[b[up]], used[b[up]] = a[up], piece[up]
         # all words walk back from their ends together
-        word, at, step = np.arange(len(raw)), start + size, 0
-        steps = []
+        word, at = np.arange(len(raw)), start + size
+        steps, length = [], np.zeros(len(raw), np.int64)
         live = np.flatnonzero(at > start)
         word, at = word[live], at[live]
         while len(word):
-            steps.append((word, np.full(len(word), step), used[at], back[at], at))
-            at, step = back[at], step + 1
+            steps.append((word, at))
+            length[word] += 1
+            at = back[at]
             live = np.flatnonzero(at > start[word])
             word, at = word[live], at[live]
-        word, step, piece, a, b = (np.concatenate(c) for c in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 5
-        order = np.lexsort((-step, word))
-        word, piece, a, b = word[order], piece[order], a[order], b[order]
-        flat = piece.astype("<u4").tobytes()
-        ends = (4 * np.searchsorted(word, np.arange(len(raw) + 1))).tolist()
-        odd = set(word[piece < 0].tolist())
-        total = best[start + size].tolist()
-        out = [(flat[x:y], t, 0) for x, y, t in zip(ends, ends[1:], total)]
-        for w in odd:   # characters that no piece covers
-            ids, n_bytes = [], 0
-            for k in range(ends[w] // 4, ends[w + 1] // 4):
-                if piece[k] >= 0:
-                    ids.append(int(piece[k]))
-                elif self.byte_ids:
-                    chars = text[a[k]:b[k]].tolist()
-                    ids += [self.byte_ids[c] for c in chars]
-                    n_bytes += len(chars)
-                elif not ids or ids[-1] != self.unknown:
-                    ids.append(self.unknown)
-            out[w] = (np.array(ids, "<u4").tobytes(), total[w], n_bytes)
-        return out
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, float, int]]:
+        last = np.cumsum(length)
+        b = np.empty(int(length.sum()), np.int64)
+        for step, (word, at) in enumerate(steps):
+            b[last[word] - 1 - step] = at
+        a, piece = back[b], used[b]
+        total, n_bytes = best[start + size], np.zeros(len(raw), np.int64)
+        odd = piece < 0
+        if odd.any():   # characters that no piece covers
+            word = np.repeat(np.arange(len(raw)), length)
+            if self.byte_ids:
+                times = np.where(odd, b - a, 1)
+                place = np.arange(times.sum()) + np.repeat(a - np.cumsum(times) + times, times)
+                odd, word = np.repeat(odd, times), np.repeat(word, times)
+                piece = np.where(odd, self.byte_table[text[place]], np.repeat(piece, times))
+                if (piece < 0).any():
+                    raise KeyError("the model lacks a byte piece")
+                n_bytes = np.bincount(word[odd], minlength=len(raw))
+            else:
+                piece = np.where(odd, self.unknown, piece)
+                keep = np.ones(len(piece), bool)
+                keep[1:] = ~odd[1:] | (word[1:] != word[:-1]) | (piece[:-1] != self.unknown)
+                piece, word = piece[keep], word[keep]
+            length = np.bincount(word, minlength=len(raw))
+        return piece.astype(np.uint32), length, total, n_bytes
+
+    def _learn(self, words: list[str]) -> None:
+        """Segmentations of the words, the last numbered, put after the others."""
+        n = self.memo.n - len(words)
+        part, size = 0, 0
+        for i, w in enumerate(words):
+            size += len(w)
+            if size >= WORD_BATCH or i == len(words) - 1:
+                ids, length, total, n_bytes = self.segment(words[part:i + 1])
+                self.flat = _put(self.flat, self.n_flat, ids)
+                self.first = _put(self.first, n, self.n_flat + np.cumsum(length) - length)
+                self.count, self.n_bytes = _put(self.count, n, length), _put(self.n_bytes, n, n_bytes)
+                self.total, self.again = _put(self.total, n, total), _put(self.again, n, np.zeros(len(length), bool))
+                self.n_flat, n, part, size = self.n_flat + len(ids), n + len(length), i + 1, 0
+
+    def _forget(self) -> None:
+        """Keep the words met again since the last time, half of the memo at most."""
+        kept = [(w, i) for w, i in self.memo.items() if self.again[i]][:MEMO_WORDS // 2]
+        at = np.array([i for _, i in kept], np.int64)
+        n = int(np.searchsorted(np.cumsum(self.count[at]), MEMO_IDS // 2, "right"))
+        kept, at = kept[:n], at[:n]
+        self.memo, self.count = Words([w for w, _ in kept]), self.count[at]
+        self.flat, self.first = self.flat[_spans(self.first[at], self.count)], np.cumsum(self.count) - self.count
+        self.n_flat, self.total, self.n_bytes = len(self.flat), self.total[at], self.n_bytes[at]
+        self.again = np.zeros(len(at), bool)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[float], np.ndarray]:
+        """All ids in turn; bounds of each text's ids among them; scores; numbers of byte pieces."""
+        cuts, size = [0], 0
+        for i, t in enumerate(texts):
+            if size and size + len(t) > TEXT_BATCH:
+                cuts.append(i)
+                size = 0
+            size += len(t)
+        ids, counts, scores, n_bytes = zip(*(self._encode_part(texts[x:y]) for x, y in zip(cuts, [*cuts[1:], len(texts)])))
+        return (np.concatenate(ids), np.cumsum(np.concatenate([[0], *counts])), list(chain.from_iterable(scores)),
+                np.concatenate(n_bytes))
+
+    def _encode_part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[float], np.ndarray]:
+        """All ids in turn; by text their number, score, number of byte pieces."""
         marked = [self.normalize(t) for t in texts]
         split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if self.apart else lambda t: [t] if t else []
         words = [split(t) for t in marked]
-        if len(self.memo) > MEMO_WORDS:
-            self.older, self.memo = self.memo, {}   # words not met since then go with the older half
-        memo, older, new = self.memo, self.older, []
-        for w in dict.fromkeys(w for ws in words for w in ws):
-            if w not in memo:
-                if w in older:
-                    memo[w] = older[w]
-                else:
-                    new.append(w)
-        fresh: dict[str, tuple[bytes, float, int]] = {}
-        part: list[str] = []
-        size = 0
+        if self.memo.n > MEMO_WORDS or self.n_flat > MEMO_IDS:
+            self._forget()
+        old, memo = self.memo.n, self.memo
+        ends = np.cumsum([0, *map(len, words)])
+        at = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int64, int(ends[-1]))
+        new, memo.new = memo.new, []
+        self._learn(new)
+        self.again[at[at < old]] = True
+        count = self.count[at]
+        ids = self.flat[_spans(self.first[at], count)]
+        counts = np.diff(np.concatenate([[0], np.cumsum(count)])[ends])
+        n_bytes = np.diff(np.concatenate([[0], np.cumsum(self.n_bytes[at])])[ends])
+        total, ends = self.total[at].tolist(), ends.tolist()
         for w in new:
-            part.append(w)
-            size += len(w)
-            if size >= WORD_BATCH:
-                fresh.update(zip(part, self.segment(part)))
-                part, size = [], 0
-        if part:
-            fresh.update(zip(part, self.segment(part)))
-        memo.update((w, x) for w, x in fresh.items() if len(w) <= MEMO_CHARS)
-        out = []
-        for ws in words:
-            got = [memo[w] if w in memo else fresh[w] for w in ws]
-            out.append((b"".join([g[0] for g in got]), sum([g[1] for g in got]), sum([g[2] for g in got])))
-        return out
+            if len(w) > MEMO_CHARS:
+                del memo[w]
+        return ids, counts, [sum(total[x:y]) for x, y in zip(ends, ends[1:])], n_bytes
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, float, int]]:
+        """Ids (unsigned 32-bit), score and number of byte pieces of each text."""
+        ids, bounds, scores, n_bytes = self.encode_flat(texts)
+        bounds = bounds.tolist()
+        return [(ids[x:y].astype("<u4").tobytes(), s, n) for x, y, s, n in zip(bounds, bounds[1:], scores, n_bytes.tolist())]
 
     # --- decoding ---
 
@@ -271,7 +346,7 @@ class PieceModel:
                 else p.replace(MARK, " ").encode() for i, (p, t) in enumerate(zip(self.pieces, self.types.tolist()))]
 
     def decode(self, ids: list[int], surfaces: list[bytes]) -> str:
-        text = b"".join([surfaces[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(surfaces.__getitem__, ids)).decode("utf-8", "replace")
         # the marker before the text is no part of it
         return text[1:] if self.prefix and ids and self.pieces[ids[0]].startswith(MARK) else text
 
@@ -285,12 +360,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            got = model.value.encode([t or "" for t in batch.column(1).to_pylist()])
-            flat = np.frombuffer(b"".join([g[0] for g in got]), "<u4").astype(np.int32)
-            offs = np.concatenate([[0], np.cumsum([len(g[0]) // 4 for g in got])]).astype(np.int32)
+            ids, bounds, scores, n_bytes = model.value.encode_flat([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)),
-                 pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64())],
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                 pa.array(scores, pa.float64()), pa.array(n_bytes, pa.int64())],
                 names=["doc_id", "ids", "score", "n_byte_pieces"])
 
     C.small_batches(docs.sparkSession)
@@ -308,7 +381,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         surfaces = model.value.surfaces()
         for batch in batches:
             ids = batch.column(at).fill_null([]) if batch.column(at).null_count else batch.column(at)
-            flat, offs = ids.flatten().to_pylist(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy())])
+            flat, offs = ids.flatten().to_numpy(zero_copy_only=False).tolist(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy())])
             texts = [model.value.decode(flat[a:b], surfaces) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 

@@ -120,3 +120,28 @@ def test_queries_round_trip(spark, docs):
     assert P.decode(P.encode(docs.limit(0), path), path).count() == 0
     odd = spark.createDataFrame([(1, None), (2, [5, 300])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in P.decode(odd, path).collect()}[1] == ""
+
+
+def test_bounded_memo_and_parts_change_no_encoding(monkeypatch):
+    """Words forgotten, met again, too long to keep or cut into parts give what a fresh model gives each text."""
+    rng = random.Random(4)
+    bits = ["the", "ing", "é", "日", "Q" * 40, "🙂͸", " ", "  ", "▁", "\n", "0", "\0"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    vocab = [P.MARK, "t", "h", "e", "the", P.MARK + "the", "in", "g", "ing", "0", "Q", "QQQ", "é"]
+    size = len(vocab)
+    for n_bytes in (0, 256):
+        def build():
+            return P.PieceModel(["<unk>", *vocab, *(f"<0x{c:02X}>" for c in range(n_bytes))],
+                                np.array([0.0] + [-1.0 - i / 7 for i in range(size)] + [0.0] * n_bytes),
+                                np.array([P.UNKNOWN] + [P.NORMAL] * size + [P.BYTE] * n_bytes), True, False)
+        want = [build().encode([t])[0] for t in texts]
+        with monkeypatch.context() as small:
+            for name, value in (("MEMO_WORDS", 40), ("MEMO_IDS", 400), ("TEXT_BATCH", 60), ("WORD_BATCH", 25)):
+                small.setattr(P, name, value)
+            m = build()
+            for i in range(0, len(texts), 25):
+                assert m.encode(texts[i:i + 25]) == want[i:i + 25]
+                assert m.encode(texts[i:i + 25][::-1]) == want[i:i + 25][::-1]
+            m._forget()
+            assert len(m.memo) == m.memo.n <= 20 and m.n_flat <= 200 and all(len(w) <= P.MEMO_CHARS for w in m.memo)
+            assert m.encode([]) == [] and m.encode(["", "the"])[0] == (b"", 0, 0)
