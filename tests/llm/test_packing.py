@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paddyframe.llm import packing as P
@@ -85,6 +86,56 @@ def test_random_white_space_equals_the_library():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_every_letter_taken_for_known_equals_the_library():
+    enc = P.WordEncoder(path)
+    marks = [chr(c) for c in [*range(33, 127), *range(0xa0, 0x600)]]
+    for before in ("a", "1", "!", "\n"):
+        text = " ".join(f"x{before}{c}{before}{c}" for c in marks)
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_mixed_words_equal_the_library(monkeypatch):
+    monkeypatch.setattr(P, "MEMO_WORDS", 50)   # the memo is given up again and again
+    random.seed(7)
+    parts = ["Ab", "é", "ñandú", "日本", "слово", "12", "½", "²", ".", "\n", "***", "'s", "'", "’", "<|endoftext|>", "_", "|", "\t", "e\u0301", "🙂", "x" * 70]
+    words = ["".join(random.choices(parts, k=random.randint(1, 4))) for _ in range(600)]
+    texts = [random.choice(["", " ", "  "]) .join(["", " ".join(random.choices(words, k=random.randint(1, 40)))]) for _ in range(300)] + ["", " "]
+    enc = P.WordEncoder(path)
+    for batch in (texts, texts[::-1], texts[:1], []):
+        ids, bounds = enc.encode_all(pa.array(batch, pa.string()))
+        got = [np.frombuffer(ids[a:b], "<u4").tolist() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        assert got == [enc.tok.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_fresh_words_share_calls():
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.n = tok, 0
+
+        def encode_batch_fast(self, *args, **kw):
+            self.n += 1
+            return self.tok.encode_batch_fast(*args, **kw)
+
+    enc = P.WordEncoder(path)
+    enc.tok, enc.bare = full, bare = Counting(enc.tok), Counting(enc.bare)
+    random.seed(8)
+    texts = [" ".join("".join(random.choices("abcdé", k=9)) + random.choice(["", ".", ".\nThe", "***"]) for _ in range(50)) for _ in range(40)]
+    enc.encode_all(pa.array(texts))
+    assert full.n + bare.n < 10     # 2000 different words
+
+
+def test_rows_in_batches_by_size(monkeypatch):
+    monkeypatch.setattr(P, "TEXT_BATCH", 1000)
+    random.seed(9)
+    texts = ["x" * random.choice([0, 1, 100, 900, 5000]) for _ in range(200)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], names=["doc_id", "text"])
+    got = list(P._by_size(iter([rows.slice(0, 7), rows.slice(7, 0), rows.slice(7, 100), rows.slice(107)])))
+    assert [d for b in got for d in b.column("doc_id").to_pylist()] == list(range(200))
+    assert [t for b in got for t in b.column("text").to_pylist()] == texts
+    size = [sum(len(t) + P.ROW_BYTES for t in b.column("text").to_pylist()) for b in got]
+    assert all(n <= 1000 or b.num_rows == 1 for n, b in zip(size, got)) and len(got) < 160
+
+
 def test_pack(spark, docs):
     enc = P.WordEncoder(path)
     for cap in (64, 2048):
