@@ -43,7 +43,7 @@ CAPACITY = 2048
 END_ID = 0
 MEMO_WORDS = 1 << 19    # word encodings in each of a worker's two generations (some 100 MB a generation)
 MEMO_CHARS = 64         # longer words are encoded anew
-TEXT_BATCH = 1 << 22    # bytes of texts (one at least) encoded together: the more, the fewer distinct words a byte
+TEXT_BATCH = 1 << 21    # bytes of texts (one at least) encoded together: the more, the fewer distinct words a byte
 ROW_BYTES = 64          # that an empty text counts for, too
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long, num long"
