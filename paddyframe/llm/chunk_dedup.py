@@ -187,6 +187,7 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     names, at = docs.columns, docs.columns.index("text")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         tables = []
         answers = right.to_pandas().sort_values("shard", kind="stable")
         for row in left.to_pylist():

@@ -54,6 +54,24 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_kept: dict[str, object] = {}   # of this Python worker
+
+
+def keep(name: str, make: Callable[[], object]) -> object:
+    """What the tasks of one operator leave for its next ones in a Python worker (Spark uses it again for any task)."""
+    if name not in _kept:
+        let_go()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Another operator's task begins: what was kept in this Python worker goes, and Arrow gives back what it holds
+    for further batches; else the worker's memory is the sum of what every operator needs."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def squeeze(b: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b)
 
@@ -73,6 +91,7 @@ def _to_bytes(batches: list[pa.RecordBatch]) -> bytes | None:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     task = TaskContext.get()
     nxt = (task.partitionId() if task else 0) << 32
     pend: list[tuple[np.ndarray, np.ndarray, bytes, pa.RecordBatch]] = []

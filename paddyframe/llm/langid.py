@@ -42,6 +42,7 @@ CALIBRATION_SHARE = 5       # every fifth sample document calibrates
 UNDETERMINED = "und"
 MEMO_WORDS = 1 << 18
 MEMO_CHARS = 32
+SCORE_WORDS = 1 << 13       # words scored at once: bounds a worker's memory on long texts
 _WORD = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -231,6 +232,7 @@ def _scored(docs: DataFrame, model: Model, key_schema: str, keys: list[str]) ->
     rows: list[np.ndarray] = []
 
     def run(batches):
+        C.let_go()
         model = shared.value
         known = np.zeros((0, len(model.langs)))
         for pdf in batches:
@@ -244,18 +246,19 @@ def _scored(docs: DataFrame, model: Model, key_schema: str, keys: list[str]) ->
             short = [w for w in fresh if len(w) <= MEMO_CHARS]
             size = sum(map(len, rows))
             if short:
-                rows.append(model.score_words(short))
+                rows.extend(model.score_words(short[a:a + SCORE_WORDS]) for a in range(0, len(short), SCORE_WORDS))
                 memo.update(zip(short, range(size, size + len(short))))
                 size += len(short)
             if len(known) != size:
                 known = np.concatenate(rows) if rows else known
                 rows[:] = [known]
             long = [w for w in fresh if len(w) > MEMO_CHARS]
-            table, where = known, memo
+            table, beside = known, {}
             if long:
                 table = np.concatenate([known, *[model.score_words([w]) for w in long]])
-                where = memo | dict(zip(long, range(size, size + len(long))))
-            idx = np.fromiter((where[w] for w in flat), np.int64, len(flat))
+                beside = dict(zip(long, range(size, size + len(long))))
+            at = (memo[w] if w in memo else beside[w] for w in flat) if long else map(memo.__getitem__, flat)
+            idx = np.fromiter(at, np.int64, len(flat))
             ends = np.cumsum([len(ws) for ws in texts])
             n = np.array([sum(map(len, ws)) + len(ws) for ws in texts])
             total = np.zeros((len(texts), len(model.langs)))

@@ -25,7 +25,6 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import compress, islice
 
 import numpy as np
@@ -200,9 +199,8 @@ class WordEncoder:
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
-@lru_cache(2)
 def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return C.keep(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -245,6 +243,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         end = np.uint32(END_ID).tobytes()
         for batch in _by_size(batches):
             out = []
+            pa.default_memory_pool().release_unused()
             ids, bounds = enc.encode_all(batch.column("text"))
             bounds = bounds.tolist()
             for row, (a, b) in enumerate(zip(bounds, bounds[1:])):
@@ -380,6 +379,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     rules = spark.sparkContext.broadcast(placement(plan(count, capacity)))  # bounded by the number of lengths
 
     def place(batches):
+        C.let_go()
         for pdf in batches:
             num = (pdf.before + pdf.num).to_numpy()
             length = pdf["length"].to_numpy()

@@ -64,6 +64,7 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every document."""
     def run(batches):
+        C.let_go()
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "fp": np.array(
                 [fingerprint(t.encode("utf-8", "replace"), k) for t in pdf.text], np.int64)})
